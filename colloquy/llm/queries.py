@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, tiff, urls
+from . import bpe, langid, mixing, quality, tiff, urls, warc
 
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -22,6 +22,10 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -43,5 +47,9 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_url_filters, op4_media_tiff, op5_bpe_encode_decode, op6_mix_sources)}
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.capture_histories(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "archive", "offset", "length", "range", "position")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_url_filters, op4_media_tiff, op5_bpe_encode_decode, op6_mix_sources, op9_warc)}
 ORACLE_SQL: dict[str, str] = {}

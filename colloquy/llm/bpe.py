@@ -164,16 +164,18 @@ def codec_for(ranks_file: str, pattern: str) -> Codec:
     return cache[ranks_file, pattern]
 
 
-def encode_documents(docs: DataFrame, ranks_file: str, pattern: str, digests: bool = True) -> DataFrame:
-    """doc_id, n_tokens and ids_sha256, decoded_sha256; with digests=False the ids themselves.
+def encode_documents(docs: DataFrame, ranks_file: str, pattern: str, digests: bool = True, columns: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens and ids_sha256, decoded_sha256; with digests=False the ids themselves. The
+    given columns come along.
 
     A null or empty text has no token. Equal texts give equal rows; an empty table gives no
     row; other columns are not read.
     """
-    rows = pick(docs, "doc_id", "text")
-    kind = rows.schema["doc_id"].dataType
+    rows = pick(docs, "doc_id", "text", *columns)
+    names = ["doc_id", *columns]
+    kept = [rows.schema[c] for c in names]
     more = [("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] if digests else [("ids", pa.list_(pa.int32()))]
-    schema = pa.schema([("doc_id", to_arrow_type(kind)), ("n_tokens", pa.int64()), *more])
+    schema = pa.schema([*((f.name, to_arrow_type(f.dataType)) for f in kept), ("n_tokens", pa.int64()), *more])
 
     def scan(batches):
         codec = codec_for(ranks_file, pattern)
@@ -185,14 +187,14 @@ def encode_documents(docs: DataFrame, ranks_file: str, pattern: str, digests: bo
                     texts.append(batch.column("text")[at + len(texts)].as_py() or "")
                     chars += len(texts[-1])
                 ids = encode(texts, codec)
-                columns = [batch.column("doc_id").slice(at, len(texts)), pa.array([len(x) for x in ids], pa.int64())]
+                out = [*(batch.column(c).slice(at, len(texts)) for c in names), pa.array([len(x) for x in ids], pa.int64())]
                 if digests:
-                    columns.append(pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]))
-                    columns.append(pa.array([hashlib.sha256(codec.decode(x)).hexdigest() for x in ids]))
+                    out.append(pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]))
+                    out.append(pa.array([hashlib.sha256(codec.decode(x)).hexdigest() for x in ids]))
                 else:
-                    columns.append(pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                    out.append(pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays(out, schema=schema)
                 at += len(texts)
 
     ddl = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"
-    return rows.mapInArrow(scan, f"doc_id {kind.simpleString()}, n_tokens long, {ddl}")
+    return rows.mapInArrow(scan, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + f", n_tokens long, {ddl}")

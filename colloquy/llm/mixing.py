@@ -93,8 +93,9 @@ def _fit_source(frame: pd.DataFrame) -> pd.DataFrame:
     return frame
 
 
-def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target and copies (how often the mix takes it) for each document.
+def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, seed: int = SEED, columns: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies (how often the mix takes it) and the given
+    columns for each document.
 
     A null text has size 0; null sources are one source, the last in order. Rows alike share
     a rank in any order, which changes no result. A source without words has target 0. An
@@ -102,7 +103,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, seed: in
     """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = stored(pick(docs, "doc_id", "text", "source").select("doc_id", "source", size.alias("size")))
+    rows = stored(pick(docs, "doc_id", "text", "source", *columns).select("doc_id", "source", *columns, size.alias("size")))
     lengths = rows.groupBy("source", "size").agg(F.count("*").alias("n"))
     sizes = {r["source"]: r["s"] for r in lengths.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("s")).collect()}
     goal = spark.createDataFrame([(k, sizes[k], float(v)) for k, v in targets(sizes, weights, share).items()], "own string, source_size long, target double")
@@ -120,4 +121,15 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, seed: in
     keyed = keyed.join(before, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("size") == F.col("b_size")) & (F.col("bucket") == F.col("b_bucket")))
     rank = F.row_number().over(W.partitionBy("source", "size", "bucket").orderBy("order", "doc_id"))
     copies = F.col("passes") + (rank <= F.col("picks_here")).cast("long")
-    return keyed.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
+    return keyed.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), *columns)
+
+
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, seed: int = SEED) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it."""
+    keyed = docs.withColumn("text_key", F.md5(F.col("text").cast("binary")))
+    taken = mix_sources(keyed, weights, share, seed, ("text_key",)).groupBy("doc_id", "text_key", "source").agg(F.sum("copies").alias("copies")).where("copies > 0")
+    taken = taken.toDF("own_id", "own_key", "own_source", "copies")
+    same = F.col("doc_id").eqNullSafe(F.col("own_id")) & F.col("text_key").eqNullSafe(F.col("own_key")) & F.col("source").eqNullSafe(F.col("own_source"))
+    nth = F.row_number().over(W.partitionBy("doc_id", "text_key", "source").orderBy("doc_id"))
+    found = keyed.join(taken, same).withColumn("nth", nth).where("nth = 1")
+    return found.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("again")).select(*docs.columns)

@@ -190,47 +190,43 @@ def _repeated_lines(text: str) -> int:
     return n
 
 
-def _judge(refs: dict, id_type: pa.DataType):
-    schema = pa.schema([("doc_id", id_type), *((k, pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), ("base_failed", pa.bool_()), ("kept", pa.bool_())])
-
-    def scan(batches):
-        table, wanted = class_table(), _wanted({k: v[1] for k, v in refs.items()})
-        counts = {k: np.array([dict(zip(v[1], v[2]))[w] for w in wanted[k][1]], np.float64) for k, v in refs.items()}
-        symbol = np.zeros(256, bool)
-        symbol[list(SYMBOLS[1:-1])] = True
-        for batch in batches:
-            names, lang = _langs(batch)
-            texts = batch.column("text")
-            for i, j, data, starts, ends in _rows(batch, CHUNK_BYTES):
-                n = j - i
-                spaced, begin, end, hashes, row = _words(data, starts, ends)
-                n_words = np.bincount(row, minlength=n)
-                lead = np.r_[0, np.cumsum((spaced & 0xC0) != 0x80)]
-                chars = np.bincount(row, lead[end] - lead[begin], minlength=n).astype(np.int64)
-                doc = np.repeat(np.arange(n), ends - starts)
-                symbols = np.bincount(doc[symbol[data]], minlength=n)
-                classes = np.bincount(doc * 8 + table[data], minlength=8 * n).reshape(n, 8)[:, :7]
-                repeats = _repeats(hashes, row, n)
-                lines = [0 if x is None else _repeated_lines(x) for x in texts.slice(i, n).to_pylist()]
-                failed = (n_words < 50) | (100 * repeats > 50 * n_words)
-                bounds = np.searchsorted(row, np.arange(n + 1))
-                kept = ~failed
-                for d in np.flatnonzero(kept):
-                    ref = refs.get(names[lang[i + d]])
-                    if ref is None or ref[3] < MIN_REFERENCE_WORDS:
-                        continue
-                    if classes[d].sum() >= MIN_CHARS and divergence(classes[d].astype(float), ref[0]) > MAX_CHAR_DISTANCE:
-                        kept[d] = False
-                    elif n_words[d] >= MIN_WORDS and len(ref[1]):
-                        sought, common = wanted[names[lang[i + d]]][0], counts[names[lang[i + d]]]
-                        own = hashes[bounds[d] : bounds[d + 1]]
-                        at = np.minimum(np.searchsorted(sought, own), len(sought) - 1)
-                        hist = np.bincount(at[sought[at] == own], minlength=len(sought)).astype(float)
-                        p, q = np.append(hist, n_words[d] - hist.sum()), np.append(common, ref[3] - common.sum())
-                        kept[d] = divergence(p, q) <= MAX_WORD_DISTANCE
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, n), *(pa.array(x, pa.int64()) for x in (n_words, chars, symbols, lines, repeats)), pa.array(failed), pa.array(kept)], schema=schema)
-
-    return scan
+def _verdicts(refs: dict, batches):
+    """(rows, five counts, base_failed, kept) for slices of the rows, in order."""
+    table, wanted = class_table(), _wanted({k: v[1] for k, v in refs.items()})
+    counts = {k: np.array([dict(zip(v[1], v[2]))[w] for w in wanted[k][1]], np.float64) for k, v in refs.items()}
+    symbol = np.zeros(256, bool)
+    symbol[list(SYMBOLS[1:-1])] = True
+    for batch in batches:
+        names, lang = _langs(batch)
+        texts = batch.column("text")
+        for i, j, data, starts, ends in _rows(batch, CHUNK_BYTES):
+            n = j - i
+            spaced, begin, end, hashes, row = _words(data, starts, ends)
+            n_words = np.bincount(row, minlength=n)
+            lead = np.r_[0, np.cumsum((spaced & 0xC0) != 0x80)]
+            chars = np.bincount(row, lead[end] - lead[begin], minlength=n).astype(np.int64)
+            doc = np.repeat(np.arange(n), ends - starts)
+            symbols = np.bincount(doc[symbol[data]], minlength=n)
+            classes = np.bincount(doc * 8 + table[data], minlength=8 * n).reshape(n, 8)[:, :7]
+            repeats = _repeats(hashes, row, n)
+            lines = [0 if x is None else _repeated_lines(x) for x in texts.slice(i, n).to_pylist()]
+            failed = (n_words < 50) | (100 * repeats > 50 * n_words)
+            bounds = np.searchsorted(row, np.arange(n + 1))
+            kept = ~failed
+            for d in np.flatnonzero(kept):
+                name = names[lang[i + d]]
+                chars_ref, words_ref, _, total = refs.get(name, (None, [], [], 0))
+                if total < MIN_REFERENCE_WORDS:
+                    continue
+                if classes[d].sum() >= MIN_CHARS and divergence(classes[d].astype(float), chars_ref) > MAX_CHAR_DISTANCE:
+                    kept[d] = False
+                elif n_words[d] >= MIN_WORDS and words_ref:
+                    sought, own = wanted[name][0], hashes[bounds[d] : bounds[d + 1]]
+                    at = np.minimum(np.searchsorted(sought, own), len(sought) - 1)
+                    hist = np.bincount(at[sought[at] == own], minlength=len(sought)).astype(float)
+                    p, q = np.append(hist, n_words[d] - hist.sum()), np.append(counts[name], total - counts[name].sum())
+                    kept[d] = divergence(p, q) <= MAX_WORD_DISTANCE
+            yield batch.slice(i, n), (n_words, chars, symbols, lines, repeats), failed, kept
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -240,6 +236,23 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     Repeated rows are judged alike; an empty table gives no row; other columns are not read.
     """
     rows = pick(docs, "doc_id", "text", "lang")
-    id_type = rows.schema["doc_id"].dataType
-    columns = ", ".join(f"{x} long" for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
-    return rows.mapInArrow(_judge(references(docs), to_arrow_type(id_type)), f"doc_id {id_type.simpleString()}, {columns}, base_failed boolean, kept boolean")
+    refs, kind = references(docs), rows.schema["doc_id"].dataType
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    schema = pa.schema([("doc_id", to_arrow_type(kind)), *((k, pa.int64()) for k in names), ("base_failed", pa.bool_()), ("kept", pa.bool_())])
+
+    def scan(batches):
+        for part, counted, failed, kept in _verdicts(refs, batches):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, pa.int64()) for x in counted), pa.array(failed), pa.array(kept)], schema=schema)
+
+    return rows.mapInArrow(scan, f"doc_id {kind.simpleString()}, {', '.join(f'{x} long' for x in names)}, base_failed boolean, kept boolean")
+
+
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs that the rules keep, with all their columns."""
+    refs = references(docs)
+
+    def scan(batches):
+        for part, _, _, kept in _verdicts(refs, batches):
+            yield part.filter(pa.array(kept))
+
+    return docs.mapInArrow(scan, docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, quality, substring, suffix, tiff, urls, warc
+from . import bpe, jaccard, langid, mixing, quality, substring, suffix, tiff, urls, warc
 
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -51,13 +51,17 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeated_words(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.capture_histories(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "archive", "offset", "length", "range", "position")
+    return warc.capture_histories(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeated_bytes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_url_filters, op4_media_tiff, op5_bpe_encode_decode, op6_mix_sources, op7_substring_dedup, op9_warc, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_url_filters, op4_media_tiff, op5_bpe_encode_decode, op6_mix_sources, op7_substring_dedup, op8_jaccard_join, op9_warc, op10_suffix_array_dedup)}
 ORACLE_SQL: dict[str, str] = {}

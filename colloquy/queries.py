@@ -19,6 +19,7 @@ from .operators import intentions as I
 from .operators import logs, pages, rerank, search, steps
 from .plans import bulk
 from .sources import readers
+from .streaming import streams
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -683,3 +684,71 @@ def extract_result(spark: SparkSession, d: str) -> DataFrame:
     page = pairs(spark, d).select(key, context.alias("item_context"), F.struct(c["title"].alias("title"), NULL.cast("double").alias("price")).alias("selected_item"), options.alias("selected_options"), F.lit("").alias("raw_text"))
     r = F.col("result")
     return K.extract_result(page).select("request_id", *(r[f].alias(f) for f in ("title", "price", "brand", "color", "base_category")))
+
+
+# Streams ----------------------------------------------------------------------------------
+# Each query writes a table's view as files, reads them as a stream until none is left, and
+# gives the collected output, so that it can be compared with the batch form.
+
+
+def drained(spark: SparkSession, source: DataFrame, job, mode: str = "append") -> DataFrame:
+    """What job makes of source as a stream of files; files and state are in the shared folder."""
+    import tempfile
+    import uuid
+
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="colloquy-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    root = f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    source.write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(source.schema).parquet(f"{root}/in")
+    out = job(stream)
+    if mode == "append":
+        out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    else:
+        def keep(batch: DataFrame, _: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{root}/out")
+
+        out.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{root}/out")
+
+
+def timed_log(spark: SparkSession, d: str) -> DataFrame:
+    log = call_log(spark, d)
+    return log.withColumns({"time": F.timestamp_micros(F.round(F.col("ts") * 1_000_000).cast("bigint")), "call_id": F.concat_ws("/", F.col("caller_id").cast("string"), F.floor(F.col("ts") / 86400).cast("string"), F.col("request_count").cast("string"))})
+
+
+@query(f"with {SHIFTS_SQL}, best as (select instance_id, count(*) n, max(turn_id) last_turn from shifts group by 1) select instance_id, cast(n as bigint) states, cast(last_turn as bigint) last_turn from best")
+def stream_intentions(spark: SparkSession, d: str) -> DataFrame:
+    made = order_shifts(spark, d)[1].select("instance_id", F.col("turn_id").cast("long").alias("turn_id"), "op", "field", "value")
+    states = drained(spark, made.repartition(2), streams.stream_intentions)
+    return states.groupBy("instance_id").agg(F.count("*").alias("states"), F.max("turn_id").alias("last_turn"))
+
+
+@query(f"with {STEPS_SQL}, m as (select *, case when action_type = 'buy' then 'virtual_buy' when repeat_streak >= 2 or stagnant_steps >= 2 then 'stuck' when step_index >= 12 then 'step_budget' end r from s4) select instance_id, turn_id, min(step_index) step_index, arg_min(r, step_index) stop_reason from m where r is not null group by all")
+def stream_stop_monitor(spark: SparkSession, d: str) -> DataFrame:
+    rows = judged_steps(spark, d).withColumn("signature", F.to_json(steps.action_signature())).select("instance_id", "turn_id", F.col("step_index").cast("long").alias("step_index"), "action_type", "signature", F.col("made_progress").alias("progress"))
+    return drained(spark, rows.coalesce(1), lambda s: streams.stream_stop_monitor(s, steps.MAX_STEPS, None))
+
+
+@query(f"with {LOG_SQL} select epoch_ms(cast(floor(ts / 60) * 60000 as bigint)) w, count(*) filter (event = 'request') requests, count(*) filter (event = 'fallback') fallbacks, cast(sum(tokens) as bigint) tokens from lg group by 1")
+def stream_token_rate(spark: SparkSession, d: str) -> DataFrame:
+    rates = drained(spark, timed_log(spark, d), streams.stream_token_rate, "complete")
+    return rates.select(F.col("start").cast("timestamp_ntz").alias("w"), "requests", "fallbacks", "tokens")
+
+
+@query(f"with {LOG_SQL}, g as (select caller_id, ts, case when ts - lag(ts) over (partition by caller_id order by ts, event_id) < 21600 then 0 else 1 end new_ from lg), s as (select *, sum(new_) over (partition by caller_id order by ts rows unbounded preceding) n from g) select caller_id, count(distinct n) sessions, count(*) calls from s group by 1")
+def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    bursts = drained(spark, timed_log(spark, d), lambda s: streams.stream_sessions(s, gap="6 hours"), "complete")
+    return bursts.groupBy("caller_id").agg(F.count("*").alias("sessions"), F.sum("calls").alias("calls"))
+
+
+@query()
+def stream_call_latency(spark: SparkSession, d: str) -> DataFrame:
+    return drained(spark, timed_log(spark, d), lambda s: streams.stream_call_latency(s, within="12 hours"))
+
+
+@query()
+def stream_dedup_calls(spark: SparkSession, d: str) -> DataFrame:
+    return drained(spark, timed_log(spark, d).where("event = 'request'"), lambda s: streams.stream_dedup_calls(s, late="3650 days")).select("query", "k")

@@ -36,10 +36,11 @@ def stream_intentions(shifts: DataFrame) -> DataFrame:
     return shifts.groupBy("instance_id").applyInPandasWithState(fold, "instance_id long, turn_id long, constraints string, priority array<string>", "constraints string, priority string", "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_stop_monitor(steps: DataFrame, max_steps: int) -> DataFrame:
+def stream_stop_monitor(steps: DataFrame, max_steps: int, idle_ms: int | None = IDLE_MS) -> DataFrame:
     """Stop events of turns (instance_id, turn_id, step_index, action_type, signature, progress): stuck, virtual_buy or step_budget, once a turn.
 
-    A turn that is idle for long gives up its state.
+    A turn that is idle for idle_ms gives up its state. A query that runs until no data is left
+    must have no such timeout, since Spark would go on for ever to see turns time out.
     """
 
     def watch(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -58,10 +59,11 @@ def stream_stop_monitor(steps: DataFrame, max_steps: int) -> DataFrame:
                 done = True
                 out.append((key[0], key[1], int(row.step_index), reason))
         state.update((last, streak, stagnant, done))
-        state.setTimeoutDuration(IDLE_MS)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["instance_id", "turn_id", "step_index", "stop_reason"])
 
-    return steps.groupBy("instance_id", "turn_id").applyInPandasWithState(watch, "instance_id long, turn_id string, step_index long, stop_reason string", "last string, streak int, stagnant int, done boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return steps.groupBy("instance_id", "turn_id").applyInPandasWithState(watch, "instance_id long, turn_id string, step_index long, stop_reason string", "last string, streak int, stagnant int, done boolean", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def stream_token_rate(log: DataFrame, width: str = "1 minute", slide: str | None = None, late: str = "10 minutes") -> DataFrame:

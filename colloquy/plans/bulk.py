@@ -19,6 +19,7 @@ from ..operators.intentions import fold_intentions, normalize_shifts
 from ..operators.pages import fallback_actions, validate_actions
 from ..operators.rerank import rerank_or_fallback
 from ..operators.search import search_candidates
+from ..sources.scratch import stored
 
 STRINGS = "array<string>"
 ROW = "struct<asin:string,original_rank:string,new_rank:string,product_family_match:string,latest_delta_match:string,constraint_match_level:string,decision:string,matched_constraints:array<string>,missing_or_uncertain_constraints:array<string>,mismatch_reasons:array<string>>"
@@ -34,7 +35,10 @@ INTENTION_TASK = "Turn the instruction into a JSON object with request, constrai
 
 
 def bulk_generate(prompts: DataFrame, client_factory: Callable[[], object], batch_size: int = 64) -> DataFrame:
-    """prompts (prompt, and others) with output and error; a failed call gives an error, not a failed job."""
+    """prompts (prompt, and others) with output and error; a failed call gives an error, not a failed job.
+
+    Answers are written before they are used, so that no model is asked again for a later step.
+    """
 
     def run(frames):
         client = client_factory()
@@ -52,7 +56,7 @@ def bulk_generate(prompts: DataFrame, client_factory: Callable[[], object], batc
                 yield pd.DataFrame({"prompt": part["prompt"], "output": pd.Series(outputs, index=part.index, dtype=object), "error": pd.Series(errors, index=part.index, dtype=object)})
 
     asked = prompts.select("prompt").distinct().repartition("prompt")
-    answers = asked.mapInPandas(run, "prompt string, output string, error string")
+    answers = stored(asked.mapInPandas(run, "prompt string, output string, error string"))
     return prompts.join(answers, "prompt")
 
 
@@ -86,12 +90,12 @@ def bulk_shifts(turns: DataFrame, client_factory: Callable[[], object], seed: in
     first = parsed(bulk_generate(asked, client_factory))
     coin = F.pmod(F.xxhash64(F.lit(seed), "instance_id", "turn_id"), F.lit(1 << 20)) / float(1 << 20)
     again = (F.col("raw.intention_changed") == F.lit(False)) & (coin < retry_share)
-    flagged = first.withColumn("again", F.coalesce(again, F.lit(False)))
+    flagged = stored(first.withColumn("again", F.coalesce(again, F.lit(False))))
     second = parsed(bulk_generate(flagged.where("again").drop("raw").withColumn("prompt", F.concat("prompt", F.lit("\n\n" + INSIST))), client_factory))
-    both = flagged.where("not again").unionByName(second.select(flagged.columns))
+    both = stored(flagged.where("not again").unionByName(second.select(flagged.columns)))
     r = F.col("raw")
     fields = {"usable": r.isNotNull(), "intention_changed": r["intention_changed"], "condition": r["condition"], "category": F.coalesce(r["category"], r["change_category"]), "op": r["op"], "field": r["field"], "old_value": r["old_value"], "value": r["value"], "rationale": r["rationale"], "update": r["priority_update"], "style": r["utterance_plan"]["style"], "directness": r["utterance_plan"]["directness"], "mention_old_value": r["utterance_plan"]["mention_old_value"], "gold_search_query": r["gold_search_query"]}
-    return normalize_shifts(both.withColumns(fields))
+    return stored(normalize_shifts(both.withColumns(fields)))
 
 
 def bulk_queries(intents: DataFrame, client_factory: Callable[[], object]) -> DataFrame:

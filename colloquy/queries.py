@@ -19,6 +19,7 @@ from .operators import intentions as I
 from .operators import logs, pages, rerank, search, steps
 from .plans import bulk
 from .sources import readers
+from .sources.scratch import scratch_path
 from .streaming import streams
 
 QUERIES: dict = {}
@@ -693,14 +694,7 @@ def extract_result(spark: SparkSession, d: str) -> DataFrame:
 
 def drained(spark: SparkSession, source: DataFrame, job, mode: str = "append") -> DataFrame:
     """What job makes of source as a stream of files; files and state are in the shared folder."""
-    import tempfile
-    import uuid
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="colloquy-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    root = f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    root = scratch_path(spark)
     source.write.parquet(f"{root}/in")
     stream = spark.readStream.schema(source.schema).parquet(f"{root}/in")
     out = job(stream)

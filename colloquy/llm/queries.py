@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, jaccard, langid, mixing, quality, substring, suffix, tiff, urls, warc
+from .oracle import ORACLE_SQL as ORACLE_SQL
 
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -64,4 +65,3 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_url_filters, op4_media_tiff, op5_bpe_encode_decode, op6_mix_sources, op7_substring_dedup, op8_jaccard_join, op9_warc, op10_suffix_array_dedup)}
-ORACLE_SQL: dict[str, str] = {}

@@ -47,7 +47,7 @@ def shingles(batches, size: int):
     """(row keys' slice, hashes, row of each): the distinct n-grams of each row, ordered by row and hash."""
     for batch in batches:
         data, starts, ends = utf8(batch.column("text"))
-        for i, j in steps(starts, ends, 1 << 20):
+        for i, j in steps(starts, ends):
             low = starts[i]
             (one, two), first, last = _units(_lower(data[low : ends[j - 1]]), starts[i:j] - low, ends[i:j] - low)
             n = last - first

@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .shared import lanes, pick, steps, stored, utf8
+from .shared import bound_batches, lanes, steps, stored, utf8
 
 HOT = 3
 #: Payload bytes of whole groups that are compared together.
-TOGETHER = 4 << 20
+TOGETHER = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -132,7 +132,7 @@ def _slices(kind: Kind, batches):
             batch = batch.take(pa.array(take, pa.int64()))
             keys = [keys[i] for i in take]
         data, starts, ends = utf8(batch.column("text"))
-        for i, j in steps(starts, ends, 1 << 20):
+        for i, j in steps(starts, ends):
             low = starts[i]
             yield Slice(kind, data[low : ends[j - 1]], starts[i:j] - low, ends[i:j] - low), keys[i:j]
 
@@ -233,6 +233,7 @@ def repeated_spans(docs: DataFrame, kind: Kind) -> DataFrame:
 
     The key is the MD5 of the text. A null text has none.
     """
+    bound_batches(docs.sparkSession)
     texts = docs.where("text is not null").select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text")
     expected = int(sketch.total_bytes(docs) / kind.bytes_per_unit * 2 / (kind.spread + 1))
     sent = sketch.build(texts, _anchor_keys(kind), expected)

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters other than these six white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Bytes of text that one vectorised step works on; memory per task is a small multiple.
-STEP_BYTES = 1 << 21
+#: Bytes of text that one vectorised step works on; memory per task is a multiple of about a hundred.
+STEP_BYTES = 1 << 19
+#: Rows of an Arrow batch. Spark's 10,000 would be tens of MB of long texts, in the JVM and in Python.
+BATCH_ROWS = 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,8 +43,16 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("_colloquy_worker_cache", types.ModuleType("cache")).__dict__
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS rows; a lower setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns only; extra columns, also with names that differ in case only, stay out."""
+    bound_batches(df.sparkSession)
     exact = {n: [i for i, c in enumerate(df.columns) if c == n] for n in names}
     if any(len(v) != 1 for v in exact.values()):
         return df.select(*names)

@@ -19,7 +19,7 @@ BLOCK_BITS = 16
 #: the driver and in each Python worker; a larger input loses filtering, never results.
 LEAST_BITS, MOST_BITS = 16, 27
 #: Keys that a task counts before it sends them on.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 
 
 def row_bits(keys: int, most: int = MOST_BITS) -> int:

@@ -45,9 +45,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # Views ----------------------------------------------------------------------------------
 
-NULL = F.lit(None)
-
-
 def catalog(spark: SparkSession, d: str) -> DataFrame:
     """Parts as products."""
     p = table(spark, d, "part")
@@ -163,7 +160,7 @@ def event_steps(spark: SparkSession, d: str) -> DataFrame:
         F.create_map(F.lit("query"), F.concat(F.lit(" Q"), (F.col("k") % 3).cast("string"))).alias("action_payload"),
         F.when(F.col("k") % 4 == 0, "search").when(F.col("k") % 4 == 1, "results").when(F.col("k") % 4 == 2, "item").otherwise("other").alias("page_type"),
         F.when(F.col("k") % 3 == 0, (F.col("k") % 10).cast("string")).alias("selected_asin"),
-        NULL.cast("string").alias("result_asin"),
+        F.lit(None).cast("string").alias("result_asin"),
         F.when(F.col("k") % 5 == 0, F.create_map(F.lit("Color"), (F.col("k") % 2).cast("string"))).otherwise(none).alias("selected_options"),
         F.when(F.col("k") % 2 == 0, F.array((F.col("k") % 7).cast("string"))).otherwise(F.array().cast("array<string>")).alias("visible_asins"),
         F.lit("").alias("title"),
@@ -203,7 +200,7 @@ def order_shifts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     field = F.lower(F.element_at(F.split("o_orderpriority", "-"), 2))
     made = o.select(F.col("o_custkey").alias("instance_id"), nth.alias("turn_id"), op.alias("op"), F.when(op != "none", field).alias("field"), F.when(op.isin("add", "override"), F.floor("o_totalprice").cast("string")).alias("value"), F.concat(F.lit("r"), (F.col("o_orderkey") % 9).cast("string")).alias("rationale"), F.when(op == "reprioritize", F.array(F.upper(field), F.lit("nowhere"))).otherwise(F.array().cast("array<string>")).alias("priority_update"), F.when(F.col("o_orderkey") % 2 == 0, "user_preference").otherwise("real_world_feasibility").alias("condition"))
     c = table(spark, d, "customer")
-    first = c.select(F.col("c_custkey").alias("instance_id"), F.lit("low").alias("field"), F.lit("1").alias("value")).unionByName(c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("instance_id"), F.lit("high").alias("field"), NULL.cast("string").alias("value")))
+    first = c.select(F.col("c_custkey").alias("instance_id"), F.lit("low").alias("field"), F.lit("1").alias("value")).unionByName(c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("instance_id"), F.lit("high").alias("field"), F.lit(None).cast("string").alias("value")))
     return first, made
 
 
@@ -279,7 +276,7 @@ def item_context(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
     picked = o.select(F.col("o_orderkey").alias("selection_id"), (F.col("o_orderkey") % 2500).cast("string").alias("selected_asin"), F.when(F.col("o_orderkey") % 3 == 0, "item").otherwise("results").alias("page_type"), F.create_map().cast("map<string,string>").alias("selected_options"))
     nothing = {"Rating": "string", "MainImage": "string", "instruction_text": "string", "Reviews": "array<struct<score:string,summary:string,body:string>>", "option_to_image": "map<string,string>", "instruction_attributes": "array<string>"}
-    made = C.candidate_from_context(C.item_context(catalog(spark, d).withColumns({k: NULL.cast(v) for k, v in nothing.items()}), picked))
+    made = C.candidate_from_context(C.item_context(catalog(spark, d).withColumns({k: F.lit(None).cast(v) for k, v in nothing.items()}), picked))
     c = F.col("candidate")
     return made.select("selection_id", *(c[f].alias(f) for f in ("asin", "title", "price", "brand")))
 
@@ -327,7 +324,7 @@ def active_constraints(spark: SparkSession, d: str) -> DataFrame:
  select request_id, coalesce(all_ok, false) and asked > 0 and request_id % 2 = 0 all_satisfied, size_open = 0 resolved, request_id % 2 = 0 and cat_ok and size_open = 0 ready from per""")
 def page_readiness(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("candidate")
-    page = evaluated(spark, d).withColumns({"page_type": F.when(F.col("request_id") % 2 == 0, "item").otherwise("results"), "selected_asin": c["asin"], "result_asin": NULL.cast("string"), "title": c["title"], "price": c["price"], "category": c["category"], "brand": c["brand"], "item_title": NULL.cast("string"), "item_price": NULL.cast("double"), "options": c["options"]})
+    page = evaluated(spark, d).withColumns({"page_type": F.when(F.col("request_id") % 2 == 0, "item").otherwise("results"), "selected_asin": c["asin"], "result_asin": F.lit(None).cast("string"), "title": c["title"], "price": c["price"], "category": c["category"], "brand": c["brand"], "item_title": F.lit(None).cast("string"), "item_price": F.lit(None).cast("double"), "options": c["options"]})
     return K.readiness(page).select("request_id", "all_satisfied", "resolved", "ready")
 
 
@@ -536,7 +533,7 @@ def validate_deltas(spark: SparkSession, d: str) -> DataFrame:
 def fallback_utterances(spark: SparkSession, d: str) -> DataFrame:
     made = order_shifts(spark, d)[1]
     style = F.element_at(F.array(*map(F.lit, S.STYLES)), (F.col("turn_id") % 3 + 1).cast("int"))
-    said = S.fallback_utterance(F.col("op"), F.col("field"), F.col("value"), NULL.cast("string"), NULL.cast("string"), style, F.lit(False))
+    said = S.fallback_utterance(F.col("op"), F.col("field"), F.col("value"), F.lit(None).cast("string"), F.lit(None).cast("string"), style, F.lit(False))
     return made.select("instance_id", F.col("turn_id").cast("bigint").alias("turn_id"), said.alias("utterance"))
 
 
@@ -545,7 +542,7 @@ def normalize_shifts(spark: SparkSession, d: str) -> DataFrame:
     """Orders as raw model output: odd spellings, unknown fields and missing values among them."""
     first, made = order_shifts(spark, d)
     state = first.groupBy("instance_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("constraints"), F.array_sort(F.collect_list("field")).alias("fields"))
-    raw = made.join(state, "instance_id").withColumns({"usable": F.col("turn_id") % 17 != 0, "intention_changed": F.when(F.col("turn_id") % 3 != 0, F.col("op") != "none"), "condition": F.upper(F.replace("condition", F.lit("_"), F.lit("-"))), "category": F.when(F.col("turn_id") % 2 == 0, F.col("op")), "field": F.upper("field"), "old_value": NULL.cast("string"), "update": F.col("priority_update"), "priority": F.array().cast("array<string>"), "request": F.lit("anything"), "stored_query": NULL.cast("string"), "style": F.lit("PARTIAL "), "directness": NULL.cast("string"), "mention_old_value": NULL.cast("boolean"), "gold_search_query": NULL.cast("string")})
+    raw = made.join(state, "instance_id").withColumns({"usable": F.col("turn_id") % 17 != 0, "intention_changed": F.when(F.col("turn_id") % 3 != 0, F.col("op") != "none"), "condition": F.upper(F.replace("condition", F.lit("_"), F.lit("-"))), "category": F.when(F.col("turn_id") % 2 == 0, F.col("op")), "field": F.upper("field"), "old_value": F.lit(None).cast("string"), "update": F.col("priority_update"), "priority": F.array().cast("array<string>"), "request": F.lit("anything"), "stored_query": F.lit(None).cast("string"), "style": F.lit("PARTIAL "), "directness": F.lit(None).cast("string"), "mention_old_value": F.lit(None).cast("boolean"), "gold_search_query": F.lit(None).cast("string")})
     out = I.normalize_shifts(raw.drop("priority_update"))
     evidence = S.shift_evidence(F.col("intention_changed"), F.col("condition"), F.col("change_category"), F.col("op"), F.col("field"), F.col("old_value"), F.col("value"), F.col("priority_update"), F.col("rationale"))
     return out.withColumn("trigger", evidence["trigger_evidence"]["trigger_type"]).withColumn("priority_update", F.array_join("priority_update", ",")).drop("utterance_plan")
@@ -589,7 +586,7 @@ def classify_pages(spark: SparkSession, d: str) -> DataFrame:
 def visible_items(spark: SparkSession, d: str) -> DataFrame:
     """Result pages written from candidates, and read back."""
     shown = ranked_lines(spark, d)[1].where("place <= 5").groupBy("request_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "asin"))), lambda c: F.concat(F.lpad(c["asin"], 10, "0"), F.lit(" [SEP] a title [SEP] $"), c["place"].cast("string"))), " [SEP] ").alias("items"))
-    raw = shown.select("request_id", F.concat(F.lit("Instruction: [SEP] x [SEP] Back to Search [SEP] Page 1 (Total results: 5) [SEP] "), "items").alias("raw_text"), F.array(F.lit("back to search")).alias("clickables"), F.lit(False).alias("done"), NULL.cast("struct<asin:string,title:string,price:double,pricing:array<double>,query:string,category:string,product_category:string,description:string,bullet_points:array<string>,attributes:array<string>,options:map<string,array<string>>,brand:string,color:string,rating:string>").alias("item_context"))
+    raw = shown.select("request_id", F.concat(F.lit("Instruction: [SEP] x [SEP] Back to Search [SEP] Page 1 (Total results: 5) [SEP] "), "items").alias("raw_text"), F.array(F.lit("back to search")).alias("clickables"), F.lit(False).alias("done"), F.lit(None).cast("struct<asin:string,title:string,price:double,pricing:array<double>,query:string,category:string,product_category:string,description:string,bullet_points:array<string>,attributes:array<string>,options:map<string,array<string>>,brand:string,color:string,rating:string>").alias("item_context"))
     out = pages.normalize_pages(raw)
     return out.select("request_id", F.array_join(F.transform("visible_items", lambda v: v["asin"]), ",").alias("asins"), F.size("visible_items").cast("bigint").alias("items"))
 
@@ -658,7 +655,7 @@ def bulk_rerank(spark: SparkSession, d: str) -> DataFrame:
 @query("with t as (select conv_id, turn, role, text from conversations) select conv_id instance_id, count(*) turns, round(avg(case when turn % 2 = 0 then 1 else 0 end), 6) same_action, 1.0 same_stop_reason, 1.0 same_query, 1.0 same_first_asin from t group by 1")
 def replay_agreement(spark: SparkSession, d: str) -> DataFrame:
     t = conversation_turns(spark, d)
-    gold = t.select("instance_id", "turn_id", F.col("role").alias("action"), F.lit("direct_search").alias("stop_reason"), NULL.cast("string").alias("query"), F.lit("a").alias("first_asin"), NULL.cast("string").alias("linguistic_style"), NULL.cast("string").alias("action_implication"))
+    gold = t.select("instance_id", "turn_id", F.col("role").alias("action"), F.lit("direct_search").alias("stop_reason"), F.lit(None).cast("string").alias("query"), F.lit("a").alias("first_asin"), F.lit(None).cast("string").alias("linguistic_style"), F.lit(None).cast("string").alias("action_implication"))
     again = gold.withColumn("action", F.when(F.col("turn_id") % 2 == 0, F.col("action")).otherwise("other"))
     return bulk.replay_agreement(bulk.align_replay(gold, again))
 
@@ -680,9 +677,9 @@ def missing_ids(spark: SparkSession, d: str) -> DataFrame:
  select request_id, title, price, case when request_id % 3 = 0 then 'Acme' else brand end brand, case when request_id % 2 = 0 then 'teal' else color end color, coalesce(product_category, category) base_category from p""")
 def extract_result(spark: SparkSession, d: str) -> DataFrame:
     c, key = F.col("candidate"), F.col("request_id")
-    context = c.withField("rating", NULL.cast("string")).withField("selected_options", NULL.cast("map<string,string>"))
+    context = c.withField("rating", F.lit(None).cast("string")).withField("selected_options", F.lit(None).cast("map<string,string>"))
     options = F.when(key % 6 == 0, F.create_map(F.lit(" COLOR"), F.lit("teal"), F.lit("brand"), F.lit("Acme"))).when(key % 2 == 0, F.create_map(F.lit("Color "), F.lit(" teal"))).when(key % 3 == 0, F.create_map(F.lit("Brand"), F.lit("Acme"))).otherwise(F.create_map().cast("map<string,string>"))
-    page = pairs(spark, d).select(key, context.alias("item_context"), F.struct(c["title"].alias("title"), NULL.cast("double").alias("price")).alias("selected_item"), options.alias("selected_options"), F.lit("").alias("raw_text"))
+    page = pairs(spark, d).select(key, context.alias("item_context"), F.struct(c["title"].alias("title"), F.lit(None).cast("double").alias("price")).alias("selected_item"), options.alias("selected_options"), F.lit("").alias("raw_text"))
     r = F.col("result")
     return K.extract_result(page).select("request_id", *(r[f].alias(f) for f in ("title", "price", "brand", "color", "base_category")))
 

@@ -8,9 +8,9 @@ the sketch never counts less than there is: no repeated window is lost.
 The windows left are grouped exactly. Each goes with the least gram in it: neighbours with
 the same least gram travel as one context to the task of that gram, where all windows of the
 group are compared. Grams that the sketch puts at 256 and more would make a group too
-large for one task; windows of these are grouped one by one, with partial counts before
-the shuffle. Of texts that are alike, a task sends two at most, which is enough to show that
-all their windows repeat.
+large for one task; windows of these are dealt out by their own names, packed, and what a
+task holds twice already goes out once. Of texts that are alike, a task sends two at most,
+which is enough to show that all their windows repeat.
 """
 
 from __future__ import annotations
@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .shared import bound_batches, lanes, steps, stored, utf8
+from .shared import bound_batches, lanes, n_partitions, steps, stored, utf8
 
 HOT = 3
 #: Payload bytes of whole groups that are compared together.
 TOGETHER = 1 << 20
+#: Windows of large groups that a task looks at together, and bytes of them that another task gets, about.
+BLOCK_WINDOWS, BUCKET_BYTES = 1 << 17, 4 << 20
 
 
 @dataclass(frozen=True)
@@ -214,18 +216,70 @@ def _compare(kind: Kind):
     return scan
 
 
-def _single(batches):
-    schema = pa.schema([("one", pa.int64()), ("two", pa.int64()), ("key", pa.binary()), ("low", pa.int64())])
-    for batch in batches:
-        for at in range(0, batch.num_rows, 2048):
-            part = batch.slice(at, 2048)
-            counts = np.asarray(part.column("n"), np.int64)
-            if not len(counts):
-                continue
-            names = np.frombuffer(b"".join(part.column("payload").to_pylist()), np.int64).reshape(-1, 2)
-            row = np.repeat(np.arange(len(counts)), counts)
-            low = np.asarray(part.column("start"), np.int64)[row] + np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-            yield pa.RecordBatch.from_arrays([pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy()), part.column("key").take(pa.array(row)), pa.array(low)], schema=schema)
+_ENTRY = np.dtype([("one", "<u8"), ("two", "<u8"), ("key", "<u8", 2), ("low", "<i8")])
+_PACKED = pa.schema([("bucket", pa.int32()), ("entries", pa.binary()), ("key", pa.binary()), ("low", pa.int64()), ("high", pa.int64())])
+
+
+def _pack(buckets: int):
+    """Windows of large groups, by bucket of their names.
+
+    A window that a block of rows holds twice is repeated for certain: its places go out as spans
+    (bucket -1), and one entry without a place tells other blocks. All others go out as entries.
+    """
+
+    def flush(rows):
+        counts = np.array([r[2] for r in rows], np.int64)
+        names = np.frombuffer(b"".join(r[3] for r in rows), np.uint64).reshape(-1, 2)
+        row = np.repeat(np.arange(len(counts)), counts)
+        low = np.array([r[1] for r in rows], np.int64)[row] + np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+        order = np.lexsort((names[:, 1], names[:, 0]))
+        same = (names[order][1:] == names[order][:-1]).all(axis=1)
+        repeated = np.zeros(len(row), bool)
+        repeated[order[1:][same]] = repeated[order[:-1][same]] = True
+        at, begin, end = _runs_of(repeated, counts)
+        start = np.array([r[1] for r in rows], np.int64)[at]
+        none = pa.nulls(len(at), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), -1, np.int32)), none, pa.array([rows[k][0] for k in at.tolist()], pa.binary()), pa.array(start + begin), pa.array(start + end)], schema=_PACKED)
+        first = order[np.r_[True, ~same][: len(order)]]
+        sent = np.zeros(len(first), _ENTRY)
+        sent["one"], sent["two"] = names[first, 0], names[first, 1]
+        keys = np.frombuffer(b"".join(r[0] for r in rows), np.uint64).reshape(-1, 2)
+        sent["key"], sent["low"] = keys[row[first]], np.where(repeated[first], -1, low[first])
+        bucket = (sent["one"] % np.uint64(buckets)).astype(np.int32)
+        sent, bucket = sent[np.argsort(bucket, kind="stable")], np.sort(bucket)
+        edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+        parts = [sent[x:y].tobytes() for x, y in zip(edge[:-1], edge[1:])]
+        nulls = [pa.nulls(len(parts), t) for t in (pa.binary(), pa.int64(), pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[edge[:-1]]), pa.array(parts, pa.binary()), *nulls], schema=_PACKED)
+
+    def scan(batches):
+        rows, n = [], 0
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "start", "n", "payload"))):
+                rows.append(row)
+                n += row[2]
+                if n >= BLOCK_WINDOWS:
+                    yield from flush(rows)
+                    rows, n = [], 0
+        if rows:
+            yield from flush(rows)
+
+    return scan
+
+
+def _unpack(batches):
+    """Spans of the windows of whole buckets that have two entries, or one from a block that has it twice."""
+    parts = [raw for batch in batches for raw in batch.column("entries").to_pylist()]
+    entries = np.frombuffer(b"".join(parts), _ENTRY)
+    if not len(entries):
+        return
+    entries = entries[np.lexsort((entries["two"], entries["one"]))]
+    new = np.r_[True, (entries["one"][1:] != entries["one"][:-1]) | (entries["two"][1:] != entries["two"][:-1])]
+    group = np.cumsum(new) - 1
+    known = (np.bincount(group) > 1) | (np.bincount(group, entries["low"] < 0) > 0)
+    found = entries[known[group] & (entries["low"] >= 0)]
+    keys = [k.tobytes() for k in np.ascontiguousarray(found["key"])]
+    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(found["low"].astype(np.int64)), pa.array(found["low"].astype(np.int64))], schema=_SPAN)
 
 
 def repeated_spans(docs: DataFrame, kind: Kind) -> DataFrame:
@@ -239,10 +293,12 @@ def repeated_spans(docs: DataFrame, kind: Kind) -> DataFrame:
     sent = sketch.build(texts, _anchor_keys(kind), expected)
     contexts = stored(texts.mapInArrow(_contexts(kind, sent), _CONTEXT_DDL), "hot")
     grouped = contexts.where("not hot").drop("hot").repartition("g").sortWithinPartitions("g").mapInArrow(_compare(kind), "key binary, low long, high long")
-    single = contexts.where("hot").select("key", "start", "n", "payload").mapInArrow(_single, "one long, two long, key binary, low long")
-    twice = single.groupBy("one", "two").agg(F.count("*").alias("times")).where("times > 1").select("one", "two")
-    alone = single.join(twice, ["one", "two"]).select("key", "low", F.col("low").alias("high"))
-    spans = grouped.union(alone)
+    hot = contexts.where("hot").select("key", "start", "n", "payload")
+    windows = hot.agg(F.sum("n")).first()[0] or 0
+    buckets = n_partitions(docs.sparkSession, windows * _ENTRY.itemsize, BUCKET_BYTES)
+    packed = stored(hot.mapInArrow(_pack(buckets), "bucket int, entries binary, key binary, low long, high long"))
+    alone = packed.where("bucket >= 0").select("bucket", "entries").repartition(buckets, "bucket").mapInArrow(_unpack, "key binary, low long, high long")
+    spans = grouped.union(packed.where("bucket < 0").select("key", "low", "high")).union(alone)
     return spans.groupBy("key").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
 
 

@@ -1,11 +1,15 @@
 """URL filters: host and path rules, then a character language-model ratio.
 
 Two smoothed variable-order Markov models of characters, one of accepted and one of rejected
-URLs, are counted over all URLs that the rules decide. A context is kept where it occurred
-often enough; its prediction is interpolated with that of the next shorter context
-(Witten-Bell), down to a uniform distribution. A URL's score is the difference of the two
-log-likelihoods divided by its number of characters. The threshold is calibrated on a fold
-of the decided URLs that the models haven't counted.
+URLs, are counted over all URLs that the rules decide. Every context that occurred is kept; its
+prediction is interpolated with that of the next shorter context (Witten-Bell), down to a
+uniform distribution. A URL's score is the difference of the two log-likelihoods divided by its
+number of characters. The threshold is calibrated on a fold of the decided URLs that the models
+haven't counted.
+
+The models grow with the table, so they are tables too. URLs are dealt into chunks of bounded
+length; a chunk sends each of its distinct grams (a context and the byte after it) once, with
+its counts, and gets the gram's log-ratio back, whatever the number of URLs that share it.
 """
 
 from __future__ import annotations
@@ -14,17 +18,18 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .shared import pick, stored
+from .shared import pick, stored, utf8
 
 ORDER = 4
-#: A context is kept if it holds at least this share of its model's characters, so that
-#: a model has at most ORDER / LEAST_SHARE + 1 contexts whatever the size of the table.
-LEAST_SHARE = 1e-4
 ALPHABET = 256
+#: Bytes of URLs in a chunk; a longer URL is a chunk of its own.
+CHUNK_BYTES = 1 << 16
 FOLDS = 10
 #: Bins of the calibration's score histogram, over scores from -RANGE to RANGE.
 BINS, RANGE = 4001, 8.0
@@ -49,10 +54,6 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return rule, verdict
 
 
-def _codes(url: str) -> list[int]:
-    return list(url.encode())
-
-
 class Markov:
     """Counts of the byte after each context of up to ORDER bytes, interpolated."""
 
@@ -89,62 +90,118 @@ def score(url: str | None, accepted: Markov, rejected: Markov) -> float:
     return total / len(raw) if raw else 0.0
 
 
-_COUNTS = pa.schema([("verdict", pa.string()), ("context", pa.binary()), ("byte", pa.int32()), ("n", pa.int64())])
+def _grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The gram at each byte: a 1, then up to ORDER bytes before it in its URL, then the byte; rows have no gaps."""
+    local = np.arange(len(data)) - np.repeat(starts, ends - starts)
+    wide = data.astype(np.int64)
+    out = wide + (np.int64(1) << 8 * (np.minimum(local, ORDER) + 1))
+    for k in range(1, ORDER + 1):
+        out[k:] += np.where(local[k:] >= k, wide[:-k] << 8 * k, 0)
+    return out
 
 
-def _count(batches):
-    counts: dict = {}
-    for batch in batches:
-        for url, verdict in zip(batch.column("url").to_pylist(), batch.column("verdict").to_pylist()):
-            raw = url.encode()
-            for i, byte in enumerate(raw):
-                for k in range(min(i, ORDER) + 1):
-                    key = (verdict, raw[i - k : i], byte)
-                    counts[key] = counts.get(key, 0) + 1
-        if len(counts) > 500_000:
-            yield _flat(counts)
-            counts = {}
-    yield _flat(counts)
+def _chunked(names: list[str], schema: pa.Schema):
+    def deal(batches):
+        chunk, held = TaskContext.get().partitionId() << 33, 0
+        for batch in batches:
+            _, starts, ends = utf8(batch.column("url"))
+            numbers = []
+            for n in (ends - starts).tolist():
+                if held and held + n > CHUNK_BYTES:
+                    chunk, held = chunk + 1, 0
+                held += n
+                numbers.append(chunk)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(numbers, pa.int64())], schema=schema)
 
+    return deal
 
-def _flat(counts):
-    rows = list(counts.items())
-    return pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.binary()), pa.array([k[2] for k, _ in rows], pa.int32()), pa.array([n for _, n in rows], pa.int64())], schema=_COUNTS)
 
+def in_chunks(page: DataFrame) -> DataFrame:
+    """page with the column chunk, stored so that chunks stay as they are; url is never null."""
+    names = page.columns
+    out = page.withColumn("chunk", F.lit(0).cast("long"))
+    return stored(page.mapInArrow(_chunked(names, to_arrow_schema(out.schema)), out.schema))
 
-def train(decided: DataFrame) -> dict:
-    """{verdict: Markov} from the columns url and verdict of all given rows."""
-    counted = decided.mapInArrow(_count, "verdict string, context binary, byte int, n long").groupBy("verdict", "context", "byte").agg(F.sum("n").alias("n"))
-    counted = stored(counted)
-    mass = counted.groupBy("verdict", "context").agg(F.sum("n").alias("mass"))
-    totals = {r["verdict"]: r["mass"] for r in mass.where(F.length("context") == 0).collect()}
-    least = F.lit(math.inf)
-    for k, total in totals.items():
-        least = F.when(F.col("verdict") == k, LEAST_SHARE * total).otherwise(least)
-    kept = counted.join(mass.where(F.col("mass") >= least).drop("mass"), ["verdict", "context"])
-    out: dict = {}
-    for r in kept.collect():
-        out.setdefault(r["verdict"], {})[(bytes(r["context"]), r["byte"])] = r["n"]
-    return {k: Markov(v) for k, v in out.items()}
 
+_GRAMS = pa.schema([("chunk", pa.int64()), ("gram", pa.int64()), ("allow", pa.int64()), ("block", pa.int64())])
 
-def _scored(counts: tuple, columns: list[str], schema: pa.Schema):
-    def scan(batches):
-        accepted, rejected = (Markov(c) for c in counts)
-        for batch in batches:
-            scores = pa.array([score(u, accepted, rejected) for u in batch.column("url").to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), scores], schema=schema)
+
+def _count(batches):
+    for batch in batches:
+        data, starts, ends = utf8(batch.column("url"))
+        grams, chunk, learn = _grams(data, starts, ends), np.asarray(batch.column("chunk")), np.asarray(batch.column("learn").to_pylist(), object)
+        edge = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1], True]) if len(chunk) else [0]
+        for i, j in zip(edge[:-1], edge[1:]):
+            own = grams[starts[i] : ends[j - 1]]
+            distinct, at = np.unique(own, return_inverse=True)
+            counts = [np.bincount(at, np.repeat(learn[i:j] == k, ends[i:j] - starts[i:j]), len(distinct)).astype(np.int64) for k in ("allow", "block")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(distinct), chunk[i])), pa.array(distinct), *map(pa.array, counts)], schema=_GRAMS)
+
+
+def count_grams(chunks: DataFrame) -> DataFrame:
+    """From the columns chunk, url and learn: each chunk's distinct grams, and how often they occur in URLs that the models learn from."""
+    return stored(chunks.select("chunk", "url", "learn").mapInArrow(_count, "chunk long, gram long, allow long, block long"))
+
+
+def model(counted: DataFrame) -> DataFrame:
+    """gram, allow and block: the counts of all grams and of their endings, those of no occurrence too."""
+    whole = counted.groupBy("gram").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
+    g = F.col("gram")
+    endings = F.array(*[F.when(g >= (1 << 8 * n), g.bitwiseAND((1 << 8 * n) - 1) + F.lit(1 << 8 * n)) for n in range(1, ORDER + 2)])
+    ended = whole.select(F.explode(F.array_compact(endings)).alias("gram"), "allow", "block")
+    return ended.groupBy("gram").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
+
+
+def log_ratios(counted: DataFrame) -> DataFrame:
+    """gram and ratio, its log-probability under the accepted model less that under the rejected, for all counted grams."""
+    context = W.partitionBy(F.shiftright("gram", 8))
+    mass = {f"{k}_{what}": of.over(context) for k in ("allow", "block") for what, of in (("mass", F.sum(k)), ("kinds", F.count_if(F.col(k) > 0)))}
+    known = stored(model(counted).withColumns(mass))
+    levels: list[DataFrame] = []
+    for n in range(1, ORDER + 2):
+        own, low = known.where((F.col("gram") >= (1 << 8 * n)) & (F.col("gram") < (2 << 8 * n))), 1 << 8 * (n - 1)
+        if levels:
+            shorter = levels[-1].select(F.col("gram").alias("ending"), F.col("allow_p").alias("allow_q"), F.col("block_p").alias("block_q"))
+            own = own.withColumn("ending", F.col("gram").bitwiseAND(low - 1) + F.lit(low)).join(shorter, "ending")
+        else:
+            own = own.withColumns({"allow_q": F.lit(1.0 / ALPHABET), "block_q": F.lit(1.0 / ALPHABET)})
+        p = {k: F.when(F.col(f"{k}_mass") == 0, F.col(f"{k}_q")).otherwise((F.col(k) + F.col(f"{k}_kinds") * F.col(f"{k}_q")) / (F.col(f"{k}_mass") + F.col(f"{k}_kinds"))) for k in ("allow", "block")}
+        levels.append(stored(own.select("gram", p["allow"].alias("allow_p"), p["block"].alias("block_p"))))
+    every = levels[0]
+    for level in levels[1:]:
+        every = every.unionByName(level)
+    return every.select("gram", (F.log("allow_p") - F.log("block_p")).alias("ratio"))
+
+
+def _scored(names: list[str], schema: pa.Schema):
+    def scan(chunk: pa.Table, ratios: pa.Table) -> pa.Table:
+        data, starts, ends = utf8(chunk.column("url"))
+        gram, ratio = np.asarray(ratios.column("gram")), np.asarray(ratios.column("ratio"))
+        order, n = np.argsort(gram), ends - starts
+        at = order[np.searchsorted(gram, _grams(data, starts, ends), sorter=order)]
+        sums = np.bincount(np.repeat(np.arange(len(n)), n), ratio[at], len(n))
+        return pa.Table.from_arrays([*(chunk.column(c) for c in names), pa.array(sums / np.maximum(n, 1))], schema=schema)
 
     return scan
 
 
-def with_score(df: DataFrame, models: dict) -> DataFrame:
-    """df with the column score; both models must be there."""
-    counts = tuple({(c, b): n for c, v in models[k].next.items() for b, n in v.items()} for k in ("allow", "block"))
-    fields = [pa.field(f.name, to_arrow_type(f.dataType)) for f in df.schema]
-    names = [f.name for f in df.schema]
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "score double"])
-    return df.mapInArrow(_scored(counts, names, pa.schema([*fields, ("score", pa.float64())])), ddl)
+def with_score(chunks: DataFrame, counted: DataFrame) -> DataFrame:
+    """chunks with the column score, 0 for an empty URL; counted are its grams."""
+    ratios = counted.select("chunk", "gram").join(log_ratios(counted), "gram")
+    out = chunks.withColumn("score", F.lit(0.0).cast("double"))
+    return chunks.groupBy("chunk").cogroup(ratios.groupBy("chunk")).applyInArrow(_scored(chunks.columns, to_arrow_schema(out.schema)), out.schema)
+
+
+def train(decided: DataFrame) -> dict:
+    """{verdict: Markov} on the driver from the columns url and verdict of a small table; tables are scored by log_ratios."""
+    counted = count_grams(in_chunks(decided.select("url", F.col("verdict").alias("learn"))))
+    out: dict = {}
+    for r in model(counted).collect():
+        raw = r["gram"].to_bytes(ORDER + 2, "big").lstrip(b"\0")[1:]
+        for k in ("allow", "block"):
+            if r[k]:
+                out.setdefault(k, {})[(raw[:-1], raw[-1])] = r[k]
+    return {k: Markov(v) for k, v in out.items()}
 
 
 def calibrate(histogram: list[tuple[int, str, int]]) -> float:
@@ -171,14 +228,16 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     host, path = host_and_path(F.coalesce("url", F.lit("")))
     page = page.withColumns({"host": host, "path": path})
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    page = page.withColumns({"rule": rule, "verdict": verdict})
-    decided = page.where("verdict is not null").select("url", "verdict", F.pmod(F.xxhash64("url"), F.lit(FOLDS)).alias("fold"))
-    models = train(decided.where("fold <> 0").drop("fold"))
-    if len(models) < 2:
-        return page.withColumns({"verdict": F.coalesce("verdict", F.lit("allow")), "score": F.lit(0.0)})
-    held = with_score(decided.where("fold = 0").select("url", "verdict"), models)
+    fold = F.pmod(F.xxhash64("url"), F.lit(FOLDS))
+    page = page.withColumns({"rule": rule, "verdict": verdict, "url": F.coalesce("url", F.lit("")), "fold": fold})
+    chunks = in_chunks(page.withColumn("learn", F.when(F.col("fold") != 0, F.col("verdict"))))
+    counted = count_grams(chunks)
+    learnt = counted.agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).first()
+    if not learnt["allow"] or not learnt["block"]:
+        return chunks.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"), F.lit(0.0).alias("score"))
+    judged = stored(with_score(chunks, counted))
+    held = judged.where("verdict is not null and fold = 0")
     at = F.floor((F.greatest(F.lit(-RANGE), F.least(F.lit(RANGE), F.col("score"))) * (BINS / (2 * RANGE))) + F.lit(BINS / 2)).cast("int")
     bins = held.select(F.least(at, F.lit(BINS - 1)).alias("bin"), "verdict").groupBy("bin", "verdict").count().collect()
     threshold = calibrate([(r["bin"], r["verdict"], r["count"]) for r in bins])
-    judged = with_score(page, models)
-    return judged.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.when((F.col("score") >= threshold) | (F.length(F.coalesce("url", F.lit(""))) == 0), "allow").otherwise("block")).alias("verdict"), "score")
+    return judged.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.when((F.col("score") >= threshold) | (F.length("url") == 0), "allow").otherwise("block")).alias("verdict"), "score")

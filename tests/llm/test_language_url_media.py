@@ -86,6 +86,25 @@ def test_scores_are_those_of_a_plain_model(spark):
         assert abs(model.log_probability(context, byte) - np.log(plain(context, byte))) < 1e-12
 
 
+def test_rare_contexts_count_in_every_score(spark):
+    rng = random.Random(3)
+    name = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=60))
+    rows = [(i, f"http://a.{('com/', 'net/es/', 'org/')[i % 3]}{name()}") for i in range(900)] + [(900, None), (901, "é"), (902, "http://a.org/" + "q" * urls.CHUNK_BYTES), (903, "http://a.com/" + name())]
+    page = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r["page_id"]: (r["url"], r["verdict"], r["score"], r["fold"]) for r in urls.filter_urls(page, Q.URL_RULES).join(page.withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(urls.FOLDS))), "page_id").collect()}
+    counts = {"allow": {}, "block": {}}
+    for url, verdict, _, fold in got.values():
+        if url and fold and ("a.com/" in url or "net/es/" in url):
+            raw = url.encode()
+            for i, byte in enumerate(raw):
+                for k in range(min(i, urls.ORDER) + 1):
+                    key = (raw[i - k : i], byte)
+                    counts[verdict][key] = counts[verdict].get(key, 0) + 1
+    plain = [urls.Markov(counts[k]) for k in ("allow", "block")]
+    assert len(got) == len(rows) and got[900][1:3] == ("allow", 0.0)
+    assert all(abs(score - urls.score(url, *plain)) < 1e-9 for url, _, score, _ in got.values())
+
+
 @pytest.mark.parametrize("how", [tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS])
 def test_tiff_round_trip(how):
     rng = np.random.default_rng(how)

@@ -363,6 +363,25 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
     return search.corpus_stats(corpus(spark, d))[0].groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
+# The same over all documents and whole benchmark texts; the two queries above and their SQL read English and eight terms only.
+SEARCH_ALL_SQL = SEARCH_SQL.replace("lang = 'en' and ", "").replace("[:8]", "")
+
+
+def whole_corpus(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where("text is not null").select("doc_id", "text")
+
+
+@query(SEARCH_ALL_SQL + " select query_id, doc_id, cast(score as bigint) score, rank from ranked where rank <= 10")
+def search_topk_all(spark: SparkSession, d: str) -> DataFrame:
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return search.search_topk(asked, search.postings(whole_corpus(spark, d)), 10).select("query_id", "doc_id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(SEARCH_ALL_SQL + " select term, count(*) df, cast(sum(tf) as bigint) tf from tf group by 1")
+def corpus_stats_all(spark: SparkSession, d: str) -> DataFrame:
+    return search.corpus_stats(whole_corpus(spark, d))[0].groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
 CATALOG_SEARCH_SQL = f"""with {CATALOG_SQL}, {WISHES_SQL}, toks as (select row_id doc_id, regexp_extract_all(lower(title || ' ' || p_type), '[a-z0-9]+') t from catalog),
  counts as (select doc_id, len(t) length, unnest(t) term from toks), tf as (select term, doc_id, length, count(*) tf from counts group by all),
  dfs as (select term, count(*) df from tf group by 1), tot as (select count(*) n, avg(len(t)) m from toks),

@@ -3,6 +3,8 @@ import re
 
 from colloquy import queries as Q
 
+from .oracle import SF_DIR
+
 
 def test_search_reads_all_documents_and_whole_queries(spark, tmp_path):
     texts = {1: ("alpha beta gamma", "en"), 2: ("omega alpha omega", "de"), 3: ("beta", None), 4: (None, "en"), 5: ("omega delta", "fr")}
@@ -22,3 +24,20 @@ def test_search_reads_all_documents_and_whole_queries(spark, tmp_path):
     assert got == {k: v for k, v in want.items() if v} and (1, 2) in got and (1, 5) in got
     stats = {r["term"]: (r["df"], r["tf"]) for r in Q.QUERIES["corpus_stats_all"](spark, str(tmp_path)).collect()}
     assert stats == {w: (n, sum(d.count(w) for d in docs.values())) for w, n in df.items()}
+
+
+def test_all_customers_parts_and_ids_are_evaluated(spark):
+    t = {n: Q.table(spark, SF_DIR, n).toPandas() for n in ("orders", "lineitem", "customer")}
+    lines = t["orders"].merge(t["lineitem"], left_on="o_orderkey", right_on="l_orderkey")
+    owned = set(zip(lines["o_custkey"], lines["l_partkey"]))
+    run = lambda name: Q.QUERIES[name](spark, SF_DIR).collect()
+    for name in ("evaluate_constraints_all", "page_readiness_all", "feedback_reasons_all", "extract_result_all"):
+        rows = run(name)
+        assert {(r["request_id"], r["part"]) for r in rows} == owned and len(rows) == len(owned)
+    assert {(r["request_id"], int(r["asin"])) for r in run("merge_candidates_all")} == owned
+    assert sum(r["checks"] for r in run("constraint_rates_all")) >= len(owned)
+    every = set(t["customer"]["c_custkey"])
+    assert {r["request_id"] for r in run("rule_rerank_all")} == {r["request_id"] for r in run("refresh_constraints_all")} == every
+    assert {r["instance_id"]: r["n"] for r in run("select_instances_all")} == t["orders"]["o_custkey"].value_counts().to_dict()
+    want = {f"{o}/{p}": str(p) if o % 3 == 0 else None for o, p in zip(t["lineitem"]["l_orderkey"], t["lineitem"]["l_partkey"])}
+    assert {r["selection_id"]: r["asin"] for r in run("item_context_all")} == want

@@ -34,13 +34,13 @@ _PART = pa.schema([("block", pa.int32()), ("cells", pa.binary()), ("counts", pa.
 
 
 def _parts(keys: list[np.ndarray], depth: int, bits: int):
-    """One row for each touched block of 2 ** BLOCK_BITS cells: its cells, and their counts up to 255."""
+    """One row for each touched block of 2 ** BLOCK_BITS cells: its cells, and their counts less one, cut at the last level."""
     all_keys = np.concatenate(keys)
     for row in range(depth):
         cell, n = np.unique(cells(all_keys, row, bits), return_counts=True)
         block = cell >> BLOCK_BITS
         edge = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
-        low, n = (cell & ((1 << BLOCK_BITS) - 1)).astype("<u2"), np.minimum(n, 255).astype(np.uint8)
+        low, n = (cell & ((1 << BLOCK_BITS) - 1)).astype("<u2"), (np.minimum(n, LEVELS[-1]) - 1).astype(np.uint8)
         base = row << (bits - BLOCK_BITS)
         yield pa.RecordBatch.from_arrays(
             [
@@ -59,7 +59,7 @@ def _merge(batches):
             own = sums.get(block)
             if own is None:
                 own = sums[block] = np.zeros(1 << BLOCK_BITS, np.uint32)
-            own[np.frombuffer(low, "<u2")] += np.frombuffer(n, np.uint8)
+            own[np.frombuffer(low, "<u2")] += np.frombuffer(n, np.uint8).astype(np.uint32) + 1
     for block, own in sums.items():
         level = np.searchsorted(LEVELS, own, "right").astype(np.uint8).reshape(-1, 4)
         packed = level[:, 0] | level[:, 1] << 2 | level[:, 2] << 4 | level[:, 3] << 6

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 bpe = pytest.importorskip("colloquy.llm.bpe")
 import corpus_pipeline  # noqa: E402
-from colloquy.llm import jaccard, mixing, quality, repeats, substring, suffix  # noqa: E402
+from colloquy.llm import jaccard, mixing, quality, repeats, sketch, substring, suffix  # noqa: E402
 from colloquy.llm import queries as Q  # noqa: E402
 from tests.oracle import SF_DIR, both  # noqa: E402
 
@@ -59,6 +60,18 @@ def test_repeated_windows_are_all_found(spark, monkeypatch, hot, words, size, al
     assert sorted((tuple(r) for r in got.collect()), key=str) == plain(rows, size, words)
 
 
+def test_counts_of_one_flush_reach_every_level():
+    times = {11: 1, 12: 2, 13: 16, 14: 255, 15: 256, 16: 5000}
+    keys = np.repeat(np.array(list(times), np.uint64), list(times.values()))
+    table = np.zeros(2 << sketch.LEAST_BITS >> 2, np.uint8)
+    size = (1 << sketch.BLOCK_BITS) // 4
+    for batch in sketch._merge(sketch._parts([keys], 2, sketch.LEAST_BITS)):
+        for r in batch.to_pylist():
+            table[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(r["levels"], np.uint8)
+    levels = sketch.Levels(SimpleNamespace(value=(table.tobytes(), 2, sketch.LEAST_BITS)))
+    assert levels.of(np.array(list(times), np.uint64)).tolist() == [0, 1, 2, 2, repeats.HOT, repeats.HOT]
+
+
 def test_no_window_in_an_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert substring.remove_repeated_words(df).count() == suffix.remove_repeated_bytes(df).count() == 0

@@ -815,14 +815,14 @@ def timed_log(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {SHIFTS_SQL}, best as (select instance_id, count(*) n, max(turn_id) last_turn from shifts group by 1) select instance_id, cast(n as bigint) states, cast(last_turn as bigint) last_turn from best")
 def stream_intentions(spark: SparkSession, d: str) -> DataFrame:
     made = order_shifts(spark, d)[1].select("instance_id", F.col("turn_id").cast("long").alias("turn_id"), "op", "field", "value")
-    states = drained(spark, made.repartition(2), streams.stream_intentions)
+    states = drained(spark, made, streams.stream_intentions)
     return states.groupBy("instance_id").agg(F.count("*").alias("states"), F.max("turn_id").alias("last_turn"))
 
 
 @query(f"with {STEPS_SQL}, m as (select *, case when action_type = 'buy' then 'virtual_buy' when repeat_streak >= 2 or stagnant_steps >= 2 then 'stuck' when step_index >= 12 then 'step_budget' end r from s4) select instance_id, turn_id, min(step_index) step_index, arg_min(r, step_index) stop_reason from m where r is not null group by all")
 def stream_stop_monitor(spark: SparkSession, d: str) -> DataFrame:
     rows = judged_steps(spark, d).withColumn("signature", F.to_json(steps.action_signature())).select("instance_id", "turn_id", F.col("step_index").cast("long").alias("step_index"), "action_type", "signature", F.col("made_progress").alias("progress"))
-    return drained(spark, rows.coalesce(1), lambda s: streams.stream_stop_monitor(s, steps.MAX_STEPS, None))
+    return drained(spark, rows, lambda s: streams.stream_stop_monitor(s, steps.MAX_STEPS, None))
 
 
 @query(f"with {LOG_SQL} select epoch_ms(cast(floor(ts / 60) * 60000 as bigint)) w, count(*) filter (event = 'request') requests, count(*) filter (event = 'fallback') fallbacks, cast(sum(tokens) as bigint) tokens from lg group by 1")

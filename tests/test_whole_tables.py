@@ -1,6 +1,8 @@
 import math
 import re
 
+import pytest
+
 from colloquy import queries as Q
 
 from .oracle import SF_DIR
@@ -41,3 +43,17 @@ def test_all_customers_parts_and_ids_are_evaluated(spark):
     assert {r["instance_id"]: r["n"] for r in run("select_instances_all")} == t["orders"]["o_custkey"].value_counts().to_dict()
     want = {f"{o}/{p}": str(p) if o % 3 == 0 else None for o, p in zip(t["lineitem"]["l_orderkey"], t["lineitem"]["l_partkey"])}
     assert {r["selection_id"]: r["asin"] for r in run("item_context_all")} == want
+
+
+@pytest.mark.parametrize("name", ["stream_intentions", "stream_stop_monitor"])
+def test_streams_leave_the_spread_to_spark(spark, monkeypatch, name):
+    plans = []
+
+    def seen(session, source, job, mode="append"):
+        plans.append(source._jdf.queryExecution().logical().toString())
+        raise LookupError
+
+    monkeypatch.setattr(Q, "drained", seen)
+    with pytest.raises(LookupError):
+        Q.QUERIES[name](spark, SF_DIR)
+    assert plans and not any("Repartition" in line for line in plans[0].splitlines())

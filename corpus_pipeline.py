@@ -24,7 +24,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that start anywhere else go; n_chars follows the text."""
+    """Strings of 400 bytes that start anywhere else go; n_chars follows the text.
+
+    Shorter repeated passages stay, those of 51 to about 65 words too: the window is op10's.
+    """
     return suffix.remove_repeated_bytes(docs, text=True).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

@@ -1,6 +1,6 @@
 """BPE encoding and decoding by tree concatenation.
 
-A long text is halved again and again; the leaves are encoded together, and neighbours are
+A long text is halved again and again; the leaves are encoded one after another in its task, and neighbours are
 joined again from the bottom up. At a join a window of tokens, one on each side at first, is
 encoded anew and grows twofold until its first and last token are those that both sides
 hold already. That is exact inside a run of one class of characters, which the vocabulary's

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import types
@@ -10,21 +11,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: A word is a maximal run of characters other than these six white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised step works on; memory per task is a multiple of about a hundred.
 STEP_BYTES = 1 << 19
+#: Bytes of a string that are hashed together; longer strings are hashed in parts.
+HASH_BYTES = 1 << 16
 #: Rows of an Arrow batch. Spark's 10,000 would be tens of MB of long texts, in the JVM and in Python.
 BATCH_ROWS = 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a new one in local mode."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="colloquy-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -60,6 +67,37 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return renamed.select(*[F.col(f"c{exact[n][0]}").alias(n) for n in names])
 
 
+def plain(df: DataFrame, *names: str) -> DataFrame:
+    """All columns of df: the named ones keep their names, others get names that clash with nothing.
+
+    The columns stay in place, so toDF(*df.columns) undoes it.
+    """
+    bound_batches(df.sparkSession)
+    return df.toDF(*[c if c in names else f"other column {i}" for i, c in enumerate(df.columns)])
+
+
+def _dealt(column: str, most: int, names: list[str], schema: pa.Schema):
+    def deal(batches):
+        chunk, held = TaskContext.get().partitionId() << 33, 0
+        for batch in batches:
+            _, starts, ends = utf8(batch.column(column))
+            numbers = []
+            for n in (ends - starts).tolist():
+                if held and held + n > most:
+                    chunk, held = chunk + 1, 0
+                held += n
+                numbers.append(chunk)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(numbers, pa.int64())], schema=schema)
+
+    return deal
+
+
+def in_chunks(df: DataFrame, column: str, most: int) -> DataFrame:
+    """df with the column chunk, which numbers runs of rows of about `most` bytes, one row at least; stored, so that chunks stay as they are."""
+    names, out = df.columns, df.withColumn("chunk", F.lit(0).cast("long"))
+    return stored(df.mapInArrow(_dealt(column, most, names, to_arrow_schema(out.schema)), out.schema))
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The bytes of a string or binary column with each row's start and end; a null row is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -125,13 +163,31 @@ class Lane:
         """Hash of each byte segment; segments are disjoint, in order and not empty."""
         if not len(starts):
             return np.zeros(0, np.uint64)
-        total = int(lengths.sum())
-        local = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        index = local + np.repeat(starts, lengths)
-        values = self.table[data[index]] * self.power(int(lengths.max()))[local]
-        sums = np.add.reduceat(values, np.cumsum(lengths) - lengths)
+        n = -(-lengths // HASH_BYTES)
+        if n.max() == 1:
+            sums = self._sums(data, starts, lengths)
+        else:  # parts of HASH_BYTES, each moved to its place in the segment
+            first = np.cumsum(n) - n
+            k = np.arange(int(n.sum())) - np.repeat(first, n)
+            begin = np.repeat(starts, n) + k * HASH_BYTES
+            parts = self._sums(data, begin, np.minimum(np.repeat(starts + lengths, n) - begin, HASH_BYTES))
+            moved = powers(pow(self.base, HASH_BYTES, 1 << 64), int(n.max()))
+            sums = np.add.reduceat(parts * moved[k], first)
         return mix(sums ^ (lengths.astype(np.uint64) << np.uint64(40)))
 
+    def _sums(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        out, total = np.empty(len(starts), np.uint64), np.cumsum(lengths)
+        i = 0
+        while i < len(starts):
+            j = max(i + 1, int(np.searchsorted(total, total[i] - lengths[i] + STEP_BYTES, "right")))
+            size = lengths[i:j]
+            begin = np.cumsum(size) - size
+            local = np.arange(int(size.sum())) - np.repeat(begin, size)
+            values = self.table[data[local + np.repeat(starts[i:j], size)]] * self.power(int(size.max()))[local]
+            out[i:j] = np.add.reduceat(values, begin)
+            i = j
+        return out
+
     def windows(self, values: np.ndarray, size: int) -> np.ndarray:
         """Hash of values[i : i + size] for each i; values are 64-bit and well mixed."""
         n = len(values) - size + 1

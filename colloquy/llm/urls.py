@@ -5,7 +5,7 @@ URLs, are counted over all URLs that the rules decide. Every context that occurr
 prediction is interpolated with that of the next shorter context (Witten-Bell), down to a
 uniform distribution. A URL's score is the difference of the two log-likelihoods divided by its
 number of characters. The threshold is calibrated on a fold of the decided URLs that the models
-haven't counted.
+haven't counted; if that fold lacks a kind, on all decided URLs.
 
 The models grow with the table, so they are tables too. URLs are dealt into chunks of bounded
 length; a chunk sends each of its distinct grams (a context and the byte after it) once, with
@@ -18,13 +18,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .shared import pick, stored, utf8
+from .shared import in_chunks, pick, stored, utf8
 
 ORDER = 4
 ALPHABET = 256
@@ -100,29 +99,6 @@ def _grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return out
 
 
-def _chunked(names: list[str], schema: pa.Schema):
-    def deal(batches):
-        chunk, held = TaskContext.get().partitionId() << 33, 0
-        for batch in batches:
-            _, starts, ends = utf8(batch.column("url"))
-            numbers = []
-            for n in (ends - starts).tolist():
-                if held and held + n > CHUNK_BYTES:
-                    chunk, held = chunk + 1, 0
-                held += n
-                numbers.append(chunk)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(numbers, pa.int64())], schema=schema)
-
-    return deal
-
-
-def in_chunks(page: DataFrame) -> DataFrame:
-    """page with the column chunk, stored so that chunks stay as they are; url is never null."""
-    names = page.columns
-    out = page.withColumn("chunk", F.lit(0).cast("long"))
-    return stored(page.mapInArrow(_chunked(names, to_arrow_schema(out.schema)), out.schema))
-
-
 _GRAMS = pa.schema([("chunk", pa.int64()), ("gram", pa.int64()), ("allow", pa.int64()), ("block", pa.int64())])
 
 
@@ -194,7 +170,7 @@ def with_score(chunks: DataFrame, counted: DataFrame) -> DataFrame:
 
 def train(decided: DataFrame) -> dict:
     """{verdict: Markov} on the driver from the columns url and verdict of a small table; tables are scored by log_ratios."""
-    counted = count_grams(in_chunks(decided.select("url", F.col("verdict").alias("learn"))))
+    counted = count_grams(in_chunks(decided.select("url", F.col("verdict").alias("learn")), "url", CHUNK_BYTES))
     out: dict = {}
     for r in model(counted).collect():
         raw = r["gram"].to_bytes(ORDER + 2, "big").lstrip(b"\0")[1:]
@@ -220,9 +196,9 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """page_id, host, path, rule, verdict (allow or block) and score for each page.
 
     The rules decide where one fits; elsewhere the models do. A null or empty url fits no
-    rule and scores 0. If the rules decide no url of one kind there is nothing to compare,
-    and all others are allowed. Repeated rows count as often as they occur; an empty table
-    gives no row; other columns are not read.
+    rule and scores 0. If the rules decide no url of one kind that the models can learn from,
+    there is nothing to compare, and all others are allowed. Repeated rows count as often as they occur; an empty table
+    gives no row; other columns are not read. A very long url is a chunk of its own, whole.
     """
     page = pick(pages, "page_id", "url")
     host, path = host_and_path(F.coalesce("url", F.lit("")))
@@ -230,14 +206,15 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     fold = F.pmod(F.xxhash64("url"), F.lit(FOLDS))
     page = page.withColumns({"rule": rule, "verdict": verdict, "url": F.coalesce("url", F.lit("")), "fold": fold})
-    chunks = in_chunks(page.withColumn("learn", F.when(F.col("fold") != 0, F.col("verdict"))))
+    chunks = in_chunks(page.withColumn("learn", F.when(F.col("fold") != 0, F.col("verdict"))), "url", CHUNK_BYTES)
     counted = count_grams(chunks)
     learnt = counted.agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).first()
     if not learnt["allow"] or not learnt["block"]:
         return chunks.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"), F.lit(0.0).alias("score"))
     judged = stored(with_score(chunks, counted))
-    held = judged.where("verdict is not null and fold = 0")
+    held = judged.where("verdict is not null").withColumn("held", F.col("fold") == 0)
     at = F.floor((F.greatest(F.lit(-RANGE), F.least(F.lit(RANGE), F.col("score"))) * (BINS / (2 * RANGE))) + F.lit(BINS / 2)).cast("int")
-    bins = held.select(F.least(at, F.lit(BINS - 1)).alias("bin"), "verdict").groupBy("bin", "verdict").count().collect()
-    threshold = calibrate([(r["bin"], r["verdict"], r["count"]) for r in bins])
+    bins = held.select(F.least(at, F.lit(BINS - 1)).alias("bin"), "verdict", "held").groupBy("bin", "verdict", "held").count().collect()
+    both = {r["verdict"] for r in bins if r["held"]} == {"allow", "block"}
+    threshold = calibrate([(r["bin"], r["verdict"], r["count"]) for r in bins if r["held"] or not both])
     return judged.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.when((F.col("score") >= threshold) | (F.length("url") == 0), "allow").otherwise("block")).alias("verdict"), "score")

@@ -24,19 +24,23 @@ QUALITY = rf"""with d as (select row_number() over () rid, doc_id, text, lang fr
  failed as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed from base),
  k0 as (select rid, lang, length(text) total, {", ".join(f"{c} c{i}" for i, c in enumerate(_CLASSES))} from d where text is not null),
  k as (select rid, lang, unnest([c0, c1, c2, c3, c4, c5, total - c0 - c1 - c2 - c3 - c4 - c5]) n, unnest(range(7)) k from k0),
- kref as (select lang, k, sum(n) n from k group by all), ksum as (select lang, sum(n) s from kref group by all),
- kp as (select k.rid, k.n / nullif(sum(k.n) over (partition by k.rid), 0) p, kref.n / ksum.s q, sum(k.n) over (partition by k.rid) total from k join kref on k.k = kref.k and k.lang is not distinct from kref.lang join ksum on k.lang is not distinct from ksum.lang),
- kd as (select rid, any_value(total) chars, sqrt(greatest(0, (sum(case when p > 0 then p * log2(p / ((p + q) / 2)) else 0 end) + sum(case when q > 0 then q * log2(q / ((p + q) / 2)) else 0 end)) / 2)) js from kp group by 1),
  totals as (select lang, count(*) s from words group by all),
- common as (select w.lang, word, count(*) n, any_value(s) s from words w join totals t on w.lang is not distinct from t.lang group by w.lang, word having {COMMON} * count(*) >= any_value(s)),
- bins as (select f.rid, f.lang, c.word, c.n / c.s q, f.n_words from failed f join common c on f.lang is not distinct from c.lang where f.n_words > 0),
+ langs as (select distinct lang from d),
+ groups as (select lang, coalesce('L' || lang, 'none') g from langs union all select lang, 'all' from langs),
+ ref as (select langs.lang, case when coalesce(s, 0) >= {MIN_REFERENCE_WORDS} then coalesce('L' || langs.lang, 'none') else 'all' end g from langs left join totals on langs.lang is not distinct from totals.lang),
+ sizes as (select g, sum(s) s from groups join totals on groups.lang is not distinct from totals.lang group by 1),
+ kref as (select g, k, sum(n) n from k join groups on k.lang is not distinct from groups.lang group by all), ksum as (select g, sum(n) s from kref group by all),
+ kp as (select k.rid, k.n / nullif(sum(k.n) over (partition by k.rid), 0) p, kref.n / ksum.s q, sum(k.n) over (partition by k.rid) total from k join ref on k.lang is not distinct from ref.lang join kref on k.k = kref.k and ref.g = kref.g join ksum on ref.g = ksum.g),
+ kd as (select rid, any_value(total) chars, sqrt(greatest(0, (sum(case when p > 0 then p * log2(p / ((p + q) / 2)) else 0 end) + sum(case when q > 0 then q * log2(q / ((p + q) / 2)) else 0 end)) / 2)) js from kp group by 1),
+ common as (select w.g, word, sum(n) n, any_value(s) s from (select g, word, count(*) n from words join groups on words.lang is not distinct from groups.lang group by all) w join sizes on w.g = sizes.g group by w.g, word having {COMMON} * sum(n) >= any_value(s)),
+ bins as (select f.rid, c.word, c.n / c.s q, f.n_words from failed f join ref on f.lang is not distinct from ref.lang join common c on ref.g = c.g where f.n_words > 0),
  own as (select rid, word, count(*) n from words group by all),
  filled as (select b.rid, b.q, coalesce(o.n, 0) / b.n_words p from bins b left join own o on b.rid = o.rid and b.word = o.word),
  wp as (select rid, p, q from filled union all select rid, 1 - sum(p), 1 - sum(q) from filled group by 1),
  wd as (select rid, sqrt(greatest(0, (sum(case when p > 1e-12 then p * log2(p / ((p + q) / 2)) else 0 end) + sum(case when q > 1e-12 then q * log2(q / ((p + q) / 2)) else 0 end)) / 2)) js from wp group by 1)
  select doc_id, n_words, cast(word_chars as bigint) word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and (coalesce(t.s, 0) < {MIN_REFERENCE_WORDS} or (not (coalesce(chars, 0) >= {MIN_CHARS} and coalesce(kd.js, 0) > {MAX_CHAR_DISTANCE}) and not (n_words >= {MIN_WORDS} and coalesce(wd.js, 0) > {MAX_WORD_DISTANCE}))) kept
- from failed f left join kd using (rid) left join wd using (rid) left join totals t on f.lang is not distinct from t.lang"""
+ from failed f left join kd using (rid) left join wd using (rid) join ref on f.lang is not distinct from ref.lang left join sizes t on ref.g = t.g"""
 
 SUBSTRING = rf"""with d as (select row_number() over () rid, doc_id, regexp_extract_all(coalesce(text, ''), '{W}') w from documents),
  words as (select rid, unnest(w) word, generate_subscripts(w, 1) i from d),

@@ -27,8 +27,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from . import sketch
 from .components import connected
-from .shared import lanes, mix, pick, steps, stored, utf8
-from .substring import _units
+from .shared import STEP_BYTES, lanes, mix, pick, plain, steps, stored, utf8
+from .substring import _pieces, words_of
 
 NGRAM = 5
 #: A link needs PERCENT * union <= 100 * intersection.
@@ -43,22 +43,33 @@ def _lower(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
 
 
+def _grams(data, starts, ends, size: int):
+    """Hashes of the n-grams of some rows, their rows, the rows' numbers of words and the words' hashes."""
+    values, first, last = words_of(data, starts, ends)
+    one, n = values(0), last - first
+    windows = lanes()[0].windows(one, size)
+    row = np.repeat(np.arange(len(starts)), n)
+    full = (np.repeat(last, n) - np.arange(len(one)))[: len(windows)] >= size
+    return windows[full], row[: len(windows)][full], first, n, one
+
+
 def shingles(batches, size: int):
     """(row keys' slice, hashes, row of each): the distinct n-grams of each row, ordered by row and hash."""
     for batch in batches:
         data, starts, ends = utf8(batch.column("text"))
         for i, j in steps(starts, ends):
             low = starts[i]
-            (one, two), first, last = _units(_lower(data[low : ends[j - 1]]), starts[i:j] - low, ends[i:j] - low)
-            n = last - first
-            windows = lanes()[0].windows(one, size)
-            row = np.repeat(np.arange(j - i), n)
-            left = np.repeat(last, n) - np.arange(len(one))
-            full = left[: len(windows)] >= size
-            h, r = windows[full], row[: len(windows)][full]
+            part = _lower(data[low : ends[j - 1]])
+            pieces = _pieces(size)(part, STEP_BYTES) if j == i + 1 and len(part) > STEP_BYTES else []
+            if len(pieces) > 1:  # one long text, in pieces that overlap by an n-gram less one word
+                h = np.concatenate([_grams(part[a:b], np.array([0]), np.array([b - a]), size)[0] for _, a, b in pieces])
+                h = np.unique(h)
+                yield batch.slice(i, 1), h, np.zeros(len(h), np.int64)
+                continue
+            h, r, first, n, one = _grams(part, starts[i:j] - low, ends[i:j] - low, size)
             # fewer words than an n-gram has: all of them are one
             few = np.flatnonzero((n > 0) & (n < size))
-            short = [mix(np.array([(int(n[k]) << 32) + sum(int(x) * (2 * s + 3) for s, x in enumerate(one[first[k] : last[k]])) & 0xFFFFFFFFFFFFFFFF], np.uint64)) for k in few]
+            short = [mix(np.array([(int(n[k]) << 32) + sum(int(x) * (2 * s + 3) for s, x in enumerate(one[first[k] : first[k] + n[k]])) & 0xFFFFFFFFFFFFFFFF], np.uint64)) for k in few]
             h, r = np.concatenate([h, *short]), np.concatenate([r, few]).astype(np.int64)
             order = np.lexsort((h, r))
             h, r = h[order], r[order]
@@ -139,15 +150,18 @@ def jaccard_groups(docs: DataFrame, size: int = NGRAM, percent: int = PERCENT, c
     null text, or one without words, has no n-gram and links with nothing; its component is
     itself and its name null. Equal sets link, however many there are. Rows alike are in one
     component. A null doc_id is passed over when the smallest is taken. An empty table
-    gives no row; other columns are not read.
+    gives no row; other columns are not read. A very long text is hashed in pieces; a task
+    holds one text's set at a time.
     """
-    rows = pick(docs, "doc_id", "text", *columns)
+    own = [f"own column {i}" for i in range(len(columns))]
+    rows = pick(docs, "doc_id", "text", *columns).toDF("doc_id", "text", *own)
     kept = rows.drop("text").schema
     sent = sketch.build(rows.select("text"), _keys(size), sketch.total_bytes(rows) // 6 * 2, depth=1, most=28)
     made = [("n", pa.int64()), ("name", pa.binary()), ("at", pa.int32()), ("prefix", pa.list_(pa.int64())), ("fragments", pa.list_(pa.list_(pa.int64())))]
     schema = pa.schema([*((f.name, to_arrow_type(f.dataType)) for f in kept), *made])
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     members = stored(rows.mapInArrow(_members(size, percent, sent, kept.names, schema), f"{ddl}, n long, name binary, at int, prefix array<long>, fragments array<array<long>>"))
+    sent.destroy()
     found = members.where("prefix is not null")
     lists = stored(found.select("name", "n", "at", F.posexplode("prefix").alias("k", "gram")).select("name", "n", (F.col("at") + F.col("k")).alias("at"), "gram").distinct())
     hubs = lists.groupBy("gram").agg(F.max(F.struct((F.col("n") - F.col("at")) / F.col("n"), F.col("n"), F.col("name"), F.col("at"))).alias("hub"), F.count("*").alias("members")).where("members > 1")
@@ -180,20 +194,23 @@ def jaccard_groups(docs: DataFrame, size: int = NGRAM, percent: int = PERCENT, c
     of_name = least.join(of_root, "root").select("name", "component_id", F.col("root").alias("component"))
     out = members.select(*kept.names, "n", "name").join(of_name, "name", "left")
     component = F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "component", *columns)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "component", *(F.col(a).alias(b) for a, b in zip(own, columns)))
 
 
 def one_of_each(docs: DataFrame, size: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """The rows of docs without near copies: of each component the row with the least doc_id, then text, stays.
 
-    Rows without words stay. Of rows alike in doc_id and text one stays.
+    All columns stay, whatever they are called. Rows without words, null texts too, stay, one for
+    each doc_id and text; of rows alike in doc_id and text one stays; a null doc_id comes after all
+    others. An empty table gives no row.
     """
-    keyed = docs.withColumn("text_key", F.md5(F.col("text").cast("binary")))
-    groups = jaccard_groups(keyed, size, percent, ("text_key",))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    first = groups.where("component is not null").groupBy("component").agg(F.min(order).alias("first")).select("first.doc_id", "first.text_key")
-    wordless = groups.where("component is null").select("doc_id", "text_key").distinct()
-    stay = first.union(wordless).select(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key"))
-    found = keyed.join(stay, F.col("doc_id").eqNullSafe(F.col("own_id")) & F.col("text_key").eqNullSafe(F.col("own_key")), "left_semi")
-    nth = F.row_number().over(W.partitionBy("doc_id", "text_key").orderBy("doc_id"))
-    return found.withColumn("nth", nth).where("nth = 1").select(*docs.columns)
+    own = plain(docs, "doc_id", "text")
+    keyed = own.withColumn("text key", F.md5(F.col("text").cast("binary")))
+    groups = jaccard_groups(keyed, size, percent, ("text key",))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text key")
+    first = groups.where("component is not null").groupBy("component").agg(F.min(order).alias("first")).select("first.doc_id", "first.text key")
+    wordless = groups.where("component is null").select("doc_id", "text key").distinct()
+    stay = first.union(wordless).toDF("own id", "own key")
+    found = keyed.join(stay, F.col("doc_id").eqNullSafe(F.col("own id")) & F.col("text key").eqNullSafe(F.col("own key")), "left_semi")
+    nth = F.row_number().over(W.partitionBy("doc_id", "text key").orderBy("doc_id"))
+    return found.withColumn("nth row", nth).where(F.col("nth row") == 1).select(*own.columns).toDF(*docs.columns)

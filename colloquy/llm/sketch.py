@@ -1,7 +1,8 @@
-"""Count-min sketches that are built in partitions, merged by Spark and read on every executor.
+"""Count-min sketches that are built in partitions and merged by Spark.
 
 Cells never count less than their keys occurred, so what they report as rare is rare. A cell
-is kept as one of four levels: under 2, under 16, under 256, and more.
+is kept as one of four levels: under 2, under 16, under 256, and more. A sketch of bounded size
+is sent to every executor; a larger one stays a table of cells, and who asks joins it.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from .shared import mix, n_partitions
 
 LEVELS = (2, 16, 256)
 BLOCK_BITS = 16
-#: Cells of a row: about one a key, at most 2 ** MOST_BITS. Two rows of that are 64 MB on
-#: the driver and in each Python worker; a larger input loses filtering, never results.
+#: Cells of a row: about one a key, at most 2 ** MOST_BITS where it is sent. Two rows of that are
+#: 64 MB on the driver and in each Python worker.
 LEAST_BITS, MOST_BITS = 16, 27
 #: Keys that a task counts before it sends them on.
 FLUSH = 1 << 20
@@ -107,6 +108,34 @@ class Levels:
         return out
 
 
+def asked(chunk: int, keys: np.ndarray, bits: int) -> pa.RecordBatch:
+    """The cells that a chunk touches in a sketch that stays a table, and how often."""
+    cell, n = np.unique(cells(keys, 0, bits), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), chunk)), pa.array(cell), pa.array(n.astype(np.int64))], names=["chunk", "cell", "n"])
+
+
+def answers(asking: DataFrame) -> DataFrame:
+    """(chunk, cell, level) of those cells in `asking` (chunk, cell, n) whose level isn't 0; partial counts come first."""
+    level = F.when(F.col("all") >= LEVELS[2], 3).when(F.col("all") >= LEVELS[1], 2).otherwise(1).cast("byte")
+    merged = asking.groupBy("cell").agg(F.sum("n").alias("all")).where(F.col("all") >= LEVELS[0])
+    return asking.join(merged, "cell").select("chunk", "cell", level.alias("level"))
+
+
+class Answers:
+    """What a chunk got back, in place of Levels."""
+
+    def __init__(self, cell: np.ndarray, level: np.ndarray, bits: int):
+        order = np.argsort(cell)
+        self.cell, self.level, self.bits = cell[order], level[order].astype(np.uint8), bits
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.cell):
+            return np.zeros(len(keys), np.uint8)
+        cell = cells(keys, 0, self.bits)
+        at = np.minimum(np.searchsorted(self.cell, cell), len(self.cell) - 1)
+        return np.where(self.cell[at] == cell, self.level[at], 0).astype(np.uint8)
+
+
 def total_bytes(docs: DataFrame) -> int:
     """Bytes of all texts."""
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -1,8 +1,8 @@
 """Substring dedup of word windows with a count-min prefilter.
 
-Sketches of partitions are merged into one that overestimates how often windows occur,
-through the grams that anchor them; a second pass groups exactly the windows that it
-takes for repeated, and loses none. See repeats.py.
+Sketches of partitions are merged into one that overestimates how often each window occurs,
+by the least count of the grams that anchor it; a second pass groups exactly the windows that
+it takes for repeated, and loses none. See repeats.py.
 """
 
 from __future__ import annotations
@@ -30,37 +30,56 @@ def _apart(data, starts, ends):
     return out, starts + shift
 
 
-def _units(data, starts, ends):
+def words_of(data, starts, ends):
+    """Hashes of words by lane, each computed when it is asked for, and each row's first word and end."""
     spaced, begins = _apart(data, starts, ends)
     begin, end = word_spans(spaced)
     first = np.searchsorted(begin, begins)
     last = np.r_[first[1:], len(begin)]
-    return tuple(lane.segments(spaced, begin, end - begin) for lane in lanes()), first, last
+    done: dict = {}
 
+    def values(lane: int) -> np.ndarray:
+        if lane not in done:
+            done[lane] = lanes()[lane].segments(spaced, begin, end - begin)
+        return done[lane]
 
-def _payload(kind, part, place, n):
-    return repeats._named(kind, part, place, n)
+    return values, first, last
 
 
-def _names(payloads, counts):
-    names = np.frombuffer(b"".join(payloads), np.uint64).reshape(-1, 2)
-    return names[:, 0], names[:, 1]
+def _pieces(size: int):
+    def cut(data, most):
+        begin, end = word_spans(data)
+        out, at = [], 0
+        while at < len(begin):
+            n = max(1, int(np.searchsorted(begin, begin[at] + most)) - at)
+            last = min(len(begin), at + n + size - 1) - 1
+            out.append((at, int(begin[at]), int(end[last])))
+            at += n
+        return out
+
+    return cut
+
+
+def _repeated(payloads, counts):
+    names = repeats.binary_bytes(payloads)[0].view(np.uint64).reshape(-1, 2)
+    return repeats.equal_names(names)[0]
 
 
 def kind_of(size: int = WINDOW) -> repeats.Kind:
     """Windows of `size` words, 8 at least."""
     gram = max(2, size * 2 // 7)
-    return repeats.Kind(size, gram, max(2, min(12, size - gram)), 6.0, _units, _payload, _names)
+    return repeats.Kind(size, gram, max(2, min(12, size - gram)), 6.0, words_of, _pieces(size), repeats._named, _repeated)
 
 
-def remove_repeated_words(docs: DataFrame, size: int = WINDOW, text: bool = False) -> DataFrame:
+def remove_repeated_words(docs: DataFrame, size: int = WINDOW, text: bool = False, most: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each document; with text=True the kept words too.
 
     A null or empty text has no words. Rows alike lose all words that their windows cover, since
     each window starts in the other row too; an empty table gives no row; other columns are
-    not read.
+    not read. A very long text is scanned in pieces, and only the last step, which gives it
+    back, holds it whole. `most` bounds the bits of the sketch that is sent to executors.
     """
-    rows = repeats.with_spans(pick(docs, "doc_id", "text"), kind_of(size))
+    rows = repeats.with_spans(pick(docs, "doc_id", "text"), kind_of(size), most)
     id_type = rows.schema["doc_id"].dataType
     fields = [("doc_id", to_arrow_type(id_type)), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.string())] * text
     schema = pa.schema(fields)
@@ -74,7 +93,7 @@ def remove_repeated_words(docs: DataFrame, size: int = WINDOW, text: bool = Fals
                     raw = (value or "").encode()
                     begin, end = word_spans(np.frombuffer(raw, np.uint8))
                     gone = repeats.removed(spans, len(begin), size)
-                    kept = b" ".join(raw[a:b] for a, b in zip(begin[~gone].tolist(), end[~gone].tolist()))
+                    kept = b" ".join([raw[a:b] for a, b in zip(begin[~gone].tolist(), end[~gone].tolist())])
                     out.append((key, len(begin), int(gone.sum()), hashlib.sha256(kept).hexdigest()) + (kept.decode(),) * text)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 

@@ -9,7 +9,7 @@ from . import bpe, jaccard, langid, mixing, quality, substring, suffix, tiff, ur
 from .oracle import ORACLE_SQL as ORACLE_SQL
 
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
-TOKENIZER = "byte_bpe_50k.tiktoken"
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tokenizer() -> tuple[str, str]:
-    """Path of the public ranks file, and its pattern."""
+    """Path of the public vocabulary file, and its pattern."""
     import public_tokenizers
 
     return public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN

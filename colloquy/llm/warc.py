@@ -3,17 +3,21 @@
 Each task writes archives whose records are sorted by URL key and time, one gzip member a
 record. A payload is stored once, by the capture with the largest id; others revisit it.
 Reading an archive gives a run of index rows in that order. The runs are dealt out by ranges
-of (URL key, time, id), and in each range a loser tree merges its k runs, so all ranges
-together list every URL's capture history in global order.
+of (URL key, time, id), and in each range loser trees merge them in two levels: what comes
+of many runs is merged as soon as BUFFER_ROWS rows are there and goes to a file of the task's
+own, as one longer run; those files are then merged, a few rows of each in memory. So all
+ranges together list every URL's capture history in global order.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import tempfile
 import zlib
 from collections.abc import Iterator
 from datetime import datetime, timezone
+from itertools import islice
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -25,10 +29,10 @@ from .urls import host_and_path
 
 #: Compressed bytes after which a task begins its next archive.
 ARCHIVE_BYTES = 8 << 20
-#: Index rows that one range of the merge holds, about.
-RANGE_ROWS = 1 << 19
-#: Captures without a time of their own: this second plus their id.
-EPOCH = 1_700_000_000
+#: Index rows that one range of the merge gets, about; rows that are merged in memory; and rows of a longer run that are read at once.
+RANGE_ROWS, BUFFER_ROWS, READ_ROWS = 1 << 19, 1 << 16, 1 << 12
+#: Captures without a time of their own: this second plus their id modulo SECONDS, so that any id makes a date.
+EPOCH, SECONDS = 1_700_000_000, 1_000_000_000
 CRLF = b"\r\n"
 
 
@@ -112,7 +116,7 @@ def write_archives(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     # Payloads that occur once need no join; the others' winners are one row a payload.
     winners = sized.where(F.col("bytes") >= least_bytes).groupBy("sha1").agg(F.max("page_id").alias("winner"), F.count("*").alias("n")).where("n > 1").drop("n")
     rows = page.join(winners, "sha1", "left")
-    rows = rows.withColumns({"refers_to": F.when(~F.col("page_id").eqNullSafe(F.col("winner")), F.col("winner")), "seconds": F.lit(EPOCH) + F.coalesce("page_id", F.lit(0)), "key": url_key(F.coalesce("url", F.lit("")))})
+    rows = rows.withColumns({"refers_to": F.when(~F.col("page_id").eqNullSafe(F.col("winner")), F.col("winner")), "seconds": F.lit(EPOCH) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(SECONDS)), "key": url_key(F.coalesce("url", F.lit("")))})
     rows = rows.select("page_id", "url", "html", "sha1", "refers_to", "seconds", "key").sortWithinPartitions("key", "seconds", "page_id")
     return stored(rows.mapInArrow(_write, "archive string, data binary"))
 
@@ -147,19 +151,27 @@ def read_archives(archives: DataFrame) -> DataFrame:
 class LoserTree:
     """Merge k sorted runs: each inner node keeps the loser of its match, the root's winner goes out."""
 
-    def __init__(self, runs: list[list], key):
-        self.runs, self.key, self.k = runs, key, len(runs)
-        self.at = [0] * self.k
+    def __init__(self, runs: list, key):
+        self.runs, self.key, self.k = [iter(run) for run in runs], key, len(runs)
+        self.rows: list = [None] * self.k
+        self.heads: list = [None] * self.k
+        for i in range(self.k):
+            self._next(i)
         self.losers = [-1] * max(1, self.k)
         for i in range(self.k):
             self._play(i)
 
-    def _head(self, run: int):
-        return self.key(self.runs[run][self.at[run]]) if self.at[run] < len(self.runs[run]) else None
+    def _next(self, run: int) -> None:
+        """Take a run's next row; an ended run has no head."""
+        try:
+            self.rows[run] = next(self.runs[run])
+            self.heads[run] = (self.key(self.rows[run]),)
+        except StopIteration:
+            self.heads[run] = None
 
     def _before(self, a: int, b: int) -> bool:
         """Whether run a's head goes out before run b's; an ended run loses, equal heads go by run."""
-        x, y = self._head(a), self._head(b)
+        x, y = self.heads[a], self.heads[b]
         if x is None or y is None:
             return y is None and (x is not None or a < b)
         return x < y or (x == y and a < b)
@@ -178,35 +190,72 @@ class LoserTree:
     def __iter__(self):
         while self.k:
             winner = self.losers[0]
-            if self.at[winner] >= len(self.runs[winner]):
+            if self.heads[winner] is None:
                 return
-            yield self.runs[winner][self.at[winner]]
-            self.at[winner] += 1
+            yield self.rows[winner]
+            self._next(winner)
             self._play(winner)
 
 
-def _key(row: dict) -> tuple:
-    return row["url_key"], row["timestamp"], -1 if row["page_id"] is None else row["page_id"]
+_URL_KEY, _TIMESTAMP, _PAGE, _ARCHIVE = (next(i for i, (n, _) in enumerate(_INDEX) if n == c) for c in ("url_key", "timestamp", "page_id", "archive"))
 
 
-def _merge(batches):
+def _key(row: tuple) -> tuple:
+    return row[_URL_KEY], row[_TIMESTAMP], row[_PAGE] is not None, row[_PAGE] or 0
+
+
+def _tuples(batch: pa.RecordBatch):
+    return zip(*(batch.column(c).to_pylist() for c, _ in _INDEX))
+
+
+def _merged(rows: list[tuple]):
+    """The rows in order, by a loser tree over their runs."""
     runs: dict = {}
-    for batch in batches:
-        for row in batch.to_pylist():
-            runs.setdefault(row["archive"], []).append(row)
+    for row in rows:
+        runs.setdefault(row[_ARCHIVE], []).append(row)
     ordered = []
     for name in sorted(runs):
-        run = runs[name]
+        keys = [_key(row) for row in runs[name]]
         # A run comes as its archive was written; a fetch that was retried may come in another order.
-        if any(_key(a) > _key(b) for a, b in zip(run, run[1:])):
-            run.sort(key=_key)
-        ordered.append(run)
-    task, out = TaskContext.get().partitionId(), []
-    for row in LoserTree(ordered, _key):
-        out.append(row | {"range": task, "position": len(out)})
+        if any(a > b for a, b in zip(keys, keys[1:])):
+            runs[name].sort(key=_key)
+        ordered.append(runs[name])
+    return LoserTree(ordered, _key)
+
+
+def _batches_of(rows, schema: pa.Schema, most: int):
+    rows = iter(rows)
+    while part := list(islice(rows, most)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), schema)], schema=schema)
+
+
+def _spilled(rows) -> Iterator[tuple]:
+    """The rows, by way of a file of the task's own that is gone when it is closed."""
+    schema, file = pa.schema(_INDEX), tempfile.TemporaryFile()
+    with pa.ipc.new_stream(pa.PythonFile(file, "w"), schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+        for batch in _batches_of(rows, schema, READ_ROWS):
+            to.write_batch(batch)
+    file.seek(0)
+
+    def read():
+        with file:
+            for batch in pa.ipc.open_stream(pa.PythonFile(file, "r")):
+                yield from _tuples(batch)
+
+    return read()
+
+
+def _merge(batches):
+    held, runs = [], []
+    for batch in batches:
+        held += _tuples(batch)
+        if len(held) >= BUFFER_ROWS:
+            runs.append(_spilled(_merged(held)))
+            held = []
+    rows = LoserTree([*runs, _merged(held)], _key) if runs else _merged(held)
+    task = TaskContext.get().partitionId()
     schema = pa.schema([*_INDEX, ("range", pa.int32()), ("position", pa.int64())])
-    for at in range(0, len(out), 1 << 14):
-        yield pa.RecordBatch.from_pylist(out[at : at + (1 << 14)], schema=schema)
+    yield from _batches_of((row + (task, i) for i, row in enumerate(rows)), schema, 1 << 14)
 
 
 def merged_index(index: DataFrame) -> DataFrame:
@@ -221,6 +270,7 @@ def capture_histories(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
     A null html is an empty payload; a null url has an empty key. Rows with the id of a
     payload's response are responses too. An empty table gives no row; other columns are
-    not read. page_id must be a whole number or null.
+    not read. page_id must be a whole number of 64 bits or null. A task holds one archive, so a
+    very long html needs a few times its own bytes.
     """
     return merged_index(read_archives(write_archives(pages, least_bytes)))

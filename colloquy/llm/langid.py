@@ -1,9 +1,11 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads segments of SEGMENT bytes from both ends, labels every position, and a
-document's probabilities are the mean over all its positions. It is trained in numpy by
-backpropagation through time on a bounded sample. Gates use x / (1 + |x|), which numpy
-computes several times faster than exponentials.
+The network reads a text from both ends, labels every position, and a document's
+probabilities are the mean over all its positions. Texts go through it as segments of SEGMENT
+positions, each with MARGIN bytes of the text before and after, in which the states of both
+layers warm up; where the text ends, states are zero. It is trained in numpy by
+backpropagation through time on a bounded sample of segments of whole texts. Gates use
+x / (1 + |x|), which numpy computes several times faster than exponentials.
 """
 
 from __future__ import annotations
@@ -14,15 +16,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .shared import pick, steps, utf8
+from .shared import mix, pick, steps, utf8
 
 HIDDEN = 8
-SEGMENT = 64
-#: The training sample: about this many documents in all, and characters from each.
-SAMPLE_DOCUMENTS, SAMPLE_CHARS = 1600, 1024
+#: Positions that a segment labels, and bytes on each side that only warm states up.
+SEGMENT, MARGIN = 256, 16
+#: The training sample: stretches of LEARN bytes, this many in all, drawn from all bytes of all labelled texts that may be learned from.
+SAMPLE_SEGMENTS, LEARN = 25600, 64
 BATCH, ROUNDS, RATE, SEED = 256, 360, 0.02, 11
 #: Segments that go through the network together.
-TOGETHER = 1024
+TOGETHER = 512
 
 
 def soft(x: np.ndarray) -> np.ndarray:
@@ -43,8 +46,11 @@ class Network:
         self.weights["v"] = draw(2 * hidden, n_langs, scale=0.3)
         self.weights["c"] = np.zeros(n_langs, np.float32)
 
-    def layer(self, side: str, bytes_: np.ndarray, keep: bool = False):
-        """States (time x segment x hidden) for bytes (time x segment); what backpropagation needs if asked."""
+    def layer(self, side: str, bytes_: np.ndarray, keep: bool = False, inside: np.ndarray | None = None):
+        """States (time x segment x hidden) for bytes (time x segment); what backpropagation needs if asked.
+
+        States are zero wherever inside (time x segment) is given and false.
+        """
         h, n = self.hidden, bytes_.shape[1]
         inputs, u = self.weights["x" + side], self.weights["u" + side]
         state, states, kept = np.zeros((n, h), np.float32), np.empty((*bytes_.shape, h), np.float32), []
@@ -61,12 +67,15 @@ class Network:
             if keep:
                 kept.append((t, state, p[:, 2 * h :], gates, new))
             state = new + gates[:, :h] * (state - new)
+            if inside is not None:
+                state *= inside[t][:, None]
             states[t] = state
         return states, kept
 
-    def probabilities(self, bytes_: np.ndarray) -> np.ndarray:
-        """time x segment x language."""
-        both = np.concatenate((self.layer("f", bytes_)[0], self.layer("b", bytes_)[0]), axis=2)
+    def probabilities(self, bytes_: np.ndarray, inside: np.ndarray | None = None, margin: int = 0) -> np.ndarray:
+        """time x segment x language, without `margin` times at both ends."""
+        both = np.concatenate((self.layer("f", bytes_, inside=inside)[0], self.layer("b", bytes_, inside=inside)[0]), axis=2)
+        both, bytes_ = both[margin : len(bytes_) - margin], bytes_[margin : len(bytes_) - margin]
         out = both.reshape(-1, 2 * self.hidden) @ self.weights["v"]
         out += self.weights["c"]
         np.exp(out - out.max(axis=1, keepdims=True), out=out)
@@ -123,46 +132,56 @@ class Network:
         return loss
 
 
-def cut(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Whole texts as segments: (time x segment) bytes, each segment's row, and its length; the rest is zeros."""
-    size = ends - starts
-    n = -(-size // SEGMENT)
+def cut(starts: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whole texts as segments: each segment's row, first byte and length."""
+    n = -(-(ends - starts) // size)
     row = np.repeat(np.arange(len(starts)), n)
-    begin = starts[row] + SEGMENT * (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n))
-    length = np.minimum(ends[row] - begin, SEGMENT)
-    index = begin + np.arange(SEGMENT)[:, None]
-    inside = np.arange(SEGMENT)[:, None] < length
-    return np.where(inside, data[np.minimum(index, max(len(data) - 1, 0))], 0).astype(np.uint8) if len(row) else np.zeros((SEGMENT, 0), np.uint8), row, length
+    begin = starts[row] + size * (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n))
+    return row, begin, np.minimum(ends[row] - begin, size)
+
+
+def labelled(network: Network, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """(rows, lengths, probabilities time x segment x language) of segments in order; times from a segment's length on are void."""
+    row, begin, length = cut(starts, ends, SEGMENT)
+    time = np.arange(-MARGIN, SEGMENT + MARGIN)[:, None]
+    for at in range(0, len(row), TOGETHER):
+        part = slice(at, at + TOGETHER)
+        index = begin[part] + time
+        inside = (index >= starts[row[part]]) & (index < ends[row[part]])
+        bytes_ = np.where(inside, data[np.clip(index, 0, len(data) - 1)], 0).astype(np.uint8)
+        yield row[part], length[part], network.probabilities(bytes_, inside, MARGIN)
 
 
 def pooled(network: Network, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Mean probabilities over all positions of each row (rows x languages); zeros for an empty row."""
-    bytes_, row, length = cut(data, starts, ends)
     total = np.zeros((len(starts), len(network.weights["c"])))
-    for at in range(0, len(row), TOGETHER):
-        part = slice(at, at + TOGETHER)
-        p = network.probabilities(np.ascontiguousarray(bytes_[:, part]))
-        p *= (np.arange(SEGMENT)[:, None] < length[part])[:, :, None]
+    for row, length, p in labelled(network, data, starts, ends):
+        p *= (np.arange(SEGMENT)[:, None] < length)[:, :, None]
         sums = p.sum(axis=0)
         for k in range(sums.shape[1]):
-            total[:, k] += np.bincount(row[part], sums[:, k], minlength=len(starts))
+            total[:, k] += np.bincount(row, sums[:, k], minlength=len(starts))
     return total / np.maximum(ends - starts, 1)[:, None]
 
 
-def train(rows: list[tuple[str, str]], langs: list[str]) -> Network:
+def train(rows: list[tuple[bytes | str, str]], langs: list[str]) -> Network:
     """A network from (text, lang) rows."""
-    raw = [t.encode() for t, _ in rows]
+    raw = [t.encode() if isinstance(t, str) else t for t, _ in rows]
     sizes = np.array([len(x) for x in raw], np.int64)
-    bytes_, row, length = cut(np.frombuffer(b"".join(raw), np.uint8), np.cumsum(sizes) - sizes, np.cumsum(sizes))
+    ends = np.cumsum(sizes)
+    row, begin, length = cut(ends - sizes, ends, LEARN)
+    # Stretches of full length, where there are any of the language, so that none is filled up.
+    data = np.r_[np.frombuffer(b"".join(raw), np.uint8), np.zeros(LEARN, np.uint8)]
+    inside = np.arange(LEARN) < length[:, None]
+    segments = np.where(inside, data[begin[:, None] + np.arange(LEARN)], 0).astype(np.uint8)
     truth = np.array([langs.index(lang) for _, lang in rows])[row]
-    full = length >= min(SEGMENT, int(length.max(initial=1)))
+    full = length == min(LEARN, int(length.max(initial=1)))
     # Each language gets as many segments as the others, by repetition.
     chosen = [np.flatnonzero(full & (truth == k)) for k in range(len(langs))]
     chosen = [c if len(c) else np.flatnonzero(truth == k) for k, c in enumerate(chosen)]
     most = max(len(c) for c in chosen)
     index = np.concatenate([np.resize(c, most) for c in chosen])
     network = Network(len(langs))
-    network.fit(bytes_.T[index], truth[index])
+    network.fit(segments[index], truth[index])
     return network
 
 
@@ -171,25 +190,42 @@ def held_out() -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(5)) == 0
 
 
-def sample(docs: DataFrame) -> tuple[list[tuple[str, str]], list[str]]:
-    """Bounded training rows of every language, and the languages; by hash of the id, so reruns agree."""
+_DRAWN = pa.schema([("lang", pa.string()), ("order", pa.int64()), ("bytes", pa.binary())])
+
+
+def _draw(rates: dict):
+    """Stretches of LEARN bytes of whole texts, each drawn with its language's rate by a hash of its row and place."""
+
+    def scan(batches):
+        for batch in batches:
+            data, starts, ends = utf8(batch.column("text"))
+            row, begin, length = cut(starts, ends, LEARN)
+            seed = np.asarray(batch.column("seed")).astype(np.uint64)
+            order = mix(seed[row] + begin.astype(np.uint64) - starts[row].astype(np.uint64))
+            langs = batch.column("lang").to_pylist()
+            rate = np.array([rates.get(lang, 0.0) for lang in langs])[row]
+            take = np.flatnonzero((order >> np.uint64(11)).astype(np.float64) / (1 << 53) < rate)
+            out = [data[b : b + n].tobytes() for b, n in zip(begin[take].tolist(), length[take].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array([langs[r] for r in row[take]], pa.string()), pa.array(order[take].view(np.int64)), pa.array(out, pa.binary())], schema=_DRAWN)
+
+    return scan
+
+
+def sample(docs: DataFrame) -> tuple[list[tuple[bytes, str]], list[str]]:
+    """Bounded training stretches of every language, and the languages; by hash of id and place, so reruns agree."""
     rows = pick(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
+    sums = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.ceil(F.octet_length("text") / LEARN)).alias("n")).collect()}
+    if not sums:
         return [], []
-    each = max(16, SAMPLE_DOCUMENTS // len(counts))
-    rate = F.lit(0.0)
-    for lang, n in counts.items():
-        rate = F.when(F.col("lang") == lang, min(1.0, 1.5 * each / n)).otherwise(rate)
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
-    at = F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.greatest(F.lit(1), F.length("text") - F.lit(SAMPLE_CHARS - 1))).cast("int") + F.lit(1)
-    got = rows.where(draw < rate).select("lang", F.xxhash64("doc_id").alias("order"), F.substr("text", at, F.lit(SAMPLE_CHARS)).alias("text")).collect()
-    got = sorted((r["lang"], r["order"], r["text"]) for r in got)
+    each = max(256, SAMPLE_SEGMENTS // len(sums))
+    rates = {lang: min(1.0, 1.2 * each / n) for lang, n in sums.items()}
+    drawn = rows.select("lang", "text", F.xxhash64("doc_id", F.lit(SEED)).alias("seed")).mapInArrow(_draw(rates), "lang string, order long, bytes binary")
+    got = sorted((r["lang"], r["order"], bytes(r["bytes"])) for r in drawn.collect())
     langs, used, out = sorted({r[0] for r in got}), {}, []
-    for lang, _, text in got:
+    for lang, _, raw in got:
         used[lang] = used.get(lang, 0) + 1
         if used[lang] <= each:
-            out.append((text, lang))
+            out.append((raw, lang))
     return out, langs
 
 
@@ -217,7 +253,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
     A null text, or one without a letter, is `und` with score 0; so is every text if no row
     can be learned from. Equal texts get equal predictions; an empty table gives no row;
-    other columns are not read.
+    other columns are not read. Very long texts are read whole, some segments at a time.
     """
     training, langs = sample(docs)
     rows = pick(docs, "doc_id", "text").select("doc_id", held_out().alias("held_out"), F.col("text").rlike(r"\p{L}").alias("letters"), "text")
@@ -232,9 +268,9 @@ def identify(docs: DataFrame) -> DataFrame:
 def label_positions(text: str, network: Network, langs: list[str]) -> list[tuple[int, int, str]]:
     """Runs of bytes (from, to, lang) with one label each."""
     raw = np.frombuffer(text.encode(), np.uint8)
-    bytes_, _, length = cut(raw, np.array([0]), np.array([len(raw)]))
-    if not bytes_.size:
+    labels = [p.argmax(axis=2).T[np.arange(SEGMENT) < length[:, None]] for _, length, p in labelled(network, raw, np.array([0]), np.array([len(raw)]))]
+    if not labels:
         return []
-    label = network.probabilities(bytes_).argmax(axis=2).T[np.arange(SEGMENT) < length[:, None]]
+    label = np.concatenate(labels)
     edges = np.flatnonzero(np.r_[True, label[1:] != label[:-1], True])
     return [(int(a), int(b), langs[label[a]]) for a, b in zip(edges[:-1], edges[1:])]

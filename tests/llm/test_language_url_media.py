@@ -51,6 +51,37 @@ def test_positions_are_labelled():
     assert runs[0][0] == 0 and runs[-1][1] == 21 and max(runs, key=lambda r: r[1] - r[0])[2] == "en"
 
 
+def test_probabilities_are_those_of_a_plain_pass():
+    net, h = langid.Network(3, seed=4), langid.HIDDEN
+    w = {k: v.astype(np.float64) for k, v in net.weights.items()}
+    raw = np.random.default_rng(1).integers(97, 123, 2 * langid.SEGMENT + 77).astype(np.uint8)
+    soft = lambda x: x / (1 + np.abs(x))
+
+    def plain(side, text):
+        """States of one layer over a whole text, position by position."""
+        state, out = np.zeros(h), []
+        for byte in text if side == "f" else text[::-1]:
+            p, x = state @ w["u" + side], w["x" + side][byte]
+            z, r = (0.5 + 0.5 * soft(x[i * h : (i + 1) * h] + p[i * h : (i + 1) * h]) for i in (0, 1))
+            new = soft(r * p[2 * h :] + x[2 * h :])
+            state = new + z * (state - new)
+            out.append(state)
+        return np.array(out if side == "f" else out[::-1])
+
+    for n in (1, 5, langid.SEGMENT, len(raw)):
+        text, m, s = raw[:n], langid.MARGIN, langid.SEGMENT
+        states = np.zeros((n, 2 * h))
+        for a in range(0, n, s):
+            low, high = max(0, a - m), min(n, a + s + m)
+            part = np.concatenate((plain("f", text[low:high]), plain("b", text[low:high])), axis=1)
+            states[a : a + s] = part[a - low : a - low + s]
+        logits = states @ w["v"] + w["c"]
+        p = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
+        got = [q.transpose(1, 0, 2)[np.arange(s) < length[:, None]] for _, length, q in langid.labelled(net, text, np.array([0]), np.array([n]))]
+        assert np.abs(np.concatenate(got) - p).max() < 1e-4
+        assert np.abs(langid.pooled(net, text, np.array([0]), np.array([n])) - p.mean(axis=0)).max() < 1e-4
+
+
 def test_hosts_paths_and_rules(spark):
     rows = [(1, "HTTP://WWW.Example.COM/en/a?b#c"), (2, "http://example.com/en/"), (3, "x://a.net/es/"), (4, "x://a.net/esp"), (5, None), (6, "no host"), (7, "http://example.com"), (8, "a://b://c/d"), (9, "http://notexample.com/en/x")]
     page = spark.createDataFrame(rows, "page_id long, url string")

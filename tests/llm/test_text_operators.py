@@ -128,7 +128,13 @@ def test_knapsack_comes_as_near_as_can_be():
         budget = rng.randint(0, int((lengths * counts).sum()))
         take = mixing.fit(lengths, counts, budget)
         assert (take <= counts).all() and (take >= 0).all() and (lengths * take).sum() <= budget
-        assert budget - (lengths * take).sum() <= lengths.max()
+        assert (lengths * take).sum() == max(s for s in sums if s <= budget)
+    lengths, counts = np.array([40, 100]), np.array([3, 3])
+    assert [int((lengths * mixing.fit(lengths, counts, b)).sum()) for b in (200, 300, 419, 420)] == [200, 300, 380, 420]
+    lengths, counts = np.arange(1, 400), np.full(399, 30)
+    for budget in (100_000, 777_777, 1_000_001):  # over FINE, so that the proportional part is taken first
+        take = mixing.fit(lengths, counts, budget)
+        assert (lengths * take).sum() == budget and (take <= counts).all() and take.min() >= counts.min() * (budget - mixing.FINE) // (lengths * counts).sum()
 
 
 def test_the_mix_meets_its_targets(spark):

@@ -10,7 +10,10 @@ from colloquy.llm import bpe, jaccard, mixing, quality, suffix
 from colloquy.llm.queries import tokenizer
 from colloquy.llm.shared import stored
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+
+#: 51 words of 3.9 letters and the spaces between them: passages of over 50 words are caught, unless their words are shorter.
+PASSAGE_BYTES = 250
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,11 +27,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that start anywhere else go; n_chars follows the text.
-
-    Shorter repeated passages stay, those of 51 to about 65 words too: the window is op10's.
-    """
-    return suffix.remove_repeated_bytes(docs, text=True).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Strings of PASSAGE_BYTES that start anywhere else go; n_chars follows the text."""
+    return suffix.without_repeats(docs, PASSAGE_BYTES)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,12 +7,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse
+from ..sources.scratch import stored
 from .candidates import candidate, of_product
 from .constraints import active_constraints, evaluate
 
 K1, B = 0.9, 0.4
 #: Impacts are whole millionths, so sums don't depend on the order in which they are made.
 SCALE = 1_000_000
+#: Terms of a query, rarest first, that set the score which its k-th document reaches at least.
+LEADING = 3
 
 
 def terms(c: Column) -> Column:
@@ -39,11 +42,33 @@ def postings(docs: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
 
 
 def search_topk(queries: DataFrame, posted: DataFrame, k: int) -> DataFrame:
-    """(query_id, doc_id, score, rank) of each query's best k documents; ties go to the smaller doc_id."""
-    wanted = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
-    scored = wanted.join(posted, "term").groupBy("query_id", "doc_id").agg(F.sum("impact").alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    """(query_id, doc_id, score, rank) of each query's best k documents; ties go to the smaller doc_id.
+
+    Queries with the same words are searched once. A query's rarest terms give a score that its
+    k-th document reaches at least; terms that can't reach it together, even at their greatest impacts, name no document
+    of their own, and are only looked up for documents that the other terms name. So long lists of common words are
+    not multiplied by queries, and ranks are those of all terms.
+    """
+    words = F.array_join(F.array_sort(F.array_distinct(terms(F.col("query")))), " ")
+    named = queries.select("query_id", words.alias("words")).where("words <> ''")
+    posted = stored(posted)
+    most = posted.groupBy("term").agg(F.max("impact").alias("most"))
+    wanted = named.select("words").distinct().select("words", F.explode(F.split("words", " ")).alias("term")).join(most, "term")
+    rarest = W.partitionBy("words").orderBy(F.desc("most"), "term")
+    commonest = W.partitionBy("words").orderBy("most", F.desc("term")).rowsBetween(W.unboundedPreceding, 0)
+    wanted = stored(wanted.withColumns({"place": F.row_number().over(rarest), "reach": F.sum("most").over(commonest)}))
+    best = F.row_number().over(W.partitionBy("words").orderBy(F.desc("score"), "doc_id"))
+    some = wanted.where(F.col("place") <= LEADING).join(posted, "term").groupBy("words", "doc_id").agg(F.sum("impact").alias("score"))
+    floor = some.withColumn("rank", best).where(F.col("rank") == k).select("words", F.col("score").alias("floor"))
+    wanted = wanted.join(floor, "words", "left").withColumn("names", F.col("reach") >= F.coalesce("floor", F.lit(0)))
+    wanted = stored(wanted.select("words", "term", "most", "names", F.coalesce("floor", F.lit(0)).alias("floor")))
+    left = wanted.groupBy("words").agg(F.coalesce(F.sum(F.when(~F.col("names"), F.col("most"))), F.lit(0)).alias("left"), F.first("floor").alias("floor"))
+    partial = wanted.where("names").join(posted, "term").groupBy("words", "doc_id").agg(F.sum("impact").alias("partial"))
+    hopeful = partial.join(left, "words").where(F.col("partial") + F.col("left") >= F.col("floor"))
+    probed = hopeful.where(F.col("left") > 0).select("words", "doc_id").join(wanted.where(~F.col("names")).select("words", "term"), "words").join(posted, ["term", "doc_id"])
+    parts = hopeful.select("words", "doc_id", F.col("partial").alias("impact")).unionByName(probed.select("words", "doc_id", "impact"))
+    scored = parts.groupBy("words", "doc_id").agg(F.sum("impact").alias("score")).withColumn("rank", best).where(F.col("rank") <= k)
+    return named.join(scored, "words").select("query_id", "doc_id", "score", "rank")
 
 
 def search_candidates(requests: DataFrame, posted: DataFrame, catalog: DataFrame, search_limit: int = 50, return_limit: int = 10) -> DataFrame:

@@ -34,20 +34,39 @@ def no_results(text: Column, visible: Column | None = None) -> Column:
     return said if visible is None else F.when(F.size(F.coalesce(visible, F.array().cast("array<struct<asin:string>>"))) > 0, False).otherwise(said)
 
 
-def visible_items(text: Column, kind: Column) -> Column:
-    """(asin, title, price) triples between [SEP] marks of a results page: after a triple three parts on, else one."""
-    parts = F.transform(F.split(text_of(text), r"\[SEP\]"), strip)
-    item = "struct<asin:string,title:string,price:double>"
-    start = F.struct(F.lit(0).alias("skip"), F.array().cast(f"array<{item}>").alias("found"))
+ITEM = "struct<asin:string,title:string,price:double,click_target:string>"
 
-    def take(state: Column, i: Column) -> Column:
-        price = F.get(parts, i + 2)
-        hit = (state["skip"] == 0) & is_asin(F.get(parts, i)) & price.contains("$")
-        made = F.struct(F.get(parts, i).alias("asin"), F.get(parts, i + 1).alias("title"), parse_price(price).alias("price")).cast(item)
-        return F.struct(F.when(hit, 2).otherwise(F.greatest(state["skip"] - 1, F.lit(0))).alias("skip"), F.when(hit, F.concat(state["found"], F.array(made))).otherwise(state["found"]).alias("found"))
 
-    indexes = F.when(F.size(parts) > 2, F.sequence(F.lit(0), F.size(parts) - 3)).otherwise(F.array().cast("array<int>"))
-    return F.when(kind == "results", F.aggregate(indexes, start, take)["found"]).otherwise(F.array().cast(f"array<{item}>"))
+def bound(value: Column, body) -> Column:
+    """body(value), where value is computed once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def visible_items(text: Column, kind: Column, clickables: Column | None = None) -> Column:
+    """(asin, title, price, click_target) of the triples between [SEP] marks of a results page: after a triple three parts on, else one.
+
+    The click target is the asin as the page's clickables write it.
+    """
+    none = F.array().cast("array<int>")
+
+    def apart(hits: Column) -> Column:
+        """The hits without those less than three parts after one that counts."""
+        near = F.exists(F.when(F.size(hits) > 1, F.sequence(F.lit(1), F.size(hits) - 1)).otherwise(none), lambda j: F.get(hits, j) - F.get(hits, j - 1) < 3)
+        take = lambda found, i: F.when(i >= F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit(-3)) + 3, F.concat(found, F.array(i))).otherwise(found)
+        return F.when(near, F.aggregate(hits, none, take)).otherwise(hits)
+
+    def items(parts: Column) -> Column:
+        def made(i: Column) -> Column:
+            asin = F.get(parts, i)
+            target = asin if clickables is None else F.when(F.array_contains(clickables, F.lower(asin)), F.lower(asin)).otherwise(asin)
+            return F.struct(asin.alias("asin"), F.get(parts, i + 1).alias("title"), parse_price(F.get(parts, i + 2)).alias("price"), target.alias("click_target")).cast(ITEM)
+
+        places = F.when(F.size(parts) > 2, F.sequence(F.lit(0), F.size(parts) - 3)).otherwise(none)
+        hits = F.filter(places, lambda i: is_asin(F.get(parts, i)) & F.get(parts, i + 2).contains("$"))
+        return F.transform(bound(hits, apart), made)
+
+    found = bound(F.transform(F.split(text_of(text), r"\[SEP\]"), strip), items)
+    return F.when(kind == "results", found).otherwise(F.array().cast(f"array<{ITEM}>"))
 
 
 def selected_item(text: Column, kind: Column, context: Column) -> Column:
@@ -74,7 +93,7 @@ def normalize_pages(raw: DataFrame) -> DataFrame:
     return out.withColumns(
         {
             "instruction": instruction_from_text(F.col("raw_text")),
-            "visible_items": visible_items(F.col("raw_text"), F.col("page_type")),
+            "visible_items": visible_items(F.col("raw_text"), F.col("page_type"), F.col("clickables")),
             "item_candidate": candidate_of_context(context, F.lit(None)),
             "selected_item": selected_item(F.col("raw_text"), F.col("page_type"), context),
         }

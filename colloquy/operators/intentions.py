@@ -94,14 +94,16 @@ def intention_timeline(turns: DataFrame, n: int = 4) -> DataFrame:
 
 def utterance_context(turns: DataFrame, n: int = 8) -> DataFrame:
     """turns (role, text, current) with context: the last n user utterances that aren't blank, the current one added unless it is the last."""
-    w = W.partitionBy("instance_id").orderBy("turn_id").rowsBetween(W.unboundedPreceding, 0)
-    said = strip(F.col("text"))
-    seen = F.collect_list(F.when((F.lower(strip(F.col("role"))) == "user") & (said != ""), said)).over(w)
-    out = turns.withColumn("seen", seen)
+    said = F.when((F.lower(strip(F.col("role"))) == "user") & (strip(F.col("text")) != ""), strip(F.col("text")))
+    before = W.partitionBy("instance_id").orderBy("turn_id").rowsBetween(W.unboundedPreceding, 0)
+    # Turns are numbered by the utterances so far, so a range of n numbers holds the last n utterances and no more.
+    out = turns.withColumn("said so far", said).withColumn("nth", F.count("said so far").over(before))
+    last = W.partitionBy("instance_id").orderBy("nth").rangeBetween(-(n - 1), 0)
+    out = out.withColumn("seen", F.collect_list("said so far").over(last))
     now = strip(F.col("current"))
     added = F.when((now != "") & ~F.coalesce(F.try_element_at("seen", F.lit(-1)), F.lit("")).eqNullSafe(now), F.concat("seen", F.array(now))).otherwise(F.col("seen"))
     out = out.withColumn("all", added)
-    return out.withColumn("context", F.slice("all", F.greatest(F.lit(1), F.size("all") - F.lit(n - 1)), F.lit(n))).drop("seen", "all")
+    return out.withColumn("context", F.slice("all", F.greatest(F.lit(1), F.size("all") - F.lit(n - 1)), F.lit(n))).drop("said so far", "nth", "seen", "all")
 
 
 def truncate_dialogues(turns: DataFrame, max_turns: int, empty_delta_ends: bool = False) -> DataFrame:

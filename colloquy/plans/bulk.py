@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import shifts as S
 from ..functions.text import clean_query, clean_request, constraint_key, constraint_value, extract_json, query_from_intention, strip, truthy
 from ..operators.candidates import compact_candidate
-from ..operators.intentions import fold_intentions, normalize_shifts
+from ..operators.intentions import fold_priority, normalize_shifts
 from ..operators.pages import fallback_actions, validate_actions
 from ..operators.rerank import rerank_or_fallback
 from ..operators.search import search_candidates
@@ -37,7 +37,8 @@ INTENTION_TASK = "Turn the instruction into a JSON object with request, constrai
 def bulk_generate(prompts: DataFrame, client_factory: Callable[[], object], batch_size: int = 64) -> DataFrame:
     """prompts (prompt, and others) with output and error; a failed call gives an error, not a failed job.
 
-    Answers are written before they are used, so that no model is asked again for a later step.
+    Answers are written before they are used, so that no model is asked again for a later step; they are joined by
+    the prompt's digest. A null prompt is not asked: its output is null, and its error says so.
     """
 
     def run(frames):
@@ -53,11 +54,13 @@ def bulk_generate(prompts: DataFrame, client_factory: Callable[[], object], batc
                     except Exception as e:  # noqa: BLE001  a model may fail in any way
                         outputs.append(None)
                         errors.append(f"{type(e).__name__}: {e}")
-                yield pd.DataFrame({"prompt": part["prompt"], "output": pd.Series(outputs, index=part.index, dtype=object), "error": pd.Series(errors, index=part.index, dtype=object)})
+                yield pd.DataFrame({"digest": part["digest"], "output": pd.Series(outputs, index=part.index, dtype=object), "error": pd.Series(errors, index=part.index, dtype=object)})
 
-    asked = prompts.select("prompt").distinct().repartition("prompt")
-    answers = stored(asked.mapInPandas(run, "prompt string, output string, error string"))
-    return prompts.join(answers, "prompt")
+    digest = F.sha2(F.col("prompt"), 256)
+    asked = prompts.where(F.col("prompt").isNotNull()).groupBy(digest.alias("digest")).agg(F.first("prompt").alias("prompt"))
+    answers = stored(asked.repartition("digest").mapInPandas(run, "digest string, output string, error string"))
+    got = prompts.withColumn("digest", digest).join(answers, "digest", "left").drop("digest")
+    return got.withColumn("error", F.when(F.col("prompt").isNull(), "no prompt").otherwise(F.col("error")))
 
 
 def _prompt(task: Column | str, payload: Column) -> Column:
@@ -169,18 +172,46 @@ def replay_agreement(aligned: DataFrame, by: str = "instance_id") -> DataFrame:
     return aligned.groupBy(by).agg(F.count("*").alias("turns"), *same)
 
 
-def advance_round(dialogues: DataFrame, posted: DataFrame, catalog: DataFrame, client_factory: Callable[[], object], seed: int = 0, top_k: int = 10) -> DataFrame:
-    """All live dialogues one turn on: search, shift and utterance, with the next constraints.
+def applied(constraints: Column, op: Column, field: Column, value: Column) -> Column:
+    """Constraints (field, value) after a shift: a known field keeps its place, a new one comes last."""
+    assigns = op.isin(*S.ASSIGNING) & truthy(field).isNotNull()
+    made = F.struct(field.alias("field"), value.alias("value"))
+    known = F.exists(constraints, lambda c: c["field"] == field)
+    changed = F.when(known, F.transform(constraints, lambda c: F.when(c["field"] == field, made).otherwise(c))).otherwise(F.concat(constraints, F.array(made)))
+    return F.when(assigns, changed).otherwise(constraints)
+
+
+def advance_round(dialogues: DataFrame, posted: DataFrame, catalog: DataFrame, client_factory: Callable[[], object], seed: int = 0, top_k: int = 10, max_turns: int = 4) -> DataFrame:
+    """All live dialogues one turn on: search, shift and utterance, with the next constraints, priority and query, and whether the dialogue ended.
 
     dialogues: instance_id, turn_id, query, constraints array<struct<field,value>>, priority,
-    request. A caller writes each round's table before the next, for at most max_turns + 1 rounds.
+    request and maybe done. A dialogue ends after max_turns, or where it is done and its wishes don't change. Feed
+    next_round() of the result to the next call, at most max_turns + 1 times, and write each round's table before.
     """
     requests = dialogues.select(F.col("instance_id").alias("request_id"), "query", "constraints")
     found = search_candidates(requests, posted, catalog, return_limit=top_k).select(F.col("request_id").alias("instance_id"), "reason", F.col("satisfied"), "violated", F.transform("candidates", lambda c: c["asin"]).alias("found"))
     state = dialogues.join(found, "instance_id").withColumns({"feedback": F.to_json(F.struct("reason", "satisfied", "violated", "found")), "timeline": F.to_json(F.struct("constraints", "priority")), "fields": F.transform("constraints", lambda c: c["field"]), "stored_query": F.col("query")})
     as_map = F.map_from_entries("constraints")
     shifts = bulk_shifts(state.withColumn("wishes", F.col("constraints")).withColumn("constraints", as_map), client_factory, seed)
-    said = bulk_utterances(shifts, client_factory, seed)
-    initial = dialogues.select("instance_id", F.explode("constraints").alias("c")).select("instance_id", "c.field", "c.value")
-    after = fold_intentions(initial, shifts).groupBy("instance_id").agg(F.array_sort(F.collect_list(F.struct("field", "value"))).alias("next_constraints"))
-    return state.select("instance_id", "turn_id", "query", "reason", "found").join(said.drop("turn_id"), "instance_id").join(after, "instance_id", "left")
+    said = stored(bulk_utterances(shifts, client_factory, seed))
+    start = dialogues.select("instance_id", F.transform("constraints", lambda c: c["field"]).alias("fields"), "priority")
+    order = fold_priority(start, said.select("instance_id", F.col("turn_id").cast("int").alias("turn_id"), "op", "field", "priority_update")).select("instance_id", F.col("op").alias("priority_op"), F.col("new").alias("next_priority"))
+    done = F.coalesce(F.col("done"), F.lit(False)) if "done" in dialogues.columns else F.lit(False)
+    given = dialogues.select("instance_id", "request", F.col("constraints").alias("held"), done.alias("over"))
+    out = state.select("instance_id", "turn_id", "query", "reason", "found").join(said.drop("turn_id", "request"), "instance_id").join(given, "instance_id").join(order, "instance_id", "left")
+    out = out.withColumn("next_constraints", applied(F.col("held"), F.col("op"), F.col("field"), F.col("value")))
+    unchanged = ~F.coalesce(F.col("op").isin(*S.ASSIGNING) & truthy(F.col("field")).isNotNull(), F.lit(False)) & (F.coalesce("priority_op", F.lit("none")) == "none")
+    out = stored(out.withColumn("unchanged", unchanged))
+    # Changed wishes get a new query from the model, or else keep the old one; others have theirs from the shift.
+    value = lambda f: F.get(F.filter("next_constraints", lambda c: c["field"] == f), F.lit(0))["value"].alias(f)
+    intention = F.to_json(F.struct("request", F.col("next_constraints").alias("constraints"), F.col("next_priority").alias("priority")))
+    intents = out.where(~F.col("unchanged")).select("instance_id", intention.alias("intention"), F.to_json(F.struct("op", "field", "old_value", "value")).alias("delta"), F.col("query").alias("stored_query"), *map(value, ("category", "color", "brand", "size")), "request")
+    asked = bulk_queries(intents, client_factory).select("instance_id", F.col("gold_search_query").alias("new_query"))
+    ended = (F.col("turn_id") >= max_turns) | (F.col("over") & F.col("unchanged"))
+    out = out.join(asked, "instance_id", "left").withColumns({"next_query": F.coalesce("new_query", F.when(F.col("unchanged"), F.col("gold_search_query")), "query"), "ended": ended})
+    return out.drop("held", "over", "priority_op", "unchanged", "new_query")
+
+
+def next_round(rounds: DataFrame) -> DataFrame:
+    """The dialogues that go on, as advance_round takes them."""
+    return rounds.where(~F.col("ended")).select("instance_id", (F.col("turn_id") + 1).alias("turn_id"), F.col("next_query").alias("query"), F.col("next_constraints").alias("constraints"), F.col("next_priority").alias("priority"), "request")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession) -> str:
-    """A new path in spark.checkpoint.dir; where that is unset, in a folder of this machine."""
+    """A new path in spark.checkpoint.dir; where that is unset, in a new folder of this machine, in local mode only."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="colloquy-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/scratch/{uuid.uuid4().hex}"

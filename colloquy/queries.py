@@ -86,11 +86,11 @@ def wishes(spark: SparkSession, d: str) -> DataFrame:
     kind = F.element_at(F.array(*map(F.lit, TYPES)), (key % 6 + 1).cast("int"))
     rows = [("category", unless(1, F.lower(kind))), ("budget_max", unless(2, (900 + key % 100).cast("string"))), ("brand", unless(3, F.concat(F.lit("brand#"), (1 + key % 25).cast("string")))), ("color", unless(4, F.element_at(F.array(*map(F.lit, (" Red", "blue ", "green"))), (key % 3 + 1).cast("int")))), ("size", unless(5, (1 + key % 50).cast("string"))), ("material", F.lit("steel"))]
     entries = F.array(*[F.struct(F.lit(n).alias("field"), v.alias("value")) for n, v in rows])
-    return c.select(key.alias("request_id"), entries.alias("constraints"), F.concat_ws(" ", F.lower(kind), F.element_at(F.array(*map(F.lit, ("red", "blue", "small", "large", "widget"))), (key % 5 + 1).cast("int"))).alias("query"), (key % 1000).alias("part"))
+    return c.select(key.alias("request_id"), entries.alias("constraints"), F.concat_ws(" ", F.lower(kind), F.element_at(F.array(*map(F.lit, ("red", "blue", "small", "large", "widget"))), (key % 5 + 1).cast("int"))).alias("query"))
 
 
 WISHES_SQL = """wishes as (
-  select c_custkey request_id, (c_custkey % 1000) part,
+  select c_custkey request_id,
     case when c_custkey % 7 <> 1 then lower(['ECONOMY','STANDARD','PROMO','SMALL','MEDIUM','LARGE'][c_custkey % 6 + 1]) end w_category,
     case when c_custkey % 7 <> 2 then cast(900 + c_custkey % 100 as varchar) end w_budget,
     case when c_custkey % 7 <> 3 then 'brand#' || (1 + c_custkey % 25) end w_brand,
@@ -98,41 +98,32 @@ WISHES_SQL = """wishes as (
     case when c_custkey % 7 <> 5 then cast(1 + c_custkey % 50 as varchar) end w_size
   from customer)"""
 
-# The checks of each wish against the part whose key is the customer's modulo 1000.
-CHECKS_SQL = f"""with {CATALOG_SQL}, {WISHES_SQL}, pairs as (select * from wishes join catalog on row_id = part),
+# The checks of each customer's wishes against each part of the customer's own order lines.
+OWNED_SQL = "pairs as (select w.*, c.*, row_id part from (select distinct o_custkey, l_partkey from orders join lineitem on o_orderkey = l_orderkey) join wishes w on request_id = o_custkey join catalog c on row_id = l_partkey)"
+CHECKS_SQL = f"""with {CATALOG_SQL}, {WISHES_SQL}, {OWNED_SQL},
  cat as (select *, lower(w_category) want, lower(coalesce(product_category, category)) act from pairs),
  n as (select *, case when length(want) > 3 and ends_with(want, 's') then want[:-2] else want end nw from cat),
  checks as (
-  select request_id, 1 pos, 'category' field, (contains(lower(p_type), nw) or contains(nw, lower(p_type)) or contains(lower(title), nw) or contains(nw, lower(title))) matched, true known from n where w_category is not null
-  union all select request_id, 2, 'budget_max', price <= cast(w_budget as double), price is not null from n where w_budget is not null
-  union all select request_id, 3, 'brand', lower(brand) = w_brand, brand is not null from n where w_brand is not null
-  union all select request_id, 4, 'color', case when color is not null then color = w_color end, color is not null from n where w_color is not null
-  union all select request_id, 5, 'size', null, false from n where w_size is not null)"""
+  select request_id, part, 1 pos, 'category' field, (contains(lower(p_type), nw) or contains(nw, lower(p_type)) or contains(lower(title), nw) or contains(nw, lower(title))) matched, true known from n where w_category is not null
+  union all select request_id, part, 2, 'budget_max', price <= cast(w_budget as double), price is not null from n where w_budget is not null
+  union all select request_id, part, 3, 'brand', lower(brand) = w_brand, brand is not null from n where w_brand is not null
+  union all select request_id, part, 4, 'color', case when color is not null then color = w_color end, color is not null from n where w_color is not null
+  union all select request_id, part, 5, 'size', null, false from n where w_size is not null)"""
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Each customer's wishes beside one part."""
-    return C.candidate_items(catalog(spark, d), "row_id").join(wishes(spark, d), F.col("row_id") == F.col("part"))
-
-
-def candidate_result(c="candidate") -> dict:
-    return {f: F.col(c)[f] for f in ("price", "color", "brand", "category", "product_category", "title", "query")}
-
-
-def all_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Each customer's wishes beside each part of the customer's own order lines."""
     lines = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     owned = lines.select(F.col("o_custkey").alias("request_id"), F.col("l_partkey").alias("part")).distinct()
-    return wishes(spark, d).drop("part").join(owned, "request_id").join(C.candidate_items(catalog(spark, d), "row_id"), F.col("part") == F.col("row_id"))
+    return wishes(spark, d).join(owned, "request_id").join(C.candidate_items(catalog(spark, d), "row_id"), F.col("part") == F.col("row_id"))
 
 
-OWNED_SQL = "pairs as (select w.* exclude (part), c.*, row_id part from (select distinct o_custkey, l_partkey from orders join lineitem on o_orderkey = l_orderkey) join wishes w on request_id = o_custkey join catalog c on row_id = l_partkey)"
-ONE_PART_SQL = "pairs as (select * from wishes join catalog on row_id = part)"
-CHECKS_ALL_SQL = CHECKS_SQL.replace(ONE_PART_SQL, OWNED_SQL).replace("select request_id, ", "select request_id, part, ")
+def candidate_result(c="candidate") -> dict:
+    return {f: F.col(c)[f] for f in ("price", "color", "brand", "category", "product_category", "title", "query")}
 
 
-def evaluated(spark: SparkSession, d: str, of=pairs) -> DataFrame:
-    return K.evaluate_constraints(of(spark, d), candidate_result())
+def evaluated(spark: SparkSession, d: str) -> DataFrame:
+    return K.evaluate_constraints(pairs(spark, d), candidate_result())
 
 
 def ranked_lines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -289,24 +280,24 @@ def contexts_of(spark: SparkSession, d: str, picked: DataFrame) -> DataFrame:
     return made.select("selection_id", *(c[f].alias(f) for f in ("asin", "title", "price", "brand")))
 
 
-@query(f"""with {CATALOG_SQL} select o_orderkey selection_id, case when o_orderkey % 3 = 0 then asin end asin, case when o_orderkey % 3 = 0 then title end title, case when o_orderkey % 3 = 0 then price end price, case when o_orderkey % 3 = 0 then brand end brand
- from orders left join catalog on row_id = o_orderkey % 2500""")
+@query(f"""with {CATALOG_SQL} select l_orderkey || '/' || l_partkey selection_id, case when l_orderkey % 3 = 0 then asin end asin, case when l_orderkey % 3 = 0 then title end title, case when l_orderkey % 3 = 0 then price end price, case when l_orderkey % 3 = 0 then brand end brand
+ from (select distinct l_orderkey, l_partkey from lineitem) left join catalog on row_id = l_partkey""")
 def item_context(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders")
-    picked = o.select(F.col("o_orderkey").alias("selection_id"), (F.col("o_orderkey") % 2500).cast("string").alias("selected_asin"), F.when(F.col("o_orderkey") % 3 == 0, "item").otherwise("results").alias("page_type"), F.create_map().cast("map<string,string>").alias("selected_options"))
+    picked = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct().select(F.concat_ws("/", "l_orderkey", "l_partkey").alias("selection_id"), F.col("l_partkey").cast("string").alias("selected_asin"), F.when(F.col("l_orderkey") % 3 == 0, "item").otherwise("results").alias("page_type"), F.create_map().cast("map<string,string>").alias("selected_options"))
     return contexts_of(spark, d, picked)
 
 
-@query(f"""with {CATALOG_SQL}, a as (select c_custkey, 0 side, unnest([0,1,2,3]) i from customer), b as (select c_custkey, 1 side, unnest([0,1,2,3,4,5]) i from customer),
- ids as (select c_custkey, side, i, case when side = 0 then (c_custkey * 7 + i * 3) % 50 else (c_custkey * 7 + i) % 50 end part from (select * from a union all select * from b)),
- firsts as (select c_custkey, part, min(side * 100 + i) o from ids group by all), placed as (select *, row_number() over (partition by c_custkey order by o) pos from firsts)
- select c_custkey request_id, pos, asin from placed join catalog on row_id = part where pos <= 6""")
+@query(f"""with {CATALOG_SQL}, lines as (select o_custkey, o_orderkey % 2 side, row_number() over (partition by o_custkey, o_orderkey % 2 order by o_orderkey, l_linenumber, l_partkey) pos, l_partkey from orders join lineitem on o_orderkey = l_orderkey),
+ firsts as (select o_custkey, l_partkey, min(side * 1000000000 + pos) o from lines group by all)
+ select o_custkey request_id, row_number() over (partition by o_custkey order by o) pos, asin from firsts join catalog on row_id = l_partkey""")
 def merge_candidates(spark: SparkSession, d: str) -> DataFrame:
-    cust, cat = table(spark, d, "customer"), C.candidate_items(catalog(spark, d), "row_id").select("row_id", "candidate")
-    def side(n: int, step: int) -> DataFrame:
-        ids = cust.select(F.col("c_custkey").alias("request_id"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("pos"))
-        return ids.withColumn("row_id", (F.col("request_id") * 7 + F.col("pos") * step) % 50).join(cat, "row_id").select("request_id", "pos", "candidate")
-    return C.merge_candidates(side(4, 3), side(6, 1), 6).select("request_id", F.col("pos").cast("bigint").alias("pos"), F.col("candidate.asin").alias("asin"))
+    cat = C.candidate_items(catalog(spark, d), "row_id").select("row_id", "candidate")
+    lines = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    place = F.row_number().over(W.partitionBy("request_id", "side").orderBy("o_orderkey", "l_linenumber", "l_partkey"))
+    placed = lines.select(F.col("o_custkey").alias("request_id"), (F.col("o_orderkey") % 2).alias("side"), "o_orderkey", "l_linenumber", "l_partkey").withColumn("pos", place)
+    rows = placed.join(cat, F.col("l_partkey") == F.col("row_id"))
+    even, odd = (rows.where(F.col("side") == n).select("request_id", "pos", "candidate") for n in (0, 1))
+    return C.merge_candidates(even, odd, 2**31 - 1).select("request_id", F.col("pos").cast("bigint").alias("pos"), F.col("candidate.asin").alias("asin"))
 
 
 @query(f"with {CATALOG_SQL} select asin, title, category from catalog where category = 'economy' order by row_id limit 20")
@@ -320,14 +311,14 @@ def lookup_products(spark: SparkSession, d: str) -> DataFrame:
     return C.lookup_products(li, catalog(spark, d)).select("request_id", "line", "part", F.col("product.title").alias("title"), F.col("product.price").alias("price"))
 
 
-@query(CHECKS_SQL + " select request_id, coalesce(string_agg(field, ',' order by pos) filter (matched), '') satisfied, coalesce(string_agg(field, ',' order by pos) filter (known and not coalesce(matched, false)), '') violated from checks group by 1")
-def evaluate_constraints(spark: SparkSession, d: str, of=pairs, ids=("request_id",)) -> DataFrame:
-    return evaluated(spark, d, of).select(*ids, F.array_join("satisfied", ",").alias("satisfied"), F.array_join("violated", ",").alias("violated"))
+@query(CHECKS_SQL + " select request_id, part, coalesce(string_agg(field, ',' order by pos) filter (matched), '') satisfied, coalesce(string_agg(field, ',' order by pos) filter (known and not coalesce(matched, false)), '') violated from checks group by request_id, part")
+def evaluate_constraints(spark: SparkSession, d: str) -> DataFrame:
+    return evaluated(spark, d).select("request_id", "part", F.array_join("satisfied", ",").alias("satisfied"), F.array_join("violated", ",").alias("violated"))
 
 
 @query(CHECKS_SQL + """ select field, count(*) checks, count(*) filter (matched) satisfied, count(*) filter (known and not coalesce(matched, false)) violated, count(*) - count(*) filter (matched) - count(*) filter (known and not coalesce(matched, false)) "unknown", round(count(*) filter (matched) / count(*), 6) satisfied_rate, round(count(*) filter (known and not coalesce(matched, false)) / count(*), 6) violated_rate from checks group by 1""")
-def constraint_rates(spark: SparkSession, d: str, of=pairs) -> DataFrame:
-    return K.constraint_rates(evaluated(spark, d, of))
+def constraint_rates(spark: SparkSession, d: str) -> DataFrame:
+    return K.constraint_rates(evaluated(spark, d))
 
 
 @query(f"with {WISHES_SQL} select request_id, concat_ws(',', case when w_category is not null then 'category' end, case when w_budget is not null then 'budget_max' end, case when w_brand is not null then 'brand' end, case when w_color is not null then 'color' end, case when w_size is not null then 'size' end, 'material') active, concat_ws(',', case when w_category is not null then 'category' end, case when w_color is not null then 'color' end, case when w_size is not null then 'size' end, case when w_brand is not null then 'brand' end) requested from wishes")
@@ -336,42 +327,38 @@ def active_constraints(spark: SparkSession, d: str) -> DataFrame:
     return wishes(spark, d).select("request_id", F.array_join(K.active_constraints(F.col("constraints")), ",").alias("active"), F.array_join(asked, ",").alias("requested"))
 
 
-@query(CHECKS_SQL + """, per as (select request_id, bool_and(coalesce(matched, false)) filter (field in ('category','color','size','brand')) all_ok, count(*) filter (field in ('category','color','size','brand')) asked, coalesce(bool_and(coalesce(matched, false)) filter (field = 'category'), true) cat_ok, count(*) filter (field = 'size' and not coalesce(matched, false)) size_open from checks group by 1)
- select request_id, coalesce(all_ok, false) and asked > 0 and request_id % 2 = 0 all_satisfied, size_open = 0 resolved, request_id % 2 = 0 and cat_ok and size_open = 0 ready from per""")
-def page_readiness(spark: SparkSession, d: str, of=pairs, ids=("request_id",)) -> DataFrame:
+@query(CHECKS_SQL + """, per as (select request_id, part, bool_and(coalesce(matched, false)) filter (field in ('category','color','size','brand')) all_ok, count(*) filter (field in ('category','color','size','brand')) asked, coalesce(bool_and(coalesce(matched, false)) filter (field = 'category'), true) cat_ok, count(*) filter (field = 'size' and not coalesce(matched, false)) size_open from checks group by request_id, part)
+ select request_id, part, coalesce(all_ok, false) and asked > 0 and request_id % 2 = 0 all_satisfied, size_open = 0 resolved, request_id % 2 = 0 and cat_ok and size_open = 0 ready from per""")
+def page_readiness(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("candidate")
-    page = evaluated(spark, d, of).withColumns({"page_type": F.when(F.col("request_id") % 2 == 0, "item").otherwise("results"), "selected_asin": c["asin"], "result_asin": F.lit(None).cast("string"), "title": c["title"], "price": c["price"], "category": c["category"], "brand": c["brand"], "item_title": F.lit(None).cast("string"), "item_price": F.lit(None).cast("double"), "options": c["options"]})
-    return K.readiness(page).select(*ids, "all_satisfied", "resolved", "ready")
+    page = evaluated(spark, d).withColumns({"page_type": F.when(F.col("request_id") % 2 == 0, "item").otherwise("results"), "selected_asin": c["asin"], "result_asin": F.lit(None).cast("string"), "title": c["title"], "price": c["price"], "category": c["category"], "brand": c["brand"], "item_title": F.lit(None).cast("string"), "item_price": F.lit(None).cast("double"), "options": c["options"]})
+    return K.readiness(page).select("request_id", "part", "all_satisfied", "resolved", "ready")
 
 
-@query(CHECKS_SQL + """, per as (select request_id, count(*) filter (matched) s, count(*) filter (known and not coalesce(matched, false)) v from checks group by 1)
- select request_id, case when request_id % 5 = 0 then 'no_matching_results' when v > 0 and s > 0 then 'partial_constraint_failure' when v > 0 then 'constraint_mismatch' end reason from per""")
-def feedback_reasons(spark: SparkSession, d: str, of=pairs, ids=("request_id",)) -> DataFrame:
-    seen = evaluated(spark, d, of).withColumns({"raw_text": F.when(F.col("request_id") % 5 == 0, "Total results: 00").otherwise("Total results: 12"), "visible_items": F.array().cast("array<struct<asin:string>>")})
-    return pages.reasons(seen).select(*ids, "reason")
+@query(CHECKS_SQL + """, per as (select request_id, part, count(*) filter (matched) s, count(*) filter (known and not coalesce(matched, false)) v from checks group by request_id, part)
+ select request_id, part, case when request_id % 5 = 0 then 'no_matching_results' when v > 0 and s > 0 then 'partial_constraint_failure' when v > 0 then 'constraint_mismatch' end reason from per""")
+def feedback_reasons(spark: SparkSession, d: str) -> DataFrame:
+    seen = evaluated(spark, d).withColumns({"raw_text": F.when(F.col("request_id") % 5 == 0, "Total results: 00").otherwise("Total results: 12"), "visible_items": F.array().cast("array<struct<asin:string>>")})
+    return pages.reasons(seen).select("request_id", "part", "reason")
 
 
-SEARCH_SQL = """with toks as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') t from documents where lang = 'en' and text is not null),
+SEARCH_SQL = """with toks as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') t from documents where text is not null),
  counts as (select doc_id, len(t) length, unnest(t) term from toks), tf as (select term, doc_id, length, count(*) tf from counts group by all),
  dfs as (select term, count(*) df from tf group by 1), tot as (select count(*) n, avg(len(t)) m from toks),
  post as (select term, doc_id, cast(round(1000000 * ln(1.0 + (n - df + 0.5) / (df + 0.5)) * (tf * 1.9 / (tf + 0.9 * (1 - 0.4 + 0.4 * length / m)))) as bigint) impact from tf join dfs using (term), tot),
- q as (select distinct item_id query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')[:8]) term from benchmark),
+ q as (select distinct item_id query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) term from benchmark),
  scored as (select query_id, doc_id, sum(impact) score from q join post using (term) group by all),
  ranked as (select *, row_number() over (partition by query_id order by score desc, doc_id) rank from scored)"""
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("lang = 'en' and text is not null").select("doc_id", "text")
-
-
-def short_queries(spark: SparkSession, d: str) -> DataFrame:
-    first = F.array_join(F.slice(search.terms(F.col("text")), 1, 8), " ")
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), first.alias("query"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", "text")
 
 
 @query(SEARCH_SQL + " select query_id, doc_id, cast(score as bigint) score, rank from ranked where rank <= 10")
 def search_topk(spark: SparkSession, d: str) -> DataFrame:
-    return search.search_topk(short_queries(spark, d), search.postings(corpus(spark, d)), 10).select("query_id", "doc_id", "score", F.col("rank").cast("bigint").alias("rank"))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return search.search_topk(asked, search.postings(corpus(spark, d)), 10).select("query_id", "doc_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(SEARCH_SQL + " select term, count(*) df, cast(sum(tf) as bigint) tf from tf group by 1")
@@ -379,36 +366,17 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
     return search.corpus_stats(corpus(spark, d))[0].groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
-# The same over all documents and whole benchmark texts; the two queries above and their SQL read English and eight terms only.
-SEARCH_ALL_SQL = SEARCH_SQL.replace("lang = 'en' and ", "").replace("[:8]", "")
-
-
-def whole_corpus(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null").select("doc_id", "text")
-
-
-@query(SEARCH_ALL_SQL + " select query_id, doc_id, cast(score as bigint) score, rank from ranked where rank <= 10")
-def search_topk_all(spark: SparkSession, d: str) -> DataFrame:
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return search.search_topk(asked, search.postings(whole_corpus(spark, d)), 10).select("query_id", "doc_id", "score", F.col("rank").cast("bigint").alias("rank"))
-
-
-@query(SEARCH_ALL_SQL + " select term, count(*) df, cast(sum(tf) as bigint) tf from tf group by 1")
-def corpus_stats_all(spark: SparkSession, d: str) -> DataFrame:
-    return search.corpus_stats(whole_corpus(spark, d))[0].groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
-
-
 CATALOG_SEARCH_SQL = f"""with {CATALOG_SQL}, {WISHES_SQL}, toks as (select row_id doc_id, regexp_extract_all(lower(title || ' ' || p_type), '[a-z0-9]+') t from catalog),
  counts as (select doc_id, len(t) length, unnest(t) term from toks), tf as (select term, doc_id, length, count(*) tf from counts group by all),
  dfs as (select term, count(*) df from tf group by 1), tot as (select count(*) n, avg(len(t)) m from toks),
  post as (select term, doc_id, cast(round(1000000 * ln(1.0 + (n - df + 0.5) / (df + 0.5)) * (tf * 1.9 / (tf + 0.9 * (1 - 0.4 + 0.4 * length / m)))) as bigint) impact from tf join dfs using (term), tot),
- q as (select distinct c_custkey query_id, unnest([lower(['ECONOMY','STANDARD','PROMO','SMALL','MEDIUM','LARGE'][c_custkey % 6 + 1]), ['red','blue','small','large','widget'][c_custkey % 5 + 1]]) term from customer where c_custkey % 10 <> 0),
+ q as (select distinct c_custkey query_id, unnest([lower(['ECONOMY','STANDARD','PROMO','SMALL','MEDIUM','LARGE'][c_custkey % 6 + 1]), ['red','blue','small','large','widget'][c_custkey % 5 + 1]]) term from customer),
  scored as (select query_id, doc_id, sum(impact) score from q join post using (term) group by all),
  ranked as (select *, row_number() over (partition by query_id order by score desc, doc_id) rank from scored where true)"""
 
 
 @query(CATALOG_SEARCH_SQL + """, tops as (select query_id, string_agg(cast(doc_id as varchar), ',' order by rank) found from ranked where rank <= 10 group by 1)
- select c_custkey request_id, case when c_custkey % 10 = 0 then 'error' else 'observed' end status, case when c_custkey % 10 = 0 then 'missing_gold_search_query' when found is null then 'no_matching_results' end reason, coalesce(found, '') found from customer left join tops on query_id = c_custkey""")
+ select c_custkey request_id, case when c_custkey % 10 = 0 then 'error' else 'observed' end status, case when c_custkey % 10 = 0 then 'missing_gold_search_query' when found is null then 'no_matching_results' end reason, coalesce(found, '') found from customer left join tops on query_id = c_custkey and c_custkey % 10 <> 0""")
 def search_candidates(spark: SparkSession, d: str) -> DataFrame:
     cat = catalog(spark, d)
     posted = search.postings(cat.select(F.col("row_id").alias("doc_id"), F.concat_ws(" ", "Title", F.upper("category")).alias("text")))
@@ -448,10 +416,10 @@ def rerank_window(spark: SparkSession, d: str) -> DataFrame:
 
 @query(CATALOG_SEARCH_SQL + """, c as (select query_id, rank, doc_id, lower(p_type) t, title, price, w_category, w_budget, case when w_category is not null then contains(lower(p_type), case when length(w_category) > 3 and ends_with(w_category, 's') then w_category[:-2] else w_category end) or contains(lower(title), case when length(w_category) > 3 and ends_with(w_category, 's') then w_category[:-2] else w_category end) end fam from ranked join catalog on row_id = doc_id join wishes on request_id = query_id where rank <= 10)
  select query_id request_id, doc_id, rank original_rank, row_number() over (partition by query_id order by coalesce(fam, false) desc, coalesce(price > cast(w_budget as double), false), rank) rerank_rank from c qualify rerank_rank <= 5""")
-def rule_rerank(spark: SparkSession, d: str, who: str = "request_id % 10 <> 0") -> DataFrame:
+def rule_rerank(spark: SparkSession, d: str) -> DataFrame:
     cat = catalog(spark, d)
     posted = search.postings(cat.select(F.col("row_id").alias("doc_id"), F.concat_ws(" ", "Title", F.upper("category")).alias("text")))
-    asked = wishes(spark, d).where(who)
+    asked = wishes(spark, d)
     hits = search.search_topk(asked.select(F.col("request_id").alias("query_id"), "query"), posted, 10)
     found = hits.join(C.candidate_items(cat, "row_id").select("row_id", "candidate"), F.col("doc_id") == F.col("row_id")).join(asked.select("request_id", "constraints"), F.col("query_id") == F.col("request_id"))
     wish = lambda f: F.get(F.filter("constraints", lambda c: c["field"] == f), F.lit(0))["value"]
@@ -462,10 +430,10 @@ def rule_rerank(spark: SparkSession, d: str, who: str = "request_id % 10 <> 0")
 
 
 @query(CATALOG_SEARCH_SQL + """, top as (select query_id, doc_id from ranked where rank = 1) select query_id request_id, cast(doc_id as varchar) asin, concat_ws(',', case when w_budget is not null and price <= cast(w_budget as double) then 'budget_max' end, case when w_brand is not null and lower(brand) = w_brand then 'brand' end, case when w_color is not null and color = w_color then 'color' end) satisfied from top join catalog on row_id = doc_id join wishes on request_id = query_id""")
-def refresh_constraints(spark: SparkSession, d: str, who: str = "request_id % 10 <> 0") -> DataFrame:
+def refresh_constraints(spark: SparkSession, d: str) -> DataFrame:
     cat = catalog(spark, d)
     posted = search.postings(cat.select(F.col("row_id").alias("doc_id"), F.concat_ws(" ", "Title", F.upper("category")).alias("text")))
-    asked = wishes(spark, d).where(who).withColumn("constraints", F.filter("constraints", lambda c: c["field"] != "category"))
+    asked = wishes(spark, d).withColumn("constraints", F.filter("constraints", lambda c: c["field"] != "category"))
     hits = search.search_topk(asked.select(F.col("request_id").alias("query_id"), "query"), posted, 5)
     top = hits.join(C.candidate_items(cat, "row_id").select("row_id", "candidate"), F.col("doc_id") == F.col("row_id")).select(F.col("query_id").alias("request_id"), F.col("rank").alias("rerank_rank"), "candidate")
     return K.refresh_constraints(top, asked.select("request_id", "constraints")).select("request_id", "asin", F.array_join("satisfied", ",").alias("satisfied"))
@@ -695,10 +663,10 @@ def replay_agreement(spark: SparkSession, d: str) -> DataFrame:
     return bulk.replay_agreement(bulk.align_replay(gold, again))
 
 
-@query("select o_custkey % 100 instance_id, count(*) n from orders where o_custkey % 100 in (select c_custkey from customer where c_custkey < 40 and c_custkey % 3 = 0) group by 1")
+@query("select o_custkey instance_id, count(*) n from orders where o_custkey in (select c_custkey from customer) group by 1")
 def select_instances(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select((F.col("o_custkey") % 100).alias("instance_id"), F.col("o_orderkey").alias("task_index"))
-    ids = table(spark, d, "customer").where("c_custkey < 40 and c_custkey % 3 = 0").select(F.col("c_custkey").alias("instance_id"))
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("instance_id"), F.col("o_orderkey").alias("task_index"))
+    ids = table(spark, d, "customer").select(F.col("c_custkey").alias("instance_id")).join(o, "instance_id", "left_semi")
     return readers.select_instances(o, ids).groupBy("instance_id").agg(F.count("*").alias("n"))
 
 
@@ -708,82 +676,15 @@ def missing_ids(spark: SparkSession, d: str) -> DataFrame:
     return readers.missing_ids(ids, table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("instance_id")))
 
 
-@query(f"""with {CATALOG_SQL}, {WISHES_SQL}, pairs as (select * from wishes join catalog on row_id = part), p as (select request_id, title, price, brand, color, category, product_category from pairs)
- select request_id, title, price, case when request_id % 3 = 0 then 'Acme' else brand end brand, case when request_id % 2 = 0 then 'teal' else color end color, coalesce(product_category, category) base_category from p""")
-def extract_result(spark: SparkSession, d: str, of=pairs, ids=("request_id",)) -> DataFrame:
+@query(f"""with {CATALOG_SQL}, {WISHES_SQL}, {OWNED_SQL}, p as (select request_id, part, title, price, brand, color, category, product_category from pairs)
+ select request_id, part, title, price, case when request_id % 3 = 0 then 'Acme' else brand end brand, case when request_id % 2 = 0 then 'teal' else color end color, coalesce(product_category, category) base_category from p""")
+def extract_result(spark: SparkSession, d: str) -> DataFrame:
     c, key = F.col("candidate"), F.col("request_id")
     context = c.withField("rating", F.lit(None).cast("string")).withField("selected_options", F.lit(None).cast("map<string,string>"))
     options = F.when(key % 6 == 0, F.create_map(F.lit(" COLOR"), F.lit("teal"), F.lit("brand"), F.lit("Acme"))).when(key % 2 == 0, F.create_map(F.lit("Color "), F.lit(" teal"))).when(key % 3 == 0, F.create_map(F.lit("Brand"), F.lit("Acme"))).otherwise(F.create_map().cast("map<string,string>"))
-    page = of(spark, d).select(*ids, context.alias("item_context"), F.struct(c["title"].alias("title"), F.lit(None).cast("double").alias("price")).alias("selected_item"), options.alias("selected_options"), F.lit("").alias("raw_text"))
+    page = pairs(spark, d).select("request_id", "part", context.alias("item_context"), F.struct(c["title"].alias("title"), F.lit(None).cast("double").alias("price")).alias("selected_item"), options.alias("selected_options"), F.lit("").alias("raw_text"))
     r = F.col("result")
-    return K.extract_result(page).select(*ids, *(r[f].alias(f) for f in ("title", "price", "brand", "color", "base_category")))
-
-
-# Whole tables ------------------------------------------------------------------------------
-# The queries of these names without _all, whose SQL stays as it is, take part of the customers,
-# parts or ids. SQL of the same steps over the whole tables is made from theirs.
-
-
-@query(ORACLE_SQL["evaluate_constraints"].replace(CHECKS_SQL, CHECKS_ALL_SQL).replace("select request_id, ", "select request_id, part, ").replace("part, part, ", "part, ").replace("group by 1", "group by request_id, part"))
-def evaluate_constraints_all(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate_constraints(spark, d, all_pairs, ("request_id", "part"))
-
-
-@query(ORACLE_SQL["constraint_rates"].replace(CHECKS_SQL, CHECKS_ALL_SQL))
-def constraint_rates_all(spark: SparkSession, d: str) -> DataFrame:
-    return constraint_rates(spark, d, all_pairs)
-
-
-@query(ORACLE_SQL["page_readiness"].replace(CHECKS_SQL, CHECKS_ALL_SQL).replace("select request_id, ", "select request_id, part, ").replace("part, part, ", "part, ").replace("group by 1", "group by request_id, part"))
-def page_readiness_all(spark: SparkSession, d: str) -> DataFrame:
-    return page_readiness(spark, d, all_pairs, ("request_id", "part"))
-
-
-@query(ORACLE_SQL["feedback_reasons"].replace(CHECKS_SQL, CHECKS_ALL_SQL).replace("select request_id, ", "select request_id, part, ").replace("part, part, ", "part, ").replace("group by 1", "group by request_id, part"))
-def feedback_reasons_all(spark: SparkSession, d: str) -> DataFrame:
-    return feedback_reasons(spark, d, all_pairs, ("request_id", "part"))
-
-
-@query(ORACLE_SQL["extract_result"].replace(ONE_PART_SQL, OWNED_SQL).replace("select request_id, title", "select request_id, part, title"))
-def extract_result_all(spark: SparkSession, d: str) -> DataFrame:
-    return extract_result(spark, d, all_pairs, ("request_id", "part"))
-
-
-@query(ORACLE_SQL["rule_rerank"].replace(" where c_custkey % 10 <> 0", ""))
-def rule_rerank_all(spark: SparkSession, d: str) -> DataFrame:
-    return rule_rerank(spark, d, "true")
-
-
-@query(ORACLE_SQL["refresh_constraints"].replace(" where c_custkey % 10 <> 0", ""))
-def refresh_constraints_all(spark: SparkSession, d: str) -> DataFrame:
-    return refresh_constraints(spark, d, "true")
-
-
-@query("select o_custkey instance_id, count(*) n from orders where o_custkey in (select c_custkey from customer) group by 1")
-def select_instances_all(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("instance_id"), F.col("o_orderkey").alias("task_index"))
-    ids = table(spark, d, "customer").select(F.col("c_custkey").alias("instance_id")).join(o, "instance_id", "left_semi")
-    return readers.select_instances(o, ids).groupBy("instance_id").agg(F.count("*").alias("n"))
-
-
-@query(f"""with {CATALOG_SQL} select l_orderkey || '/' || l_partkey selection_id, case when l_orderkey % 3 = 0 then asin end asin, case when l_orderkey % 3 = 0 then title end title, case when l_orderkey % 3 = 0 then price end price, case when l_orderkey % 3 = 0 then brand end brand
- from (select distinct l_orderkey, l_partkey from lineitem) left join catalog on row_id = l_partkey""")
-def item_context_all(spark: SparkSession, d: str) -> DataFrame:
-    picked = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct().select(F.concat_ws("/", "l_orderkey", "l_partkey").alias("selection_id"), F.col("l_partkey").cast("string").alias("selected_asin"), F.when(F.col("l_orderkey") % 3 == 0, "item").otherwise("results").alias("page_type"), F.create_map().cast("map<string,string>").alias("selected_options"))
-    return contexts_of(spark, d, picked)
-
-
-@query(f"""with {CATALOG_SQL}, lines as (select o_custkey, o_orderkey % 2 side, row_number() over (partition by o_custkey, o_orderkey % 2 order by o_orderkey, l_linenumber, l_partkey) pos, l_partkey from orders join lineitem on o_orderkey = l_orderkey),
- firsts as (select o_custkey, l_partkey, min(side * 1000000000 + pos) o from lines group by all)
- select o_custkey request_id, row_number() over (partition by o_custkey order by o) pos, asin from firsts join catalog on row_id = l_partkey""")
-def merge_candidates_all(spark: SparkSession, d: str) -> DataFrame:
-    cat = C.candidate_items(catalog(spark, d), "row_id").select("row_id", "candidate")
-    lines = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    place = F.row_number().over(W.partitionBy("request_id", "side").orderBy("o_orderkey", "l_linenumber", "l_partkey"))
-    placed = lines.select(F.col("o_custkey").alias("request_id"), (F.col("o_orderkey") % 2).alias("side"), "o_orderkey", "l_linenumber", "l_partkey").withColumn("pos", place)
-    rows = placed.join(cat, F.col("l_partkey") == F.col("row_id"))
-    even, odd = (rows.where(F.col("side") == n).select("request_id", "pos", "candidate") for n in (0, 1))
-    return C.merge_candidates(even, odd, 2**31 - 1).select("request_id", F.col("pos").cast("bigint").alias("pos"), F.col("candidate.asin").alias("asin"))
+    return K.extract_result(page).select("request_id", "part", *(r[f].alias(f) for f in ("title", "price", "brand", "color", "base_category")))
 
 
 # Streams ----------------------------------------------------------------------------------

@@ -22,9 +22,9 @@ def test_search_reads_all_documents_and_whole_queries(spark, tmp_path):
         return round(1e6 * math.log(1 + (len(docs) - df[word] + 0.5) / (df[word] + 0.5)) * tf * 1.9 / (tf + 0.9 * (0.6 + 0.4 * len(doc) / mean)))
 
     want = {(q, k): sum(impact(w, d) for w in set(re.findall("[a-z0-9]+", text.lower())) if w in d) for q, text in items.items() if text for k, d in docs.items()}
-    got = {(r["query_id"], r["doc_id"]): r["score"] for r in Q.QUERIES["search_topk_all"](spark, str(tmp_path)).collect()}
+    got = {(r["query_id"], r["doc_id"]): r["score"] for r in Q.QUERIES["search_topk"](spark, str(tmp_path)).collect()}
     assert got == {k: v for k, v in want.items() if v} and (1, 2) in got and (1, 5) in got
-    stats = {r["term"]: (r["df"], r["tf"]) for r in Q.QUERIES["corpus_stats_all"](spark, str(tmp_path)).collect()}
+    stats = {r["term"]: (r["df"], r["tf"]) for r in Q.QUERIES["corpus_stats"](spark, str(tmp_path)).collect()}
     assert stats == {w: (n, sum(d.count(w) for d in docs.values())) for w, n in df.items()}
 
 
@@ -33,16 +33,16 @@ def test_all_customers_parts_and_ids_are_evaluated(spark):
     lines = t["orders"].merge(t["lineitem"], left_on="o_orderkey", right_on="l_orderkey")
     owned = set(zip(lines["o_custkey"], lines["l_partkey"]))
     run = lambda name: Q.QUERIES[name](spark, SF_DIR).collect()
-    for name in ("evaluate_constraints_all", "page_readiness_all", "feedback_reasons_all", "extract_result_all"):
+    for name in ("evaluate_constraints", "page_readiness", "feedback_reasons", "extract_result"):
         rows = run(name)
         assert {(r["request_id"], r["part"]) for r in rows} == owned and len(rows) == len(owned)
-    assert {(r["request_id"], int(r["asin"])) for r in run("merge_candidates_all")} == owned
-    assert sum(r["checks"] for r in run("constraint_rates_all")) >= len(owned)
+    assert {(r["request_id"], int(r["asin"])) for r in run("merge_candidates")} == owned
+    assert sum(r["checks"] for r in run("constraint_rates")) >= len(owned)
     every = set(t["customer"]["c_custkey"])
-    assert {r["request_id"] for r in run("rule_rerank_all")} == {r["request_id"] for r in run("refresh_constraints_all")} == every
-    assert {r["instance_id"]: r["n"] for r in run("select_instances_all")} == t["orders"]["o_custkey"].value_counts().to_dict()
+    assert {r["request_id"] for r in run("rule_rerank")} == {r["request_id"] for r in run("refresh_constraints")} == every
+    assert {r["instance_id"]: r["n"] for r in run("select_instances")} == t["orders"]["o_custkey"].value_counts().to_dict()
     want = {f"{o}/{p}": str(p) if o % 3 == 0 else None for o, p in zip(t["lineitem"]["l_orderkey"], t["lineitem"]["l_partkey"])}
-    assert {r["selection_id"]: r["asin"] for r in run("item_context_all")} == want
+    assert {r["selection_id"]: r["asin"] for r in run("item_context")} == want
 
 
 @pytest.mark.parametrize("name", ["stream_intentions", "stream_stop_monitor"])

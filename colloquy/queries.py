@@ -655,12 +655,16 @@ def bulk_rerank(spark: SparkSession, d: str) -> DataFrame:
     return bulk.bulk_rerank(known, intents, FixedOrder).select("request_id", F.col("pos").cast("bigint").alias("pos"), "asin", "fallback")
 
 
-@query("with t as (select conv_id, turn, role, text from conversations) select conv_id instance_id, count(*) turns, round(avg(case when turn % 2 = 0 then 1 else 0 end), 6) same_action, 1.0 same_stop_reason, 1.0 same_query, 1.0 same_first_asin from t group by 1")
+@query("""with t as (select conv_id, turn, role, text, length(text) n from conversations)
+ select conv_id instance_id, count(*) turns, round(avg(case when turn % 2 = 0 then 1 else 0 end), 6) same_action, round(avg(case when n % 3 > 0 then 1 else 0 end), 6) same_stop_reason, round(avg(case when n % 5 = 0 or turn % 2 = 0 then 1 else 0 end), 6) same_query, round(avg(case when n % 7 < 4 then 1 else 0 end), 6) same_first_asin from t group by 1""")
 def replay_agreement(spark: SparkSession, d: str) -> DataFrame:
-    t = conversation_turns(spark, d)
-    gold = t.select("instance_id", "turn_id", F.col("role").alias("action"), F.lit("direct_search").alias("stop_reason"), F.lit(None).cast("string").alias("query"), F.lit("a").alias("first_asin"), F.lit(None).cast("string").alias("linguistic_style"), F.lit(None).cast("string").alias("action_implication"))
-    again = gold.withColumn("action", F.when(F.col("turn_id") % 2 == 0, F.col("action")).otherwise("other"))
-    return bulk.replay_agreement(bulk.align_replay(gold, again))
+    t, n = conversation_turns(spark, d), F.length("text")
+    style = {"linguistic_style": F.lit(None).cast("string"), "action_implication": F.lit(None).cast("string")}
+    # A recorded query is missing in every fifth length, and so is the replayed one.
+    gold = t.select("instance_id", "turn_id", F.col("role").alias("action"), F.lit("direct_search").alias("stop_reason"), F.when(n % 5 > 0, F.col("text")).alias("query"), (n % 7).cast("string").alias("first_asin"), n.alias("size")).withColumns(style)
+    odd = F.col("turn_id") % 2 != 0
+    again = gold.withColumns({"action": F.when(odd, "other").otherwise(F.col("action")), "stop_reason": F.when(F.col("size") % 3 > 0, F.col("stop_reason")), "query": F.when(odd, F.concat("query", F.lit(" more"))).otherwise(F.col("query")), "first_asin": F.least("first_asin", F.lit("3"))})
+    return bulk.replay_agreement(bulk.align_replay(gold.drop("size"), again))
 
 
 @query("select o_custkey instance_id, count(*) n from orders where o_custkey in (select c_custkey from customer) group by 1")
@@ -713,11 +717,21 @@ def timed_log(spark: SparkSession, d: str) -> DataFrame:
     return log.withColumns({"time": F.timestamp_micros(F.round(F.col("ts") * 1_000_000).cast("bigint")), "call_id": F.concat_ws("/", F.col("caller_id").cast("string"), F.floor(F.col("ts") / 86400).cast("string"), F.col("request_count").cast("string"))})
 
 
-@query(f"with {SHIFTS_SQL}, best as (select instance_id, count(*) n, max(turn_id) last_turn from shifts group by 1) select instance_id, cast(n as bigint) states, cast(last_turn as bigint) last_turn from best")
+STATES_SQL = f"""with {SHIFTS_SQL}, turns as (select distinct instance_id, turn_id from shifts),
+ sets as (select * from shifts where op in ('add','relax','override','scope_correction')),
+ held as (select t.instance_id, t.turn_id, s.field, min(s.turn_id) first_, max(s.turn_id) last_ from turns t join sets s on s.instance_id = t.instance_id and s.turn_id <= t.turn_id group by all),
+ moved as (select h.instance_id, h.turn_id, h.field, max(m.turn_id) at_ from held h join shifts m on m.op = 'reprioritize' and m.instance_id = h.instance_id and m.field = h.field and m.turn_id between h.first_ and h.turn_id group by all),
+ known as (select h.*, s.value, m.at_ from held h join sets s on s.instance_id = h.instance_id and s.field = h.field and s.turn_id = h.last_ left join moved m on m.instance_id = h.instance_id and m.turn_id = h.turn_id and m.field = h.field),
+ states as (select instance_id, turn_id, string_agg(field || '=' || coalesce(value, 'null'), ';' order by field) constraints, string_agg(field, ',' order by at_ desc nulls last, first_) priority from known group by all)"""
+
+
+@query(STATES_SQL + " select instance_id, cast(t.turn_id as bigint) turn_id, coalesce(constraints, '') constraints, coalesce(priority, '') priority from turns t left join states using (instance_id, turn_id)")
 def stream_intentions(spark: SparkSession, d: str) -> DataFrame:
     made = order_shifts(spark, d)[1].select("instance_id", F.col("turn_id").cast("long").alias("turn_id"), "op", "field", "value")
     states = drained(spark, made, streams.stream_intentions)
-    return states.groupBy("instance_id").agg(F.count("*").alias("states"), F.max("turn_id").alias("last_turn"))
+    held = F.array_sort(F.map_entries(F.from_json("constraints", "map<string,string>")))
+    shown = F.transform(held, lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null"))))
+    return states.select("instance_id", "turn_id", F.array_join(shown, ";").alias("constraints"), F.array_join("priority", ",").alias("priority"))
 
 
 @query(f"with {STEPS_SQL}, m as (select *, case when action_type = 'buy' then 'virtual_buy' when repeat_streak >= 2 or stagnant_steps >= 2 then 'stuck' when step_index >= 12 then 'step_budget' end r from s4) select instance_id, turn_id, min(step_index) step_index, arg_min(r, step_index) stop_reason from m where r is not null group by all")
@@ -743,6 +757,7 @@ def stream_call_latency(spark: SparkSession, d: str) -> DataFrame:
     return drained(spark, timed_log(spark, d), lambda s: streams.stream_call_latency(s, within="12 hours"))
 
 
-@query()
+@query(f"with {LOG_SQL} select distinct query, cast(k as bigint) k from lg where event = 'request'")
 def stream_dedup_calls(spark: SparkSession, d: str) -> DataFrame:
-    return drained(spark, timed_log(spark, d).where("event = 'request'"), lambda s: streams.stream_dedup_calls(s, late="3650 days")).select("query", "k")
+    first = drained(spark, timed_log(spark, d).where("event = 'request'"), lambda s: streams.stream_dedup_calls(s, late="3650 days"))
+    return first.select("query", F.col("k").cast("bigint").alias("k"))

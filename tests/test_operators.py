@@ -1,11 +1,12 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
 from colloquy.operators import candidates as C
 from colloquy.operators import constraints as K
 from colloquy.operators import intentions as I
-from colloquy.operators import pages, rerank, steps
+from colloquy.operators import pages, rerank, search, steps
 from colloquy.plans import bulk
 
 
@@ -120,6 +121,91 @@ def test_visible_items_are_scanned_greedily(spark):
     assert spark.range(1).select(pages.no_results(F.lit("Total results: 0"))).first()[0]
 
 
+def test_click_targets_feed_fallback_actions(spark):
+    text = "Page 1 [SEP] B00000000A [SEP] B00000000B [SEP] $1.50 [SEP] $2 [SEP] B00000000C [SEP] three [SEP] $3"
+    raw = spark.createDataFrame([(text, ["b00000000a", "next >"], False), ("WebShop [SEP] Search", ["search"], False)], "raw_text string, clickables array<string>, done boolean")
+    seen = raw.withColumn("visible_items", pages.visible_items(F.col("raw_text"), F.lit("results"), F.col("clickables")))
+    items = seen.first()["visible_items"]
+    assert [(i["asin"], i["title"], i["click_target"]) for i in items] == [("B00000000A", "B00000000B", "b00000000a"), ("B00000000C", "three", "B00000000C")]
+    action = "struct<action_type:string,payload:map<string,string>>"
+    page = seen.withColumns({"action": F.lit(None).cast(action), "utterance": F.lit(" red lamp "), "page_type": F.when(F.size("visible_items") > 0, "results").otherwise("search"), "options": F.create_map().cast("map<string,array<string>>"), "selected_options": F.create_map().cast("map<string,string>")})
+    got = {tuple(sorted(r["next_action"]["payload"].items())) for r in pages.fallback_actions(page).collect()}
+    assert got == {(("target", "b00000000a"),), (("query", "red lamp"),)}
+
+
+def test_the_last_utterances_only_are_held(spark):
+    turns = [("d", i, "user" if i % 3 else "assistant", "  " if i == 7 else f"u{i}", "now" if i == 11 else f"u{i}") for i in range(12)]
+    got = {r["turn_id"]: r["context"] for r in I.utterance_context(spark.createDataFrame(turns, "instance_id string, turn_id int, role string, text string, current string"), 3).collect()}
+    for i in range(12):
+        said = [t[3] for t in turns[: i + 1] if t[2] == "user" and t[3].strip()]
+        now = turns[i][4]
+        assert got[i] == (said if said and said[-1] == now else [*said, now])[-3:]
+
+
+def test_rows_without_a_prompt_stay(spark):
+    class Echo:
+        def generate(self, prompt):
+            return prompt.upper()
+
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "a")], "id int, prompt string")
+    got = {r["id"]: (r["output"], r["error"]) for r in bulk.bulk_generate(rows, Echo).collect()}
+    assert got == {1: ("A", None), 2: (None, "no prompt"), 3: ("A", None)}
+
+
+class Mover:
+    """A shopper that wants another colour, then a brand, then nothing new."""
+
+    def generate(self, prompt):
+        if "how your wishes change" in prompt:
+            if '\\"value\\":\\"blue' not in prompt:
+                return json.dumps({"intention_changed": True, "category": "override", "op": "override", "field": "color", "value": "blue", "rationale": "r"})
+            if "Acme" not in prompt:
+                return json.dumps({"intention_changed": True, "category": "add", "op": "add", "field": "brand", "value": "Acme", "priority_update": ["brand"], "rationale": "r"})
+            return json.dumps({"intention_changed": False})
+        if "gold_search_query" in prompt and "search query" in prompt:
+            return json.dumps({"gold_search_query": "blue lamp"})
+        return "Another one, please."
+
+
+def test_rounds_go_on_from_each_other(spark):
+    fields = ["Title", "name", "Price", "category", "product_category", "query", "brand_name", "Description", "full_description"]
+    item = ["Red lamp", None, "$20", "lamp", "lamp", "lamp", "Acme", "d", None]
+    extra = {"pricing": "array<double>", "BulletPoints": "array<string>", "Attributes": "array<string>", "options": "map<string,array<string>>"}
+    cat = spark.createDataFrame([(1, "B000000001", *item)], "row_id long, asin string, " + ", ".join(f"{c} string" for c in fields)).withColumns({k: F.lit(None).cast(v) for k, v in extra.items()})
+    posted = search.postings(cat.select(F.col("row_id").alias("doc_id"), F.col("Title").alias("text")))
+    start = spark.createDataFrame([(1, 0, "red lamp", [("category", "lamp"), ("color", "red")], ["color"], "a lamp")], "instance_id long, turn_id int, query string, constraints array<struct<field:string,value:string>>, priority array<string>, request string")
+    state, seen = start, []
+    for _ in range(3):
+        round_ = bulk.stored(bulk.advance_round(state, posted, cat, Mover, max_turns=2))
+        row = round_.first()
+        seen.append((row["turn_id"], row["query"], [tuple(c) for c in row["next_constraints"]], row["next_priority"], row["next_query"], row["ended"]))
+        state = bulk.next_round(round_)
+    assert seen[0] == (0, "red lamp", [("category", "lamp"), ("color", "blue")], ["color", "category"], "blue lamp", False)
+    # An update can only name fields that were known before the shift, so the new one comes last.
+    assert seen[1] == (1, "blue lamp", [("category", "lamp"), ("color", "blue"), ("brand", "Acme")], ["color", "category", "brand"], "blue lamp", False)
+    assert seen[2][2] == seen[1][2] and seen[2][3] == seen[1][3] and seen[2][5] and state.count() == 0
+
+
+def test_search_finds_what_a_plain_scan_finds(spark):
+    rng = random.Random(4)
+    voc = ["the", "of", "and"] * 30 + [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(rng.choices(voc, k=rng.randint(1, 30)))) for i in range(300)] + [(400, None), (401, "")]
+    asked = [(i, " ".join(rng.choices(voc, k=rng.randint(1, 12)))) for i in range(40)] + [(50, None), (51, "zzz"), (52, "the The of"), (53, "of the")]
+    posted = search.postings(spark.createDataFrame(docs, "doc_id long, text string").where("text is not null"))
+    impact = {(r["term"], r["doc_id"]): r["impact"] for r in posted.collect()}
+    got = {}
+    for r in search.search_topk(spark.createDataFrame(asked, "query_id long, query string"), posted, 5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], -r["score"], r["doc_id"]))
+    for key, text in asked:
+        words = set((text or "").lower().split())
+        score = {}
+        for (term, doc), n in impact.items():
+            if term in words:
+                score[doc] = score.get(doc, 0) + n
+        best = sorted((-n, doc) for doc, n in score.items())[:5]
+        assert sorted(got.get(key, [])) == [(i + 1, *x) for i, x in enumerate(best)]
+
+
 class Shopper:
     def generate(self, prompt):
         if "too easily satisfied" in prompt:

@@ -214,6 +214,33 @@ SHIFTS_SQL = """sh as (select o_custkey instance_id, row_number() over (partitio
  given as (select instance_id, -1 turn_id, field, 'initial' op, value, null rationale from init union all select instance_id, turn_id, field, op, value, rationale from shifts where op in ('add','relax','override','scope_correction'))"""
 
 
+def raw_shifts(spark: SparkSession, d: str) -> DataFrame:
+    """Shifts as a model gives them, beside the state that they change."""
+    first, made = order_shifts(spark, d)
+    state = first.groupBy("instance_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("constraints"),
+        F.array_sort(F.collect_list("field")).alias("fields"),
+    )
+    turn, text = F.col("turn_id"), F.lit(None).cast("string")
+    raw = {
+        "usable": turn % 17 != 0,
+        "intention_changed": F.when(turn % 3 != 0, F.col("op") != "none"),
+        "condition": F.upper(F.replace("condition", F.lit("_"), F.lit("-"))),
+        "category": F.when(turn % 2 == 0, F.col("op")),
+        "field": F.upper("field"),
+        "old_value": text,
+        "update": F.col("priority_update"),
+        "priority": F.array().cast("array<string>"),
+        "request": F.lit("anything"),
+        "stored_query": text,
+        "style": F.lit("PARTIAL "),
+        "directness": text,
+        "mention_old_value": F.lit(None).cast("boolean"),
+        "gold_search_query": text,
+    }
+    return made.join(state, "instance_id").withColumns(raw).drop("priority_update")
+
+
 def seconds(c: str):
     """Seconds since 1970 of a time without a zone, whatever the session's zone is."""
     return (F.unix_date(F.to_date(c)) * 86400 + F.hour(c) * 3600 + F.minute(c) * 60).cast("double") + F.extract(F.lit("SECOND"), F.col(c)).cast("double")
@@ -487,7 +514,21 @@ def shift_deltas(spark: SparkSession, d: str) -> DataFrame:
     return I.shift_deltas(*order_shifts(spark, d))
 
 
-@query()
+# A field with a space never matches a known one again, so it loses its place in the order.
+PRIORITY_SQL = f"""with recursive {SHIFTS_SQL},
+ fold(instance_id, turn_id, f, old, new_, op) as (
+  select c_custkey, cast(-1 as bigint), own, cast(null as varchar[]), own, 'none' from (select c_custkey, case when c_custkey % 2 = 0 then ['high', 'low'] else ['low'] end own from customer)
+  union all
+  select instance_id, turn_id, f, p, list_concat(named, list_filter(f, lambda x: not list_contains(named, x))), case when asked <> p then 'reprioritize' else 'none' end
+  from (select *, list_filter(coalesce(asked, p), lambda x: not contains(x, ' ')) named
+   from (select *, case when op = 'reprioritize' then case when list_contains(known, field) and not contains(field, ' ') then list_concat([field], list_filter(known, lambda x: x <> field)) else known end end asked
+    from (select *, case when assigns and not list_contains(p, field) then list_append(p, field) else p end known
+     from (select s.instance_id, s.turn_id, s.op, s.field, fold.new_ p, s.op in ('add','relax','override','scope_correction') assigns,
+       case when s.op in ('add','relax','override','scope_correction') and not list_contains(fold.f, s.field) then list_append(fold.f, s.field) else fold.f end f
+       from fold join shifts s on s.instance_id = fold.instance_id and s.turn_id = fold.turn_id + 1)))))"""
+
+
+@query(PRIORITY_SQL + " select instance_id, cast(turn_id as int) turn_id, op, array_to_string(old, ',') \"old\", array_to_string(new_, ',') \"new\" from fold where turn_id >= 0")
 def fold_priority(spark: SparkSession, d: str) -> DataFrame:
     first, made = order_shifts(spark, d)
     start = first.groupBy("instance_id").agg(F.array_sort(F.collect_list("field")).alias("fields"), F.array().cast("array<string>").alias("priority"))
@@ -540,13 +581,22 @@ def fallback_utterances(spark: SparkSession, d: str) -> DataFrame:
     return made.select("instance_id", F.col("turn_id").cast("bigint").alias("turn_id"), said.alias("utterance"))
 
 
-@query()
+# What is left of raw shifts: a new field is an addition, which needs a value, as a known field's needs that it had none.
+NORMAL_SQL = f"""with {SHIFTS_SQL},
+ n0 as (select *, replace(field, ' ', '_') name, case when field = 'low' then '1' end held, coalesce(field = 'low' or (field = 'high' and instance_id % 2 = 0), false) known from shifts),
+ n1 as (select *, op <> 'none' changed, case when op not in ('none', 'reprioritize') and not known then 'add' else op end op4, case when instance_id % 2 = 0 then ['high', 'low'] else ['low'] end fields from n0),
+ n2 as (select *, turn_id % 17 = 0 or (op4 = 'add' and known and held is not null) or (op4 in ('add', 'override') and value is null) invalid from n1),
+ n3 as (select *, changed and not invalid live, changed and not invalid and op4 <> 'reprioritize' assigned from n2),
+ normal as (select instance_id, cast(turn_id as int) turn_id, case when live then op4 else 'none' end op, live intention_changed, case when live then condition else 'none' end condition, case when live then op4 else 'none' end change_category, case when live then name end field,
+  case when assigned and known then held end old_value, case when assigned then value end "value", case when invalid then 'invalid_llm_output' else rationale end rationale,
+  case when not invalid and op4 = 'reprioritize' then array_to_string(case when known then list_concat([field], list_filter(fields, lambda x: x <> field)) else fields end, ',') end priority_update,
+  case when not invalid and (not changed or op4 = 'reprioritize') then 'anything' end gold_search_query from n3)"""
+
+
+@query(NORMAL_SQL + " select *, condition \"trigger\" from normal")
 def normalize_shifts(spark: SparkSession, d: str) -> DataFrame:
     """Orders as raw model output: odd spellings, unknown fields and missing values among them."""
-    first, made = order_shifts(spark, d)
-    state = first.groupBy("instance_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("constraints"), F.array_sort(F.collect_list("field")).alias("fields"))
-    raw = made.join(state, "instance_id").withColumns({"usable": F.col("turn_id") % 17 != 0, "intention_changed": F.when(F.col("turn_id") % 3 != 0, F.col("op") != "none"), "condition": F.upper(F.replace("condition", F.lit("_"), F.lit("-"))), "category": F.when(F.col("turn_id") % 2 == 0, F.col("op")), "field": F.upper("field"), "old_value": F.lit(None).cast("string"), "update": F.col("priority_update"), "priority": F.array().cast("array<string>"), "request": F.lit("anything"), "stored_query": F.lit(None).cast("string"), "style": F.lit("PARTIAL "), "directness": F.lit(None).cast("string"), "mention_old_value": F.lit(None).cast("boolean"), "gold_search_query": F.lit(None).cast("string")})
-    out = I.normalize_shifts(raw.drop("priority_update"))
+    out = I.normalize_shifts(raw_shifts(spark, d))
     evidence = S.shift_evidence(F.col("intention_changed"), F.col("condition"), F.col("change_category"), F.col("op"), F.col("field"), F.col("old_value"), F.col("value"), F.col("priority_update"), F.col("rationale"))
     return out.withColumn("trigger", evidence["trigger_evidence"]["trigger_type"]).withColumn("priority_update", F.array_join("priority_update", ",")).drop("utterance_plan")
 
@@ -752,9 +802,16 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     return bursts.groupBy("caller_id").agg(F.count("*").alias("sessions"), F.sum("calls").alias("calls"))
 
 
-@query()
+# Requests without an outcome come out once the watermark, ten minutes before the last request or outcome, has passed their bound.
+LATENCY_SQL = f"""with {LOG_SQL}, timed as (select caller_id || '/' || cast(floor(ts / 86400) as bigint) || '/' || request_count call_id, make_timestamp(cast(round(ts * 1000000) as bigint)) at_, event from lg where request_count is not null),
+ asked as (select call_id, at_ asked from timed where event = 'request'), done as (select call_id, at_ done, event outcome from timed where event in ('success', 'fallback')),
+ passed as (select least((select max(asked) from asked), (select max(done) from done)) - interval 10 minutes w)"""
+
+
+@query(LATENCY_SQL + " select a.call_id, asked, done, outcome from asked a left join done b on a.call_id = b.call_id and done >= asked and done <= asked + interval 12 hours, passed where done is not null or asked + interval 12 hours < w")
 def stream_call_latency(spark: SparkSession, d: str) -> DataFrame:
-    return drained(spark, timed_log(spark, d), lambda s: streams.stream_call_latency(s, within="12 hours"))
+    calls = drained(spark, timed_log(spark, d), lambda s: streams.stream_call_latency(s, within="12 hours"))
+    return calls.select("call_id", F.col("asked").cast("timestamp_ntz").alias("asked"), F.col("done").cast("timestamp_ntz").alias("done"), "outcome")
 
 
 @query(f"with {LOG_SQL} select distinct query, cast(k as bigint) k from lg where event = 'request'")

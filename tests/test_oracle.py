@@ -1,6 +1,6 @@
 import pytest
 
-from colloquy import queries
+from colloquy import queries, task_queries  # noqa: F401  the second registers its queries beside the first's
 
 from .oracle import SF_DIR, both
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import none_like, strip, truthy
+from .text import bound, none_like, strip, truthy
 
 # Fixed values of the domain.
 OPS = ("none", "add", "relax", "override", "reprioritize", "scope_correction")
@@ -51,7 +51,7 @@ def field_name(c: Column) -> Column:
 
 def match_field(raw: Column, known: Column) -> Column:
     """The first known field that equals raw but for case and spaces."""
-    return F.get(F.filter(known, lambda k: F.lower(k) == field_name(raw)), F.lit(0))
+    return bound(field_name(raw), lambda name: F.get(F.filter(known, lambda k: F.lower(k) == name), F.lit(0)))
 
 
 def infer_category(priority_update: Column, rationale: Column, field: Column, old_value: Column, value: Column) -> Column:

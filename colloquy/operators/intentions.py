@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import shifts as S
-from ..functions.text import clean_query, query_from_intention, strip, truthy
+from ..functions.text import bound, clean_query, query_from_intention, strip, truthy
 
 STRINGS = "array<string>"
 
@@ -66,12 +66,20 @@ def fold_priority(initial: DataFrame, shifts: DataFrame) -> DataFrame:
     def fold(state: Column, s: Column) -> Column:
         assigns = s["op"].isin(*S.ASSIGNING) & truthy(s["field"]).isNotNull()
         fields = F.when(assigns, F.array_distinct(F.concat(state["fields"], F.array(s["field"])))).otherwise(state["fields"])
-        known = F.array_distinct(F.concat(state["priority"], fields))
-        asked = F.when(s["op"] != "none", S.priority_update(s["update"], known))
-        changed = asked.isNotNull() & (asked != state["priority"])
-        after = complete(F.when(changed, asked).otherwise(state["priority"]), fields)
-        entry = F.struct(s["turn_id"].cast("int").alias("turn_id"), F.when(changed, "reprioritize").otherwise("none").alias("op"), state["priority"].alias("old"), after.alias("new"))
-        return F.struct(fields.alias("fields"), after.alias("priority"), F.concat(state["out"], F.array(entry)).alias("out"))
+        known = lambda f: F.array_distinct(F.concat(state["priority"], f))
+        asked = lambda f: F.when((s["op"] != "none") & (F.size(s["update"]) > 0), bound(known(f), lambda k: S.priority_update(s["update"], k)))
+
+        def moved(b: Column) -> Column:
+            changed = b["asked"].isNotNull() & (b["asked"] != state["priority"])
+            after = complete(F.when(changed, b["asked"]).otherwise(state["priority"]), b["fields"])
+            return bound(F.struct(changed.alias("changed"), after.alias("after")), lambda m: made(b, m))
+
+        def made(b: Column, m: Column) -> Column:
+            op = F.when(m["changed"], "reprioritize").otherwise("none")
+            entry = F.struct(s["turn_id"].cast("int").alias("turn_id"), op.alias("op"), state["priority"].alias("old"), m["after"].alias("new"))
+            return F.struct(b["fields"].alias("fields"), m["after"].alias("priority"), F.concat(state["out"], F.array(entry)).alias("out"))
+
+        return bound(fields, lambda f: bound(F.struct(f.alias("fields"), asked(f).alias("asked")), moved))
 
     folded = rows.select("instance_id", F.aggregate("steps", start, fold)["out"].alias("out"))
     return folded.select("instance_id", F.explode("out").alias("o")).select("instance_id", "o.*")
@@ -80,7 +88,8 @@ def fold_priority(initial: DataFrame, shifts: DataFrame) -> DataFrame:
 def complete(priority: Column, fields: Column) -> Column:
     """The priority's known fields, each once, then the other fields in their own order."""
     none = F.array().cast(STRINGS)
-    known = F.transform(F.coalesce(priority, none), lambda p: S.match_field(p, F.array_distinct(F.concat(fields, F.coalesce(priority, none)))))
+    held = F.coalesce(priority, none)
+    known = bound(F.array_distinct(F.concat(fields, held)), lambda all_: F.transform(held, lambda p: S.match_field(p, all_)))
     return F.array_distinct(F.concat(F.filter(known, lambda k: k.isNotNull()), fields))
 
 

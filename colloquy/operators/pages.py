@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import instruction_from_text, is_asin, parse_price, strip, text_of, truthy
+from ..functions.text import bound, instruction_from_text, is_asin, parse_price, strip, text_of, truthy
 from .candidates import candidate_of_context, empty_candidates
 from .constraints import feedback_reason
 
@@ -37,11 +37,6 @@ def no_results(text: Column, visible: Column | None = None) -> Column:
 ITEM = "struct<asin:string,title:string,price:double,click_target:string>"
 
 
-def bound(value: Column, body) -> Column:
-    """body(value), where value is computed once however often body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def visible_items(text: Column, kind: Column, clickables: Column | None = None) -> Column:
     """(asin, title, price, click_target) of the triples between [SEP] marks of a results page: after a triple three parts on, else one.
 

@@ -52,6 +52,21 @@ SUBSTRING = rf"""with d as (select row_number() over () rid, doc_id, regexp_extr
  kept as (select rid, count(*) filter (g) n, string_agg(word, ' ' order by i) filter (not g) k from covered group by 1)
  select doc_id, len(w) n_words, coalesce(n, 0) n_removed, sha256(coalesce(k, '')) kept_sha256 from d left join kept using (rid)"""
 
+SUFFIX = """with d as (select row_number() over () rid, doc_id, hex(encode(coalesce(text, ''))) x from documents),
+ n as (select *, cast(length(x) // 2 as bigint) n_bytes from d),
+ starts as (select rid, unnest(range(0, n_bytes - 399)) i from n where n_bytes >= 400),
+ named as (select rid, i, md5_number(substr(x, 2 * i + 1, 800)) h from starts join n using (rid)),
+ twice as (select rid, i from named qualify count(*) over (partition by h) > 1),
+ marked as (select *, i > coalesce(lag(i) over (partition by rid order by i), -401) + 400 opens from twice),
+ runs as (select *, sum(opens::int) over (partition by rid order by i) run from marked),
+ spans as (select rid, run, min(i) a, max(i) + 400 b from runs group by all),
+ gaps as (select rid, a, b, coalesce(lag(b) over (partition by rid order by a), 0) before from spans),
+ ends as (select rid, max(b) b from spans group by 1),
+ kept as (select rid, before a, a b from gaps union all select rid, coalesce(b, 0), n_bytes from n left join ends using (rid)),
+ joined as (select rid, string_agg(substr(x, 2 * a + 1, 2 * (kept.b - a)), '' order by a) k from kept join n using (rid) group by 1),
+ counts as (select rid, cast(sum(b - a) as bigint) n_removed, count(*) n_spans from spans group by 1)
+ select doc_id, n_bytes, coalesce(n_removed, 0) n_removed, coalesce(n_spans, 0) n_spans, sha256(unhex(k)) kept_sha256 from n join joined using (rid) left join counts using (rid)"""
+
 JACCARD = rf"""with recursive d as (select row_number() over () rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{W}') w from documents),
  starts as (select rid, unnest(range(1, len(w) - 3)) i from d where len(w) >= 5),
  grams as (select distinct rid, md5(array_to_string(w[i:i + 4], ' ')) g from starts join d using (rid) union all select rid, md5('short ' || array_to_string(w, ' ')) from d where len(w) between 1 and 4),
@@ -65,4 +80,4 @@ WARC = """with p as (select page_id, strlen(coalesce(html, '')) payload_bytes, s
  v as (select *, list_transform(range(8), lambda g: cast('0x' || substr(h, cast(5 * g + 1 as bigint), 5) as int)) n, max(page_id) over (partition by h) w from p)
  select page_id, payload_bytes, array_to_string(list_transform(n, lambda x: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> s) & 31) + 1, 1)), '')), '') payload_digest, case when page_id = w then 'response' else 'revisit' end record_type, case when page_id <> w then w end refers_to from v"""
 
-ORACLE_SQL = {"op2_quality_rules": QUALITY, "op7_substring_dedup": SUBSTRING, "op8_jaccard_join": JACCARD, "op9_warc": WARC}
+ORACLE_SQL = {"op2_quality_rules": QUALITY, "op7_substring_dedup": SUBSTRING, "op8_jaccard_join": JACCARD, "op9_warc": WARC, "op10_suffix_array_dedup": SUFFIX}

@@ -68,9 +68,10 @@ def shingles(batches, size: int):
                 continue
             h, r, first, n, one = _grams(part, starts[i:j] - low, ends[i:j] - low, size)
             # fewer words than an n-gram has: all of them are one
-            few = np.flatnonzero((n > 0) & (n < size))
-            short = [mix(np.array([(int(n[k]) << 32) + sum(int(x) * (2 * s + 3) for s, x in enumerate(one[first[k] : first[k] + n[k]])) & 0xFFFFFFFFFFFFFFFF], np.uint64)) for k in few]
-            h, r = np.concatenate([h, *short]), np.concatenate([r, few]).astype(np.int64)
+            few, short = [np.flatnonzero(n == k) for k in range(1, size)], []
+            for k, at in enumerate(few, 1):
+                short.append(mix(lanes()[0].windows(one, k)[first[at]] ^ np.uint64(k)) if len(at) else h[:0])
+            h, r = np.concatenate([h, *short]), np.concatenate([r, *few]).astype(np.int64)
             order = np.lexsort((h, r))
             h, r = h[order], r[order]
             new = np.r_[True, (h[1:] != h[:-1]) | (r[1:] != r[:-1])][: len(h)]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .shared import STEP_BYTES, bound_batches, in_chunks, lanes, n_partitions, steps, stored, utf8
+from .shared import STEP_BYTES, bound_batches, in_chunks, n_partitions, steps, stored, utf8
 
 HOT = 3
 #: Payload bytes of whole groups that are compared together.
@@ -49,7 +49,7 @@ class Kind:
     gram: int
     spread: int
     bytes_per_unit: float
-    #: f(data, starts, ends) -> (values by lane number, first unit of each row, end unit of each row)
+    #: f(data, starts, ends) -> (f(lane number, units) -> hashes of windows, first unit of each row, end unit of each row, all units)
     units: object
     #: f(data, most) -> [(unit, from byte, to byte)], pieces of a long text of about `most` bytes
     pieces: object
@@ -96,12 +96,11 @@ class Slice:
 
     def __init__(self, kind: Kind, data, starts, ends):
         self.kind, self.data = kind, data
-        self.values, self.first, self.last = kind.units(data, starts, ends)
-        values = self.values(0)
-        n = self.n = len(values)
+        self.hashes, self.first, self.last, n = kind.units(data, starts, ends)
+        self.n = n
         place_bits = max(24, int(n).bit_length())
         self.grams = np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
-        g = lanes()[0].windows(values, kind.gram)
+        g = self.hashes(0, kind.gram)
         self.grams[: len(g)] = g
         self.place = np.uint64((1 << place_bits) - 1)
         self.ranked = (self.grams & ~self.place) | np.arange(n, dtype=np.uint64)
@@ -145,7 +144,7 @@ class Slice:
 
     def names(self) -> np.ndarray:
         """Two 64-bit names of the window at each place."""
-        return np.stack([lane.windows(self.values(k), self.kind.size) for k, lane in enumerate(lanes())], axis=1)
+        return np.stack([self.hashes(lane, self.kind.size) for lane in (0, 1)], axis=1)
 
 
 _CONTEXT = pa.schema([("hot", pa.bool_()), ("g", pa.int64()), ("key", pa.binary()), ("start", pa.int64()), ("n", pa.int32()), ("payload", pa.binary())])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import sys
 import tempfile
@@ -20,8 +21,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised step works on; memory per task is a multiple of about a hundred.
 STEP_BYTES = 1 << 19
-#: Bytes of a string that are hashed together; longer strings are hashed in parts.
-HASH_BYTES = 1 << 16
+#: Longer strings are hashed by BLAKE2.
+LONG_BYTES = 64
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 #: Rows of an Arrow batch. Spark's 10,000 would be tens of MB of long texts, in the JVM and in Python.
 BATCH_ROWS = 1024
 
@@ -136,72 +138,67 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
-    out = np.full(n, np.uint64(base), np.uint64)
-    if n:
-        out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
 class Lane:
-    """One 64-bit hash function of byte strings and of windows of values, fixed by its number."""
+    """One 64-bit hash function of byte strings and of windows of values, fixed by its number.
+
+    Neighbours are joined by a step that isn't linear, so no text adds up to the hash of another by its make-up
+    (as words of Thue and Morse do under any polynomial modulo 2 ** 64).
+    """
 
     def __init__(self, number: int):
         rng = np.random.default_rng(7919 + number)
-        self.table = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.base = int(rng.integers(1 << 40, 1 << 62)) * 2 + 1
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self._powers = powers(self.base, 1 << 12)
-
-    def power(self, n: int) -> np.ndarray:
-        if len(self._powers) < n:
-            self._powers = powers(self.base, 1 << (n - 1).bit_length())
-        return self._powers[:n]
+        self.number = number
+        self.left = np.uint64(int(rng.integers(1 << 60, 1 << 62)) * 4 + 1)
+        self.right = np.uint64(int(rng.integers(1 << 60, 1 << 62)) * 4 + 3)
+
+    def both(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The hash of a followed by b."""
+        x = a * self.left
+        x += b * self.right
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(29)
+        return x
 
     def segments(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Hash of each byte segment; segments are disjoint, in order and not empty."""
-        if not len(starts):
-            return np.zeros(0, np.uint64)
-        n = -(-lengths // HASH_BYTES)
-        if n.max() == 1:
-            sums = self._sums(data, starts, lengths)
-        else:  # parts of HASH_BYTES, each moved to its place in the segment
-            first = np.cumsum(n) - n
-            k = np.arange(int(n.sum())) - np.repeat(first, n)
-            begin = np.repeat(starts, n) + k * HASH_BYTES
-            parts = self._sums(data, begin, np.minimum(np.repeat(starts + lengths, n) - begin, HASH_BYTES))
-            moved = powers(pow(self.base, HASH_BYTES, 1 << 64), int(n.max()))
-            sums = np.add.reduceat(parts * moved[k], first)
-        return mix(sums ^ (lengths.astype(np.uint64) << np.uint64(40)))
-
-    def _sums(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        out, total = np.empty(len(starts), np.uint64), np.cumsum(lengths)
-        i = 0
-        while i < len(starts):
-            j = max(i + 1, int(np.searchsorted(total, total[i] - lengths[i] + STEP_BYTES, "right")))
-            size = lengths[i:j]
-            begin = np.cumsum(size) - size
-            local = np.arange(int(size.sum())) - np.repeat(begin, size)
-            values = self.table[data[local + np.repeat(starts[i:j], size)]] * self.power(int(size.max()))[local]
-            out[i:j] = np.add.reduceat(values, begin)
-            i = j
-        return out
-
-    def windows(self, values: np.ndarray, size: int) -> np.ndarray:
-        """Hash of values[i : i + size] for each i; values are 64-bit and well mixed."""
-        n = len(values) - size + 1
+        """Hash of each byte segment: eight bytes at a time, segments of over LONG_BYTES by BLAKE2."""
+        out = mix(lengths.astype(np.uint64) * self.right)
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+        at = np.arange(len(starts))
+        for k in range(0, LONG_BYTES, 8):
+            left = lengths[at] - k
+            out[at] = self.both(out[at], eight[starts[at] + k] & _FIRST_BYTES[np.minimum(left, 8)])
+            at = at[left > 8]
+            if not len(at):
+                break
+        for i in at.tolist():
+            raw = data[starts[i] : starts[i] + lengths[i]].tobytes()
+            out[i] = int.from_bytes(hashlib.blake2b(raw, digest_size=8, salt=bytes([self.number])).digest(), "little")
+        return mix(out)
+
+    def windows(self, values: np.ndarray, size: int, span: int = 1) -> np.ndarray:
+        """Hash of the `size` units from each place on.
+
+        values[i] tells what the `span` units from i on are, in 64 bits. Stretches are doubled while they fit; two
+        that overlap, one from the start and one up to the end, make the window.
+        """
+        n = len(values) - (size - span)
         if n <= 0:
             return np.zeros(0, np.uint64)
-        sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * self.power(len(values)), dtype=np.uint64, out=sums[1:])
-        return mix((sums[size:] - sums[:n]) * self.negative(n))
-
-    def negative(self, n: int) -> np.ndarray:
-        """base ** -i for each i."""
-        if len(getattr(self, "_negative", ())) < n:
-            self._negative = powers(self.inverse, 1 << max(12, (n - 1).bit_length()))
-        return self._negative[:n]
+        while 2 * span <= size:
+            values = self.both(values[:-span], values[span:])
+            span *= 2
+        return mix(self.both(values[:n], values[size - span :]) if span < size else values[:n])
+
+    def byte_windows(self, data: np.ndarray, size: int) -> np.ndarray:
+        """Hash of data[i : i + size] for each i."""
+        span = min(8, 1 << (size.bit_length() - 1))
+        if len(data) < size:
+            return np.zeros(0, np.uint64)
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(data) - span + 1, "<u8", padded, strides=(1,))
+        return self.windows(eight & _FIRST_BYTES[span], size, span)
 
 
 def lanes() -> tuple[Lane, Lane]:

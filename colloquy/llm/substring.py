@@ -46,6 +46,11 @@ def words_of(data, starts, ends):
     return values, first, last
 
 
+def _units(data, starts, ends):
+    values, first, last = words_of(data, starts, ends)
+    return (lambda lane, size: lanes()[lane].windows(values(lane), size)), first, last, int(last[-1]) if len(last) else 0
+
+
 def _pieces(size: int):
     def cut(data, most):
         begin, end = word_spans(data)
@@ -68,7 +73,7 @@ def _repeated(payloads, counts):
 def kind_of(size: int = WINDOW) -> repeats.Kind:
     """Windows of `size` words, 8 at least."""
     gram = max(2, size * 2 // 7)
-    return repeats.Kind(size, gram, max(2, min(12, size - gram)), 6.0, words_of, _pieces(size), repeats._named, _repeated)
+    return repeats.Kind(size, gram, max(2, min(12, size - gram)), 6.0, _units, _pieces(size), repeats._named, _repeated)
 
 
 def remove_repeated_words(docs: DataFrame, size: int = WINDOW, text: bool = False, most: int | None = None) -> DataFrame:

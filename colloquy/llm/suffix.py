@@ -47,7 +47,7 @@ def refine(data: np.ndarray, left: np.ndarray, window: np.ndarray, size: int) ->
     """Which of the windows that start at the places `window` are equal to another; left[i]: bytes from i to its context's end."""
     half = -(-size // 2)
     depth = max(1, size >> (DOUBLINGS + 1))
-    digests = lanes()[0].windows(lanes()[0].table[data], depth)
+    digests = lanes()[0].byte_windows(data, depth)
     bucket = np.zeros(len(data), np.uint64)
     shared = np.zeros(len(data), bool)
     at = np.flatnonzero(left[: len(digests)] >= depth)
@@ -67,7 +67,7 @@ def refine(data: np.ndarray, left: np.ndarray, window: np.ndarray, size: int) ->
 
 
 def _units(data, starts, ends):
-    return (lambda lane: lanes()[lane].table[data]), starts, ends
+    return (lambda lane, size: lanes()[lane].byte_windows(data, size)), starts, ends, len(data)
 
 
 def kind_of(size: int = WINDOW) -> repeats.Kind:

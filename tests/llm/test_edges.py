@@ -1,6 +1,7 @@
 """Clashing names, extreme ids, very long texts, hot groups and the forms that only large tables take."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -153,3 +154,47 @@ def test_small_languages_are_compared_with_all(spark):
     rows = [(i, " ".join(rng.choices(voc, k=200)), "en") for i in range(60)] + [(100, " ".join(rng.choices(voc, k=200)), "xx"), (101, " ".join(f"q{rng.randint(0, 10**6)}" for _ in range(200)), "xx")]
     got = {r["doc_id"]: r["kept"] for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert got[0] and got[100] and not got[101]
+
+
+def twins(length):
+    """A word of Thue and Morse over two letters and its complement: any polynomial modulo 2 ** 64 gives them one hash once they are long."""
+    bits = [bin(i).count("1") % 2 for i in range(length)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+@pytest.mark.parametrize("length", [16, 64, 256, 1024, 4096])
+def test_words_that_polynomials_confuse_are_told_apart(spark, length):
+    x, y = twins(length)
+    p, q = twins(16)
+    common = [f"w{i}" for i in range(34)]
+    docs = spark.createDataFrame([(1, " ".join([x, *common])), (2, " ".join([y, *common])), (3, f"{x} {x} {x} q r s"), (4, f"{y} {y} {y} q r s"), (5, f"{x} p q {y} p q"), (6, f"{p} {q} {q} {p}"), (7, f"{q} {p} {p} {q}")], "doc_id long, text string")
+    removed = {r.doc_id: r.n_removed for r in substring.remove_repeated_words(docs, 35).collect()}
+    assert set(removed.values()) == {0}
+    groups = {r.doc_id: r.component_id for r in jaccard.jaccard_groups(docs).collect()}
+    # documents 1 and 2 share all shingles but the first: 30 of 32
+    assert groups == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6, 7: 7}
+    assert sorted(r.doc_id for r in jaccard.one_of_each(docs).collect()) == [1, 3, 4, 5, 6, 7]
+    rules = quality.quality_rules(docs.withColumn("lang", F.lit("en")))
+    repeats_of = {r.doc_id: r.n_repeat_words for r in rules.collect()}
+    assert {repeats_of[i] for i in (1, 2, 5, 6, 7)} == {0}
+    # windows of words and of bytes that are built the same way, also where every group goes by names
+    words = spark.createDataFrame([(1, " ".join(x[:64])), (2, " ".join(y[:64]))], "doc_id long, text string")
+    assert [r.n_removed for r in substring.remove_repeated_words(words, 64).collect()] == [0, 0]
+
+
+@pytest.mark.parametrize("hot", [3, 1])
+def test_byte_windows_that_polynomials_confuse_are_told_apart(spark, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    x, y = twins(512)
+    rows = [(i, t) for i, t in enumerate([x, y, "z" + x[:300], "z" + y[:300]])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    size = 260
+    counts = Counter(t[i : i + size] for _, t in rows for i in range(len(t) - size + 1))
+    want = {}
+    for key, t in rows:
+        gone = [False] * len(t)
+        for i in range(len(t) - size + 1):
+            if counts[t[i : i + size]] > 1:
+                gone[i : i + size] = [True] * size
+        want[key] = sum(gone)
+    assert {r.doc_id: r.n_removed for r in suffix.remove_repeated_bytes(docs, size).collect()} == want

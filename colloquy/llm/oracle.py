@@ -80,4 +80,54 @@ WARC = """with p as (select page_id, strlen(coalesce(html, '')) payload_bytes, s
  v as (select *, list_transform(range(8), lambda g: cast('0x' || substr(h, cast(5 * g + 1 as bigint), 5) as int)) n, max(page_id) over (partition by h) w from p)
  select page_id, payload_bytes, array_to_string(list_transform(n, lambda x: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> s) & 31) + 1, 1)), '')), '') payload_digest, case when page_id = w then 'response' else 'revisit' end record_type, case when page_id <> w then w end refers_to from v"""
 
-ORACLE_SQL = {"op2_quality_rules": QUALITY, "op7_substring_dedup": SUBSTRING, "op8_jaccard_join": JACCARD, "op9_warc": WARC, "op10_suffix_array_dedup": SUFFIX}
+_LATIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_CRC = "c"
+for _ in range(8):
+    _CRC = f"list_transform([{_CRC}], lambda v: case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end)[1]"
+
+IMPORTANCE = rf"""with d as (select row_number() over () rid, doc_id, regexp_extract_all({_LOWER}, '{_LATIN}') w from documents),
+ b as (select unnest(regexp_extract_all({_LOWER}, '{_LATIN}')) word from benchmark),
+ own as (select rid, word, count(*) n from (select rid, unnest(w) word from d) group by all),
+ vocabulary as (select distinct word from own union select distinct word from b),
+ bytes as (select word, list_transform(range(0, cast(strlen(word) as bigint)), lambda i: cast(cast('0x' || substr(hex(encode(word)), cast(2 * i + 1 as bigint), 2) as int) as bigint)) x from vocabulary),
+ named as (select word, xor(list_reduce(x, lambda c0, v: list_transform([xor(c0, v)], lambda c: {_CRC})[1], 4294967295::bigint), 4294967295) % 10000 bucket from bytes),
+ source as (select bucket, sum(n) s from own join named using (word) group by 1),
+ target as (select bucket, count(*) t from b join named using (word) group by 1),
+ totals as (select coalesce((select sum(s) from source), 0) ss, coalesce((select sum(t) from target), 0) tt),
+ gains as (select bucket, cast(floor(1000 * ln((coalesce(t, 0) + 1.0::double) * (ss + 10000.0::double) / ((s + 1.0::double) * (tt + 10000.0::double)))) as bigint) gain from source left join target using (bucket), totals),
+ weights as (select rid, sum(n * gain) weight from own join named using (word) join gains using (bucket) group by 1),
+ scored as (select d.rid, doc_id, len(w) n_features, cast(coalesce(weight, 0) as bigint) weight, cast(coalesce(weight, 0) + floor(-1000 * ln(-ln((cast('0x' || substr(sha256('2024:' || coalesce(cast(doc_id as varchar), '')), 1, 8) as bigint) + 0.5::double) / 4294967296.0::double))) as bigint) score from d left join weights using (rid)),
+ ordered as (select rid, row_number() over (order by score desc, doc_id nulls last) r from scored where n_features >= 20)
+ select doc_id, n_features, weight, score, case when r <= (select floor(10 * count(*) / 100) from ordered) then r end rank from scored left join ordered using (rid)"""
+
+
+def _compression() -> str:
+    """Codebooks after four rounds, one table after the other."""
+    steps = [
+        "kept as (select row_number() over () rid, vec_id, label, list_transform(embedding, lambda x: cast(floor(1024 * x::double) as bigint)) v from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)",
+        "parts as materialized (select rid, p, v[p * len(v) // 4 + 1:(p + 1) * len(v) // 4] v from kept, (select unnest(range(4)) p))",
+        "c0 as materialized (select p, row_number() over (partition by p order by vec_id) - 1 entry, parts.v from parts join (select rid, vec_id from kept order by vec_id limit 256) using (rid))",
+    ]
+    for i in range(5):
+        distance = "list_sum(list_transform(list_zip(parts.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+        steps.append(f"a{i} as materialized (select rid, p, arg_min(entry, d * 256 + entry) entry, cast(min(d) as bigint) d from (select rid, parts.p, entry, {distance} d from parts join c{i} c on parts.p = c.p) group by all)")
+        if i < 4:
+            steps.append(f"m{i} as (select p, entry, k, cast(floor(sum(x) / count(*)) as bigint) x from (select p, entry, unnest(v) x, generate_subscripts(v, 1) k from parts join a{i} using (rid, p)) group by all)")
+            steps.append(f"c{i + 1} as materialized (select p, entry, coalesce(n.v, c.v) v from c{i} c left join (select p, entry, list(x order by k) v from m{i} group by all) n using (p, entry))")
+    steps.append("coded as (select rid, string_agg(printf('%02x', cast(entry as int)), '' order by p) code, cast(sum(d) as bigint) error from a4 group by 1)")
+    steps.append("digest as (select sha256(coalesce(string_agg(array_to_string(v, ','), ',' order by p, entry), '')) codebooks_sha256 from c4)")
+    return f"with {', '.join(steps)} select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) label_error, codebooks_sha256 from kept join coded using (rid), digest"
+
+
+COMPRESSION = _compression()
+
+ORACLE_SQL = {
+    "op2_quality_rules": QUALITY,
+    "op7_substring_dedup": SUBSTRING,
+    "op8_jaccard_join": JACCARD,
+    "op9_warc": WARC,
+    "op10_suffix_array_dedup": SUFFIX,
+    "op11_importance_resampling": IMPORTANCE,
+    "op13_vector_compression": COMPRESSION,
+}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, mixing, quality, substring, suffix, tiff, urls, warc
+from . import bpe, importance, jaccard, langid, licenses, mixing, quality, substring, suffix, tiff, urls, vectors, warc
 from .oracle import ORACLE_SQL as ORACLE_SQL
 
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -64,4 +64,31 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeated_bytes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_url_filters, op4_media_tiff, op5_bpe_encode_decode, op6_mix_sources, op7_substring_dedup, op8_jaccard_join, op9_warc, op10_suffix_array_dedup)}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licences(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.compress_vectors(table(spark, sf_dir, "embeddings"))
+
+
+_OPERATORS = (
+    op1_language_id,
+    op2_quality_rules,
+    op3_url_filters,
+    op4_media_tiff,
+    op5_bpe_encode_decode,
+    op6_mix_sources,
+    op7_substring_dedup,
+    op8_jaccard_join,
+    op9_warc,
+    op10_suffix_array_dedup,
+    op11_importance_resampling,
+    op12_license_scans,
+    op13_vector_compression,
+)
+QUERIES = {f.__name__: f for f in _OPERATORS}

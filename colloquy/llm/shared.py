@@ -218,6 +218,25 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[0::2], edges[1::2]
 
 
+_LETTERS = np.zeros(256, bool)
+_LETTERS[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+
+
+def lower_words(data, starts, ends):
+    """The bytes with A-Z in lower case and a space after each row; words of digits, letters and characters beyond ASCII as spans of it; their rows."""
+    shift = np.arange(len(starts), dtype=np.int64)
+    spaced = np.full(len(data) + len(starts), 0x20, np.uint8)
+    keep = np.ones(len(spaced), bool)
+    keep[ends + shift] = False
+    spaced[keep] = data
+    spaced += ((spaced >= 65) & (spaced <= 90)).view(np.uint8) << 5
+    inside = np.zeros(len(spaced) + 1, bool)
+    inside[1:] = _LETTERS[spaced]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    begin, end = edges[0::2], edges[1::2]
+    return spaced, begin, end, np.searchsorted(starts + shift, begin, "right") - 1
+
+
 def n_partitions(spark: SparkSession, rows_or_bytes: int, each: int) -> int:
     """Shuffle partitions that hold about `each` apiece, never fewer than the session asks for."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(rows_or_bytes) // each))

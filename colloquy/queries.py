@@ -158,6 +158,7 @@ def event_steps(spark: SparkSession, d: str) -> DataFrame:
     return e.select(
         F.col("user_id").alias("instance_id"),
         "turn_id",
+        F.col("ts").cast("timestamp").alias("time"),
         nth.alias("step_index"),
         F.when(F.col("event_type") == "purchase", "buy").when(F.col("event_type") == "view", "search").otherwise(F.col("event_type")).alias("action_type"),
         F.create_map(F.lit("query"), F.concat(F.lit(" Q"), (F.col("k") % 3).cast("string"))).alias("action_payload"),
@@ -195,13 +196,13 @@ def judged_steps(spark: SparkSession, d: str) -> DataFrame:
     return steps.stagnant_steps(steps.repeat_streak(steps.made_progress(steps.state_changed(s))))
 
 
-def order_shifts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(initial wishes, shifts): a customer is a dialogue, each order a turn's shift."""
+def order_shifts(spark: SparkSession, d: str, timed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(initial wishes, shifts): a customer is a dialogue, each order a turn's shift; timed adds the column time."""
     o = table(spark, d, "orders")
     nth = (F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")) - 1).cast("int")
     op = F.when(F.col("o_orderkey") % 11 == 0, "none").when(F.col("o_orderkey") % 13 == 0, "reprioritize").when(F.col("o_orderstatus") == "F", "relax").when(F.col("o_orderstatus") == "O", "override").otherwise("add")
     field = F.lower(F.element_at(F.split("o_orderpriority", "-"), 2))
-    made = o.select(F.col("o_custkey").alias("instance_id"), nth.alias("turn_id"), op.alias("op"), F.when(op != "none", field).alias("field"), F.when(op.isin("add", "override"), F.floor("o_totalprice").cast("string")).alias("value"), F.concat(F.lit("r"), (F.col("o_orderkey") % 9).cast("string")).alias("rationale"), F.when(op == "reprioritize", F.array(F.upper(field), F.lit("nowhere"))).otherwise(F.array().cast("array<string>")).alias("priority_update"), F.when(F.col("o_orderkey") % 2 == 0, "user_preference").otherwise("real_world_feasibility").alias("condition"))
+    made = o.select(F.col("o_custkey").alias("instance_id"), nth.alias("turn_id"), op.alias("op"), F.when(op != "none", field).alias("field"), F.when(op.isin("add", "override"), F.floor("o_totalprice").cast("string")).alias("value"), F.concat(F.lit("r"), (F.col("o_orderkey") % 9).cast("string")).alias("rationale"), F.when(op == "reprioritize", F.array(F.upper(field), F.lit("nowhere"))).otherwise(F.array().cast("array<string>")).alias("priority_update"), F.when(F.col("o_orderkey") % 2 == 0, "user_preference").otherwise("real_world_feasibility").alias("condition"), *([F.col("o_orderdate").cast("timestamp").alias("time")] * timed))
     c = table(spark, d, "customer")
     first = c.select(F.col("c_custkey").alias("instance_id"), F.lit("low").alias("field"), F.lit("1").alias("value")).unionByName(c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("instance_id"), F.lit("high").alias("field"), F.lit(None).cast("string").alias("value")))
     return first, made
@@ -746,56 +747,104 @@ def extract_result(spark: SparkSession, d: str) -> DataFrame:
 # gives the collected output, so that it can be compared with the batch form.
 
 
-def drained(spark: SparkSession, source: DataFrame, job, mode: str = "append") -> DataFrame:
-    """What job makes of source as a stream of files; files and state are in the shared folder."""
+def drained(spark: SparkSession, source: DataFrame, job, mode: str = "append", watch=None) -> DataFrame:
+    """What job makes of source as a stream of files; files and state are in the shared folder.
+
+    A column `slice` deals the rows out: those of each number come in a run of their own, in order, and the query is
+    started again from its checkpoint. watch gets the query after each run.
+    """
     root = scratch_path(spark)
-    source.write.parquet(f"{root}/in")
-    stream = spark.readStream.schema(source.schema).parquet(f"{root}/in")
-    out = job(stream)
-    if mode == "append":
-        out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
-    else:
-        def keep(batch: DataFrame, _: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{root}/out")
 
-        out.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    def run(out: DataFrame) -> None:
+        writer = out.writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
+        if mode == "append":
+            started = writer.format("parquet").option("path", f"{root}/out").start()
+        else:
+            started = writer.outputMode(mode).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{root}/out")).start()
+        started.awaitTermination()
+        if watch:
+            watch(started)
+
+    if "slice" in source.columns:
+        source.write.partitionBy("slice").parquet(f"{root}/dealt")
+        dealt = spark.read.schema(source.schema).parquet(f"{root}/dealt")
+        parts = [dealt.where(F.col("slice") == n).drop("slice") for (n,) in sorted(dealt.select("slice").distinct().collect())]
+    else:
+        parts = [source]
+    store = streams.use_rocksdb(spark)
+    try:
+        for part in parts:
+            part.write.mode("append").parquet(f"{root}/in")
+            out = job(spark.readStream.schema(part.schema).parquet(f"{root}/in"))
+            run(out)
+    finally:
+        name = "spark.sql.streaming.stateStore.providerClass"
+        spark.conf.unset(name) if store is None else spark.conf.set(name, store)
     return spark.read.schema(out.schema).parquet(f"{root}/out")
 
 
+def out_of_order(rows: DataFrame, days: int, jitter: int, key: str) -> DataFrame:
+    """rows (time) with slice: slices of so many days, where up to `jitter` days later decide by the key; a last slice has one row without anything but a time far behind all, which moves the watermark on."""
+    late = F.pmod(F.xxhash64(key), F.lit(jitter * 86400))
+    dealt = rows.withColumn("slice", F.floor((F.unix_seconds("time") + late) / (days * 86400)).cast("int"))
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema if f.name != "time"]
+    beat = rows.agg((F.max("time") + F.expr("interval 4000 days")).alias("time")).select("time", *empty, F.lit(2**31 - 1).alias("slice"))
+    return dealt.unionByName(beat)
+
+
 def timed_log(spark: SparkSession, d: str) -> DataFrame:
     log = call_log(spark, d)
     return log.withColumns({"time": F.timestamp_micros(F.round(F.col("ts") * 1_000_000).cast("bigint")), "call_id": F.concat_ws("/", F.col("caller_id").cast("string"), F.floor(F.col("ts") / 86400).cast("string"), F.col("request_count").cast("string"))})
 
 
-STATES_SQL = f"""with {SHIFTS_SQL}, turns as (select distinct instance_id, turn_id from shifts),
- sets as (select * from shifts where op in ('add','relax','override','scope_correction')),
- held as (select t.instance_id, t.turn_id, s.field, min(s.turn_id) first_, max(s.turn_id) last_ from turns t join sets s on s.instance_id = t.instance_id and s.turn_id <= t.turn_id group by all),
- moved as (select h.instance_id, h.turn_id, h.field, max(m.turn_id) at_ from held h join shifts m on m.op = 'reprioritize' and m.instance_id = h.instance_id and m.field = h.field and m.turn_id between h.first_ and h.turn_id group by all),
- known as (select h.*, s.value, m.at_ from held h join sets s on s.instance_id = h.instance_id and s.field = h.field and s.turn_id = h.last_ left join moved m on m.instance_id = h.instance_id and m.turn_id = h.turn_id and m.field = h.field),
- states as (select instance_id, turn_id, string_agg(field || '=' || coalesce(value, 'null'), ';' order by field) constraints, string_agg(field, ',' order by at_ desc nulls last, first_) priority from known group by all)"""
+STATES_SQL = """, last_ as (select t.instance_id, t.turn_id, s.field, arg_max(struct_pack(v := s.value), s.turn_id).v v from (select distinct instance_id, turn_id from shifts) t join given s on s.instance_id = t.instance_id and s.turn_id <= t.turn_id group by all),
+ wishes as (select instance_id, turn_id, string_agg(field || '=' || coalesce(v, 'null'), ';' order by field) constraints from last_ group by all)
+ select instance_id, cast(turn_id as bigint) turn_id, coalesce(constraints, '') constraints, op, array_to_string(old, ',') \"old\", array_to_string(new_, ',') \"new\" from fold left join wishes using (instance_id, turn_id) where turn_id >= 0"""
 
 
-@query(STATES_SQL + " select instance_id, cast(t.turn_id as bigint) turn_id, coalesce(constraints, '') constraints, coalesce(priority, '') priority from turns t left join states using (instance_id, turn_id)")
+@query(PRIORITY_SQL + STATES_SQL)
 def stream_intentions(spark: SparkSession, d: str) -> DataFrame:
-    made = order_shifts(spark, d)[1].select("instance_id", F.col("turn_id").cast("long").alias("turn_id"), "op", "field", "value")
-    states = drained(spark, made, streams.stream_intentions)
+    first, made = order_shifts(spark, d, timed=True)
+    since = F.lit(made.agg(F.min("time")).first()[0])
+    start = first.groupBy("instance_id").agg(F.array_sort(F.collect_list(F.struct("field", "value"))).alias("own"))
+    start = start.select("instance_id", F.col("own.field").alias("fields"), F.col("own.value").alias("values"), F.array().cast("array<string>").alias("priority"), since.alias("since"))
+    rows = made.select("instance_id", "turn_id", "time", "op", "field", "value", "priority_update")
+    states = drained(spark, out_of_order(rows, 1200, 60, "turn_id"), lambda s: streams.stream_intentions(s, start, "61 days", 3650 * streams.DAY_MS))
     held = F.array_sort(F.map_entries(F.from_json("constraints", "map<string,string>")))
     shown = F.transform(held, lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null"))))
-    return states.select("instance_id", "turn_id", F.array_join(shown, ";").alias("constraints"), F.array_join("priority", ",").alias("priority"))
+    return states.select("instance_id", "turn_id", F.array_join(shown, ";").alias("constraints"), "op", F.array_join("old", ",").alias("old"), F.array_join("new", ",").alias("new"))
 
 
-@query(f"with {STEPS_SQL}, m as (select *, case when action_type = 'buy' then 'virtual_buy' when repeat_streak >= 2 or stagnant_steps >= 2 then 'stuck' when step_index >= 12 then 'step_budget' end r from s4) select instance_id, turn_id, min(step_index) step_index, arg_min(r, step_index) stop_reason from m where r is not null group by all")
+@query(f"with {STEPS_SQL} select instance_id, turn_id, max(step_index) step_index, coalesce(max(stop_reason), 'step_budget') stop_reason from stopped group by all")
 def stream_stop_monitor(spark: SparkSession, d: str) -> DataFrame:
-    rows = judged_steps(spark, d).withColumn("signature", F.to_json(steps.action_signature())).select("instance_id", "turn_id", F.col("step_index").cast("long").alias("step_index"), "action_type", "signature", F.col("made_progress").alias("progress"))
-    return drained(spark, rows, lambda s: streams.stream_stop_monitor(s, steps.MAX_STEPS, None))
+    judged = judged_steps(spark, d).withColumn("signature", F.to_json(steps.action_signature()))
+    rows = judged.select("instance_id", "turn_id", F.col("step_index").cast("long").alias("step_index"), "time", "action_type", "status", "env_done", "all_satisfied", "ready", "signature", F.col("made_progress").alias("progress"))
+    return drained(spark, out_of_order(rows, 15, 1, "step_index"), lambda s: streams.stream_stop_monitor(s, steps.MAX_STEPS, "2 days"))
+
+
+def _dealt_log(spark: SparkSession, d: str) -> DataFrame:
+    return out_of_order(timed_log(spark, d), 15, 1, "event_id")
 
 
 @query(f"with {LOG_SQL} select epoch_ms(cast(floor(ts / 60) * 60000 as bigint)) w, count(*) filter (event = 'request') requests, count(*) filter (event = 'fallback') fallbacks, cast(sum(tokens) as bigint) tokens from lg group by 1")
 def stream_token_rate(spark: SparkSession, d: str) -> DataFrame:
-    rates = drained(spark, timed_log(spark, d), streams.stream_token_rate, "complete")
+    rates = drained(spark, _dealt_log(spark, d), lambda s: streams.stream_token_rate(s, late="2 days", ids=("event_id",)))
     return rates.select(F.col("start").cast("timestamp_ntz").alias("w"), "requests", "fallbacks", "tokens")
 
 
+# The rows of the first days come a second time, after the watermark: they count as late and change no window.
+@query(f"""with {LOG_SQL}, m as (select cast(floor(ts / 60) as bigint) n, count(*) filter (event = 'request') requests, count(*) filter (event = 'fallback') fallbacks, sum(tokens) tokens from lg group by 1),
+ late as (select count(*) n from lg where ts < (select min(ts) from lg) + 5 * 86400),
+ v as (select m.n + k n, requests, fallbacks, tokens from m, (select unnest(range(5)) k))
+ select epoch_ms((v.n - 4) * 60000) w, cast(sum(requests) as bigint) requests, cast(sum(fallbacks) as bigint) fallbacks, cast(sum(tokens) as bigint) tokens, any_value(late.n) late_rows from v, late group by v.n""")
+def stream_token_rate_sliding(spark: SparkSession, d: str) -> DataFrame:
+    rows, late = _dealt_log(spark, d), []
+    first = timed_log(spark, d)
+    again = first.where(F.col("ts") < first.agg(F.min("ts")).first()[0] + 5 * 86400).withColumn("event_id", -F.col("event_id")).withColumn("slice", F.lit(2**31 - 2))
+    rates = drained(spark, rows.unionByName(again), lambda s: streams.stream_token_rate(s, over="5 minutes", late="2 days", ids=("event_id",)), watch=lambda q: late.append(streams.late_rows(q)))
+    return rates.select(F.col("start").cast("timestamp_ntz").alias("w"), "requests", "fallbacks", "tokens", F.lit(sum(late)).cast("bigint").alias("late_rows"))
+
+
 @query(f"with {LOG_SQL}, g as (select caller_id, ts, case when ts - lag(ts) over (partition by caller_id order by ts, event_id) < 21600 then 0 else 1 end new_ from lg), s as (select *, sum(new_) over (partition by caller_id order by ts rows unbounded preceding) n from g) select caller_id, count(distinct n) sessions, count(*) calls from s group by 1")
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     bursts = drained(spark, timed_log(spark, d), lambda s: streams.stream_sessions(s, gap="6 hours"), "complete")

@@ -1,78 +1,256 @@
-"""The folds and log rates on streams."""
+"""The folds and log rates on streams.
+
+The two folds need rows in order, which a stream doesn't give: they hold rows back until the watermark has
+passed them, by event-time timers, fold what is complete in its order, and give a key's state up once it has
+been idle for a horizon of event time. Their state is kept in RocksDB, which transformWithStateInPandas needs.
+"""
 
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions.shifts import ASSIGNING
 from ..operators.steps import STUCK_AFTER
 
-IDLE_MS = 30 * 60 * 1000
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+DAY_MS = 24 * 60 * 60 * 1000
+
+
+def use_rocksdb(spark: SparkSession) -> str | None:
+    """Set the session's state store for queries that start from now on to RocksDB; the setting before, or None."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKSDB)
+    return before
+
+
+def _matching(raw: str | None, known: list[str]) -> str | None:
+    """The first known field that equals raw but for case and spaces."""
+    name = (raw or "").strip().replace(" ", "_").lower()
+    return next((k for k in known if name and k.lower() == name), None)
+
+
+def _complete(priority: list[str], fields: list[str]) -> list[str]:
+    """The priority's known fields, each once, then the other fields."""
+    known = list(dict.fromkeys([*fields, *priority]))
+    held = [m for m in (_matching(p, known) for p in priority) if m is not None]
+    return list(dict.fromkeys([*held, *fields]))
+
+
+def folded(constraints: dict, priority: list[str], op: str, field: str | None, value: str | None, update: list[str]) -> tuple[dict, list[str], bool]:
+    """Constraints and priority after a shift, and whether the shift reordered; the row form of fold_intentions and fold_priority."""
+    if op in ASSIGNING and field:
+        constraints = constraints | {field: value}
+    fields = list(constraints)
+    known = list(dict.fromkeys([*priority, *fields]))
+    asked = None
+    if op != "none" and update:
+        named = [m for m in (_matching(r, known) for r in update) if m is not None]
+        asked = list(dict.fromkeys([*named, *known]))
+    moved = asked is not None and asked != priority
+    return constraints, _complete(asked if moved else priority, fields), moved
+
+
+class _InOrder(StatefulProcessor):
+    """Rows of a key held until the watermark has passed their time, then given to `fold` in order.
+
+    A key has one value of state, as calls to the store cost more than what they carry: what fold keeps, the time of
+    the last folded row, and the rows that wait. One timer is set for the first of these, one for the end of the state.
+    """
+
+    def __init__(self, key: list[str], columns: list[str], horizon_ms: int):
+        self.key, self.columns, self.horizon_ms = key, columns, horizon_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "kept string")
+
+    def first(self) -> dict:
+        """The state of a key that has none."""
+        return {}
+
+    def fold(self, key: tuple, state: dict, nth: int, row: dict) -> tuple[dict, tuple | None]:
+        """The state after a row, and what it gives."""
+        raise NotImplementedError
+
+    def left(self, key: tuple, state: dict) -> tuple | None:
+        """What a key gives when its state goes."""
+        return None
+
+    def _kept(self) -> dict:
+        held = self.held.get()
+        return json.loads(held[0]) if held is not None else {"state": self.first(), "last": None, "waiting": []}
+
+    def _keep(self, kept: dict) -> None:
+        self.held.update((json.dumps(kept, ensure_ascii=False),))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = []
+        for frame in rows:
+            frame = frame[frame["nth"].notna() & frame["at"].notna()]
+            new += [[int(r["at"]), int(r["nth"]), r["row"]] for r in frame[["at", "nth", "row"]].to_dict("records")]
+        if new:
+            kept = self._kept()
+            kept["waiting"] = sorted(kept["waiting"] + new)
+            self._keep(kept)
+            self.handle.registerTimer(kept["waiting"][0][0])
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, kept = timerValues.getCurrentWatermarkInMs(), self._kept()
+        waiting, out = kept["waiting"], []
+        n = bisect_right(waiting, now, key=lambda r: r[0])
+        for at, nth, row in waiting[:n]:
+            kept["state"], made = self.fold(key, kept["state"], nth, json.loads(row))
+            kept["last"] = at
+            if made is not None:
+                out.append(made)
+        kept["waiting"] = waiting[n:]
+        if kept["last"] is not None and not kept["waiting"] and kept["last"] + self.horizon_ms <= now:
+            made = self.left(key, kept["state"])
+            if made is not None:
+                out.append(made)
+            self.held.clear()
+        elif n:
+            self._keep(kept)
+            self.handle.registerTimer(kept["waiting"][0][0] if kept["waiting"] else kept["last"] + self.horizon_ms)
+        if out:
+            yield pd.DataFrame(out, columns=self.columns)
 
+    def close(self) -> None:
+        pass
 
-def stream_intentions(shifts: DataFrame) -> DataFrame:
-    """The state after each shift (instance_id, turn_id, op, field, value) of a dialogue: constraints as JSON, and priority."""
 
-    def fold(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        constraints, priority = (json.loads(x) for x in state.get) if state.exists else ({}, [])
-        out = []
-        rows = pd.concat(list(frames)).sort_values(["turn_id"], kind="stable")
-        for row in rows.itertuples(index=False):
-            if row.op in ASSIGNING and row.field:
-                constraints[row.field] = None if pd.isna(row.value) else row.value
-                priority = [*priority, row.field] if row.field not in priority else priority
-            elif row.op == "reprioritize" and row.field in priority:
-                priority = [row.field, *(p for p in priority if p != row.field)]
-            out.append((key[0], int(row.turn_id), json.dumps(constraints, ensure_ascii=False), list(priority)))
-        state.update((json.dumps(constraints), json.dumps(priority)))
-        yield pd.DataFrame(out, columns=["instance_id", "turn_id", "constraints", "priority"])
+def _in_order(rows: DataFrame, key: list[str], order: str, values: list[str], late: str) -> object:
+    """rows (time) by key, as _InOrder reads them: at (ms), nth and row (JSON of the values)."""
+    packed = F.to_json(F.struct(*values), {"ignoreNullFields": "false"})
+    made = rows.withWatermark("time", late).select(*key, "time", F.unix_millis("time").alias("at"), F.col(order).cast("long").alias("nth"), packed.alias("row"))
+    return made.groupBy(*key)
 
-    return shifts.groupBy("instance_id").applyInPandasWithState(fold, "instance_id long, turn_id long, constraints string, priority array<string>", "constraints string, priority string", "append", GroupStateTimeout.NoTimeout)
 
+class _Intentions(_InOrder):
+    def first(self) -> dict:
+        return {"constraints": {}, "priority": []}
 
-def stream_stop_monitor(steps: DataFrame, max_steps: int, idle_ms: int | None = IDLE_MS) -> DataFrame:
-    """Stop events of turns (instance_id, turn_id, step_index, action_type, signature, progress): stuck, virtual_buy or step_budget, once a turn.
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        for r in initialState.to_dict("records"):
+            self._keep({"state": json.loads(r["state"]), "last": int(r["last"]), "waiting": []})
+            self.handle.registerTimer(int(r["last"]) + self.horizon_ms)
 
-    A turn that is idle for idle_ms gives up its state. A query that runs until no data is left
-    must have no such timeout, since Spark would go on for ever to see turns time out.
+    def fold(self, key, state, nth, row):
+        old = state["priority"]
+        constraints, priority, moved = folded(state["constraints"], old, row["op"], row["field"], row["value"], row["priority_update"] or [])
+        made = (*key, nth, json.dumps(constraints, ensure_ascii=False), "reprioritize" if moved else "none", old, priority)
+        return {"constraints": constraints, "priority": priority}, made
+
+
+def stream_intentions(shifts: DataFrame, initial: DataFrame | None = None, late: str = "10 minutes", horizon_ms: int = DAY_MS) -> DataFrame:
+    """The state after each shift (instance_id, turn_id, time, op, field, value, priority_update) of a dialogue, as the batch folds give it.
+
+    instance_id, turn_id, constraints (JSON in the fields' order), op (reprioritize or none), old and new (the priority
+    before and after). A shift comes out once the watermark, `late` behind the newest time, has passed it; until then
+    earlier ones may still come in. Shifts are folded by time, then turn. initial is a batch table (instance_id,
+    fields, values and priority arrays, since: a timestamp), the state that dialogues begin with. A
+    dialogue without a shift for horizon_ms of event time gives up its state. Rows without a time or turn only
+    move the watermark.
+    """
+    kind = shifts.schema["instance_id"].dataType.simpleString()
+    names = ["instance_id", "turn_id", "constraints", "op", "old", "new"]
+    begin = None
+    if initial is not None:
+        pairs = F.map_from_arrays("fields", "values")
+        order = initial.select("instance_id", "since", pairs.alias("constraints"), _column_complete().alias("priority"))
+        state = F.to_json(F.struct("constraints", "priority"), {"ignoreNullFields": "false"})
+        begin = order.select("instance_id", state.alias("state"), F.unix_millis("since").alias("last")).groupBy("instance_id")
+    rows = _in_order(shifts, ["instance_id"], "turn_id", ["op", "field", "value", "priority_update"], late)
+    return rows.transformWithStateInPandas(_Intentions(["instance_id"], names, horizon_ms), f"instance_id {kind}, turn_id long, constraints string, op string, old array<string>, new array<string>", "Append", "EventTime", begin)
+
+
+def _column_complete():
+    from ..operators.intentions import complete
+
+    return complete(F.col("priority"), F.col("fields"))
+
+
+class _StopMonitor(_InOrder):
+    def __init__(self, key, columns, horizon_ms, max_steps: int):
+        super().__init__(key, columns, horizon_ms)
+        self.max_steps = max_steps
+
+    def first(self) -> dict:
+        return {"last": None, "streak": 0, "stagnant": 0, "step": None, "done": False}
+
+    def fold(self, key, state, nth, row):
+        if state["done"]:
+            return state, None
+        streak = state["streak"] + 1 if state["streak"] and row["signature"] == state["last"] else 1
+        stagnant = 0 if row["progress"] else state["stagnant"] + 1
+        rules = (
+            (row["action_type"] == "buy", "virtual_buy"),
+            (row["status"] is None, "no_feedback"),
+            (row["status"] == "error", "error"),
+            (row["env_done"], "env_done"),
+            (row["all_satisfied"], "rollout_options_satisfied"),
+            (row["ready"], "candidate_ready"),
+            (streak >= STUCK_AFTER or stagnant >= STUCK_AFTER, "stuck"),
+            (nth >= self.max_steps, "step_budget"),
+        )
+        reason = next((name for holds, name in rules if holds), None)
+        after = {"last": row["signature"], "streak": streak, "stagnant": stagnant, "step": nth, "done": reason is not None}
+        return after, None if reason is None else (*key, nth, reason)
+
+    def left(self, key, state):
+        return None if state["done"] or state["step"] is None else (*key, state["step"], "step_budget")
+
+
+def stream_stop_monitor(steps: DataFrame, max_steps: int, late: str = "10 minutes", idle_ms: int = DAY_MS) -> DataFrame:
+    """(instance_id, turn_id, step_index, stop_reason): where each turn stops, once a turn.
+
+    steps: instance_id, turn_id, step_index, time, action_type, status, env_done, all_satisfied, ready, signature,
+    progress. The first rule that holds decides, in the order of stop_reason. Steps are looked at in their order, by time
+    and index, once the watermark has passed them. A turn without a stop that is idle for idle_ms of event time ends as
+    turn_rollup ends it, by step_budget at its last step, and its state goes; the state of stopped turns goes then too.
     """
+    key = ["instance_id", "turn_id"]
+    kinds = {f.name: f.dataType.simpleString() for f in steps.schema}
+    names = [*key, "step_index", "stop_reason"]
+    rows = _in_order(steps, key, "step_index", ["action_type", "status", "env_done", "all_satisfied", "ready", "signature", "progress"], late)
+    return rows.transformWithStateInPandas(_StopMonitor(key, names, idle_ms, max_steps), f"instance_id {kinds['instance_id']}, turn_id {kinds['turn_id']}, step_index long, stop_reason string", "Append", "EventTime")
+
+
+def stream_token_rate(log: DataFrame, width: str = "1 minute", over: str | None = None, late: str = "10 minutes", ids: tuple[str, ...] = ()) -> DataFrame:
+    """Requests, fallbacks and tokens per window of event time (start, end); in append mode a window comes out once it is closed.
 
-    def watch(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last, streak, stagnant, done = state.get if state.exists else ("", 0, 0, False)
-        out = []
-        for row in pd.concat(list(frames)).sort_values("step_index", kind="stable").itertuples(index=False):
-            if done:
-                break
-            streak = streak + 1 if row.signature == last and streak else 1
-            stagnant, last = (0 if row.progress else stagnant + 1), row.signature
-            reason = "virtual_buy" if row.action_type == "buy" else "stuck" if streak >= STUCK_AFTER or stagnant >= STUCK_AFTER else "step_budget" if row.step_index >= max_steps else None
-            if reason:
-                done = True
-                out.append((key[0], key[1], int(row.step_index), reason))
-        state.update((last, streak, stagnant, done))
-        if idle_ms is not None:
-            state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=["instance_id", "turn_id", "step_index", "stop_reason"])
-
-    return steps.groupBy("instance_id", "turn_id").applyInPandasWithState(watch, "instance_id long, turn_id string, step_index long, stop_reason string", "last string, streak int, stagnant int, done boolean", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
-
-
-def stream_token_rate(log: DataFrame, width: str = "1 minute", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
-    """Requests, fallbacks and tokens per window of event time."""
-    window = F.window("time", width, slide) if slide else F.window("time", width)
-    counted = log.withWatermark("time", late).groupBy(window.alias("w")).agg(F.count_if(F.col("event") == "request").alias("requests"), F.count_if(F.col("event") == "fallback").alias("fallbacks"), F.sum("estimated_input_tokens").alias("tokens"))
+    With `over`, sums over windows of that length that slide by `width` are made of the tumbling ones, through
+    window_time. With ids, which name a log line, lines that come twice count once, and each line that comes after the
+    watermark is dropped for itself, so that late_rows tells how many there were.
+    """
+    log = log.withWatermark("time", late)
+    if ids:
+        log = log.dropDuplicatesWithinWatermark(list(ids))
+    counted = log.groupBy(F.window("time", width).alias("w")).agg(F.count_if(F.col("event") == "request").alias("requests"), F.count_if(F.col("event") == "fallback").alias("fallbacks"), F.sum("estimated_input_tokens").alias("tokens"))
+    if over:
+        sliding = F.window(F.window_time("w"), over, width).alias("v")
+        counted = counted.groupBy(sliding).agg(*(F.sum(c).alias(c) for c in ("requests", "fallbacks", "tokens"))).withColumnRenamed("v", "w")
     return counted.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "requests", "fallbacks", "tokens")
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came after the watermark and were dropped, in the batches whose progress Spark still holds.
+
+    An operator that merges rows before its state, such as an aggregation, counts what it merged; rows are exact where
+    dropDuplicatesWithinWatermark comes first.
+    """
+    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+
+
 def stream_call_latency(log: DataFrame, within: str = "2 minutes", late: str = "10 minutes") -> DataFrame:
     """Requests with their outcome within a bound; those without one come out once the watermark has passed."""
     asked = log.where("event = 'request'").select(F.col("call_id").alias("call_id"), F.col("time").alias("asked")).withWatermark("asked", late)

@@ -14,8 +14,10 @@ from .constraints import active_constraints, evaluate
 K1, B = 0.9, 0.4
 #: Impacts are whole millionths, so sums don't depend on the order in which they are made.
 SCALE = 1_000_000
-#: Terms of a query, rarest first, that set the score which its k-th document reaches at least.
-LEADING = 3
+#: Documents whose ids follow each other and whose postings make one block of a term.
+BLOCK = 16
+#: Blocks of the greatest bounds that set the score which a query's k-th document reaches at least, and documents in them for each of k.
+LEADING, LEADING_DOCS = 4, 4
 
 
 def terms(c: Column) -> Column:
@@ -33,42 +35,73 @@ def corpus_stats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def postings(docs: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(term, doc_id, impact), the impact a whole number of millionths."""
-    counts, frequency, totals = corpus_stats(docs)
-    # One row of totals: two numbers, whatever the size of the corpus.
-    n, mean = totals.first() or (0, 0.0)
+    counts = stored(corpus_stats(docs)[0])
+    frequency = counts.groupBy("term").agg(F.count("*").alias("df"))
+    # Two numbers, whatever the size of the corpus.
+    n, total = docs.count(), counts.agg(F.sum("tf")).first()[0] or 0
     idf = F.log(F.lit(1.0) + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / (mean or 1.0)))
+    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / (total / n if total else 1.0)))
     return counts.join(frequency, "term").select("term", "doc_id", F.round(SCALE * idf * part).cast("long").alias("impact"))
 
 
+def posting_blocks(posted: DataFrame) -> DataFrame:
+    """(term, block, most, entries): a term's postings of BLOCK neighbouring doc_ids, numbers, with their greatest impact; stored, by term."""
+    numbered = posted.withColumn("block", F.floor(F.col("doc_id") / BLOCK).cast("long")).repartition("term")
+    entry = F.struct("doc_id", "impact")
+    return stored(numbered.groupBy("term", "block").agg(F.max("impact").alias("most"), F.collect_list(entry).alias("entries")).sortWithinPartitions("term", "block"))
+
+
+def _named(queries: DataFrame) -> DataFrame:
+    """(query_id, words): the distinct words of each query in order, as one text; queries without any go."""
+    words = F.array_join(F.array_sort(F.array_distinct(terms(F.col("query")))), " ")
+    return queries.select("query_id", words.alias("words")).where("words <> ''")
+
+
+def _best() -> Column:
+    return F.row_number().over(W.partitionBy("words").orderBy(F.desc("score"), "doc_id"))
+
+
+def _judged(wanted: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """(words, block, bound, read): whether a block's documents can reach the query's floor; stored."""
+    heads = wanted.join(blocks.select("term", "block", "most"), "term").groupBy("words", "block").agg(F.sum("most").alias("bound"))
+    heads = stored(heads)
+    place = F.row_number().over(W.partitionBy("words").orderBy(F.desc("bound"), "block"))
+    leading = heads.withColumn("place", place).where(F.col("place") <= max(LEADING, -(-LEADING_DOCS * k // BLOCK))).select("words", "block")
+    floor = _scored(leading, wanted, blocks).withColumn("rank", _best()).where(F.col("rank") == k).select("words", F.col("score").alias("floor"))
+    return stored(heads.join(floor, "words", "left").select("words", "block", "bound", (F.col("bound") >= F.coalesce("floor", F.lit(0))).alias("read")))
+
+
+def _scored(cells: DataFrame, wanted: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(words, doc_id, score) of the documents in cells (words, block)."""
+    found = cells.join(wanted, "words").join(blocks.select("term", "block", "entries"), ["term", "block"])
+    return found.select("words", F.explode("entries").alias("e")).groupBy("words", F.col("e.doc_id").alias("doc_id")).agg(F.sum("e.impact").alias("score"))
+
+
+def _wanted(named: DataFrame) -> DataFrame:
+    return stored(named.select("words").distinct().select("words", F.explode(F.split("words", " ")).alias("term")))
+
+
 def search_topk(queries: DataFrame, posted: DataFrame, k: int) -> DataFrame:
     """(query_id, doc_id, score, rank) of each query's best k documents; ties go to the smaller doc_id.
 
-    Queries with the same words are searched once. A query's rarest terms give a score that its
-    k-th document reaches at least; terms that can't reach it together, even at their greatest impacts, name no document
-    of their own, and are only looked up for documents that the other terms name. So long lists of common words are
-    not multiplied by queries, and ranks are those of all terms.
+    Queries with the same words are searched once. The greatest impacts of a block's postings bound the scores in
+    it. The blocks of the greatest bounds are scored first; their k-th score is a floor that a query's k-th
+    document reaches at least, so blocks that are bound to stay under it are skipped, and only the postings of
+    the others are read. Ranks are those of all terms over all documents.
     """
-    words = F.array_join(F.array_sort(F.array_distinct(terms(F.col("query")))), " ")
-    named = queries.select("query_id", words.alias("words")).where("words <> ''")
-    posted = stored(posted)
-    most = posted.groupBy("term").agg(F.max("impact").alias("most"))
-    wanted = named.select("words").distinct().select("words", F.explode(F.split("words", " ")).alias("term")).join(most, "term")
-    rarest = W.partitionBy("words").orderBy(F.desc("most"), "term")
-    commonest = W.partitionBy("words").orderBy("most", F.desc("term")).rowsBetween(W.unboundedPreceding, 0)
-    wanted = stored(wanted.withColumns({"place": F.row_number().over(rarest), "reach": F.sum("most").over(commonest)}))
-    best = F.row_number().over(W.partitionBy("words").orderBy(F.desc("score"), "doc_id"))
-    some = wanted.where(F.col("place") <= LEADING).join(posted, "term").groupBy("words", "doc_id").agg(F.sum("impact").alias("score"))
-    floor = some.withColumn("rank", best).where(F.col("rank") == k).select("words", F.col("score").alias("floor"))
-    wanted = wanted.join(floor, "words", "left").withColumn("names", F.col("reach") >= F.coalesce("floor", F.lit(0)))
-    wanted = stored(wanted.select("words", "term", "most", "names", F.coalesce("floor", F.lit(0)).alias("floor")))
-    left = wanted.groupBy("words").agg(F.coalesce(F.sum(F.when(~F.col("names"), F.col("most"))), F.lit(0)).alias("left"), F.first("floor").alias("floor"))
-    partial = wanted.where("names").join(posted, "term").groupBy("words", "doc_id").agg(F.sum("impact").alias("partial"))
-    hopeful = partial.join(left, "words").where(F.col("partial") + F.col("left") >= F.col("floor"))
-    probed = hopeful.where(F.col("left") > 0).select("words", "doc_id").join(wanted.where(~F.col("names")).select("words", "term"), "words").join(posted, ["term", "doc_id"])
-    parts = hopeful.select("words", "doc_id", F.col("partial").alias("impact")).unionByName(probed.select("words", "doc_id", "impact"))
-    scored = parts.groupBy("words", "doc_id").agg(F.sum("impact").alias("score")).withColumn("rank", best).where(F.col("rank") <= k)
-    return named.join(scored, "words").select("query_id", "doc_id", "score", "rank")
+    named, blocks = _named(queries), posting_blocks(posted)
+    wanted = _wanted(named)
+    read = _judged(wanted, blocks, k).where("read").select("words", "block")
+    ranked = _scored(read, wanted, blocks).withColumn("rank", _best()).where(F.col("rank") <= k)
+    return named.join(ranked, "words").select("query_id", "doc_id", "score", "rank")
+
+
+def search_blocks(queries: DataFrame, posted: DataFrame, k: int) -> DataFrame:
+    """(query_id, blocks, read): how many blocks have any of a query's words, and how many of these search_topk reads."""
+    named = _named(queries)
+    judged = _judged(_wanted(named), posting_blocks(posted), k)
+    counted = judged.groupBy("words").agg(F.count("*").alias("blocks"), F.count_if("read").alias("read"))
+    return named.join(counted, "words").select("query_id", "blocks", "read")
 
 
 def search_candidates(requests: DataFrame, posted: DataFrame, catalog: DataFrame, search_limit: int = 50, return_limit: int = 10) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import truthy
+from .json_records import json_lines, json_records
 
 CANDIDATE = "struct<asin:string,rank:int,title:string,price:double,pricing:array<double>,query:string,category:string,product_category:string,description:string,bullet_points:array<string>,attributes:array<string>,options:map<string,array<string>>,brand:string,color:string>"
 INTENTION = "struct<request:string,constraints:string,priority:array<string>,gold_search_query:string>"
@@ -44,56 +45,38 @@ def _split(ddl: str) -> list[str]:
     return [*out, ddl[start:]]
 
 
-def _documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """(file, pos, doc): one row for each JSON document, a whole file or a line that isn't blank."""
-    texts = spark.read.text(path, wholetext=not lines).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("doc"), F.monotonically_increasing_id().alias("line"))
-    kept = texts.where(F.trim("doc") != "")
-    return kept.withColumn("pos", F.row_number().over(W.partitionBy("file").orderBy("line"))).drop("line") if lines else kept.select("file", "doc", F.lit(1).alias("pos"))
-
-
-def _unnested(docs: DataFrame, lists: tuple[str, ...], bare_object: bool) -> DataFrame:
-    """(file, pos, item, record): the records of arrays, of the first of the named lists, or the object itself."""
-    text = F.ltrim("doc")
-    parts = [F.when(F.get_json_object("doc", f"$.{name}").startswith("["), F.from_json(F.get_json_object("doc", f"$.{name}"), "array<string>")) for name in lists]
-    bad = F.raise_error(F.concat(F.lit("not a JSON object or array of instances: "), F.col("file"))).cast("array<string>")
-    own = F.when(text.startswith("{"), F.array("doc")) if bare_object else F.lit(None).cast("array<string>")
-    items = F.coalesce(F.when(text.startswith("["), F.from_json("doc", "array<string>")), *parts, own, bad)
-    rows = docs.select("file", "pos", F.posexplode(items).alias("item", "json"))
-    parsed = rows.withColumn("record", F.from_json("json", _instance_struct()))
-    return parsed.withColumn("record", F.when(F.ltrim("json").startswith("{"), F.col("record")).otherwise(F.raise_error(F.concat(F.lit("an instance isn't a JSON object: "), F.col("file"))).cast(_instance_struct())))
+def _instances(records: DataFrame) -> DataFrame:
+    """(file, nr, record) of JSON texts, each an instance."""
+    bad = F.raise_error(F.concat(F.lit("an instance isn't a JSON object: "), F.col("file"))).cast(_instance_struct())
+    parsed = F.when(F.col("json").isNull() | F.startswith(F.col("json"), F.lit("{")), F.from_json("json", _instance_struct())).otherwise(bad)
+    return records.select("file", "nr", parsed.alias("record"))
 
 
 def read_trajectories(spark: SparkSession, path: str) -> DataFrame:
-    """Instances of a file: an object, an array, or the lists `instances` or, if there are none, `tasks`."""
-    rows = _unnested(_documents(spark, path), ("instances", "tasks"), True)
-    return _indexed(rows)
+    """Instances of a file: an object, an array, or the lists `instances` or, if there are none, `tasks`. Large files are read by many tasks."""
+    return _indexed(_instances(json_records(spark, path, ("instances", "tasks"), bare=True)))
 
 
 def _indexed(rows: DataFrame) -> DataFrame:
-    order = ["file", "pos", "item"]
-    # One index over all files: files are ranked by name, so only each file's count meets in one place.
+    """rows (file, nr, record) with one index over all files: files are ranked by name, so only each file's count meets in one place."""
     per_file = rows.groupBy("file").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = per_file.withColumn("before", before).drop("n")
-    index = F.row_number().over(W.partitionBy("file").orderBy(*order)) + F.col("before")
-    return rows.join(starts, "file").withColumn("task_index", index.cast("int")).select("task_index", "record.*")
+    return rows.join(starts, "file").withColumn("task_index", (F.col("nr") + F.col("before") + 1).cast("int")).select("task_index", "record.*")
 
 
 def read_tasks(spark: SparkSession, path: str) -> DataFrame:
     """Tasks of a folder of .json files in order of their names, of a .jsonl file, or of a file with an array or the list `tasks`; a bare object is no task file."""
     if path.endswith(".jsonl"):
-        return _indexed(_unnested(_documents(spark, path, lines=True), (), True))
+        return _indexed(_instances(json_lines(spark, path)))
     if path.endswith(".json"):
-        return _indexed(_unnested(_documents(spark, path), ("tasks",), False))
-    return _indexed(_unnested(_documents(spark, f"{path.rstrip('/')}/*.json"), ("tasks",), True))
+        return _indexed(_instances(json_records(spark, path, ("tasks",))))
+    return _indexed(_instances(json_records(spark, f"{path.rstrip('/')}/*.json", ("tasks",), bare=True)))
 
 
 def union_task_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """All tasks of several files, as they come, in the order of the files' names."""
-    docs = _documents(spark, sorted(paths)[0])
-    for path in sorted(paths)[1:]:
-        docs = docs.unionByName(_documents(spark, path))
-    return _indexed(_unnested(docs, ("tasks",), True))
+    return _indexed(_instances(json_records(spark, sorted(paths), ("tasks",), bare=True)))
 
 
 def normalize_tasks(df: DataFrame) -> DataFrame:
@@ -113,9 +96,7 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """Products as a typed table, from Parquet or JSON lines or arrays; `brand` and `Brand` are told apart."""
     if path.endswith(".parquet"):
         return spark.read.parquet(path)
-    docs = _documents(spark, path)
-    lines = F.when(F.ltrim("doc").startswith("["), F.from_json("doc", "array<string>")).otherwise(F.filter(F.split("doc", "\r?\n"), lambda x: F.trim(x) != ""))
-    rows = docs.select("file", F.posexplode(lines).alias("row", "json"))
+    rows = json_records(spark, path, bare=True)
     fields = [f.strip() for f in _split(CATALOG)]
     typed = F.from_json("json", "struct<" + ",".join(f.replace(" ", ":", 1) for f in fields) + ">")
     brand = F.coalesce(truthy(F.get_json_object("json", "$.brand")), truthy(F.get_json_object("json", "$.Brand")))

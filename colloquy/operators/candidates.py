@@ -181,3 +181,25 @@ def browse(catalog: DataFrame, mode: str, arg: str = "", limit: int = 20, order:
     """The first products in table order: all, of a category, or of a stored query."""
     rows = {"all": catalog, "category": catalog.where(F.col("category") == arg), "query": catalog.where(F.col("query") == arg)}[mode]
     return rows.orderBy(order).limit(limit)
+
+
+#: Rows that a request of browse_requests may ask for.
+MOST_BROWSED = 1000
+
+
+def browse_requests(catalog: DataFrame, requests: DataFrame, order: str = "row_id") -> DataFrame:
+    """requests (request_id, mode, arg, limit) with rank and the columns of catalog: each request's first products in table order.
+
+    mode is all, category or query; other modes, and nulls for category or query, find nothing. Products are placed
+    once for each mode and argument that is asked for, up to MOST_BROWSED; a greater limit is an error.
+    """
+    wanted = requests.withColumn("arg", F.when(F.col("mode") == "all", "").otherwise(F.col("arg")))
+    asked = wanted.select("mode", "arg").distinct()
+    entries = catalog.withColumn("entry", F.explode(F.array(*(F.struct(F.lit(m).alias("mode"), a.alias("arg")) for m, a in (("all", F.lit("")), ("category", F.col("category")), ("query", F.col("query")))))))
+    entries = entries.withColumns({"mode": F.col("entry.mode"), "arg": F.col("entry.arg")}).drop("entry").join(asked, ["mode", "arg"], "left_semi")
+    # Each task keeps no more rows of a mode and argument than can be asked for, before they meet.
+    placed = entries.withColumn("rank", F.row_number().over(W.partitionBy("mode", "arg").orderBy(order))).where(F.col("rank") <= MOST_BROWSED)
+    too_many = F.raise_error(F.format_string("a request asks for more than %d rows", F.lit(MOST_BROWSED))).cast("int")
+    limit = F.when(F.col("limit") > MOST_BROWSED, too_many).otherwise(F.col("limit"))
+    checked = wanted.withColumn("limit", limit)
+    return checked.join(placed, ["mode", "arg"]).where(F.col("rank") <= F.col("limit")).select("request_id", "rank", *catalog.columns)

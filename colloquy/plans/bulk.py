@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import shifts as S
@@ -19,7 +19,7 @@ from ..operators.intentions import fold_priority, normalize_shifts
 from ..operators.pages import fallback_actions, validate_actions
 from ..operators.rerank import rerank_or_fallback
 from ..operators.search import search_candidates
-from ..sources.scratch import stored
+from ..sources.scratch import scratch_path, stored
 
 STRINGS = "array<string>"
 ROW = "struct<asin:string,original_rank:string,new_rank:string,product_family_match:string,latest_delta_match:string,constraint_match_level:string,decision:string,matched_constraints:array<string>,missing_or_uncertain_constraints:array<string>,mismatch_reasons:array<string>>"
@@ -34,11 +34,23 @@ ACT_TASK = "Choose the next action on this page. Answer with a JSON object: acti
 INTENTION_TASK = "Turn the instruction into a JSON object with request, constraints (category, budget_max, color, brand, size) and priority."
 
 
-def bulk_generate(prompts: DataFrame, client_factory: Callable[[], object], batch_size: int = 64) -> DataFrame:
+ANSWER = "digest string, output string, error string"
+#: Prompts whose answers are written together; what is lost with an executor is asked again, and no more than these.
+PER_WRITE = 100_000
+
+
+def answered(spark: SparkSession, path: str) -> DataFrame:
+    """The table of answers at path (digest, output, error), empty if there was none."""
+    spark.createDataFrame([], ANSWER).coalesce(1).write.mode("append").parquet(path)
+    return spark.read.schema(ANSWER).parquet(path)
+
+
+def bulk_generate(prompts: DataFrame, client_factory: Callable[[], object], batch_size: int = 64, answers: str | None = None, per_write: int = PER_WRITE) -> DataFrame:
     """prompts (prompt, and others) with output and error; a failed call gives an error, not a failed job.
 
-    Answers are written before they are used, so that no model is asked again for a later step; they are joined by
-    the prompt's digest. A null prompt is not asked: its output is null, and its error says so.
+    Answers are kept by the prompt's digest in a table, at the path `answers` if one is given: what it holds is not
+    asked again, in this run or a later one; failed calls are. New prompts are asked in shares of per_write, each
+    appended to the table before the next. A null prompt is not asked: its output is null, and its error says so.
     """
 
     def run(frames):
@@ -56,10 +68,18 @@ def bulk_generate(prompts: DataFrame, client_factory: Callable[[], object], batc
                         errors.append(f"{type(e).__name__}: {e}")
                 yield pd.DataFrame({"digest": part["digest"], "output": pd.Series(outputs, index=part.index, dtype=object), "error": pd.Series(errors, index=part.index, dtype=object)})
 
+    spark, path = prompts.sparkSession, answers or scratch_path(prompts.sparkSession)
     digest = F.sha2(F.col("prompt"), 256)
     asked = prompts.where(F.col("prompt").isNotNull()).groupBy(digest.alias("digest")).agg(F.first("prompt").alias("prompt"))
-    answers = stored(asked.repartition("digest").mapInPandas(run, "digest string, output string, error string"))
-    got = prompts.withColumn("digest", digest).join(answers, "digest", "left").drop("digest")
+    known = answered(spark, path).where("error is null").select("digest")
+    new = stored(asked.join(known, "digest", "left_anti"))
+    shares = -(-new.count() // per_write)
+    for i in range(shares):
+        share = new.where(F.pmod(F.xxhash64("digest"), F.lit(shares)) == i)
+        share.repartition("digest").mapInPandas(run, ANSWER).write.mode("append").parquet(path)
+    best = F.max_by(F.struct("output", "error"), F.struct(F.col("error").isNull(), "output", "error"))
+    held = answered(spark, path).groupBy("digest").agg(best.alias("best")).select("digest", "best.output", "best.error")
+    got = prompts.withColumn("digest", digest).join(held, "digest", "left").drop("digest")
     return got.withColumn("error", F.when(F.col("prompt").isNull(), "no prompt").otherwise(F.col("error")))
 
 

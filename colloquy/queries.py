@@ -20,6 +20,7 @@ from .operators import logs, pages, rerank, search, steps
 from .plans import bulk
 from .sources import readers
 from .sources.scratch import scratch_path
+from .sources.scratch import stored as scratch_stored
 from .streaming import streams
 
 QUERIES: dict = {}
@@ -624,20 +625,37 @@ def pair_log_calls(spark: SparkSession, d: str) -> DataFrame:
     return logs.pair_log_calls(sessions(spark, d)).select("caller_id", "session", "request_count", F.round("asked_ts", 3).alias("asked"), "outcome", F.round("latency", 3).alias("latency"))
 
 
-@query(PAIRS_SQL + ", c as (select caller_id, session, count(*) filter (event = 'request') requests, count(*) filter (event = 'success') successes, count(*) filter (event = 'fallback') fallbacks, count(*) filter (event = 'cache_hit') cache_hits, sum(tokens) tokens from lg group by all), p as (select caller_id, session, avg(latency) m, quantile_cont(latency, 0.5) h from pairs where outcome = 'success' group by all) select c.caller_id, cast(c.session as bigint) session, requests, successes, fallbacks, cache_hits, cast(tokens as bigint) tokens, round(m, 3) mean_latency, round(h, 3) median_latency, round(cache_hits / nullif(cache_hits + requests, 0), 6) hit_ratio from c left join p on p.caller_id = c.caller_id and p.session = c.session")
+@query(PAIRS_SQL + ", c as (select caller_id, session, count(*) filter (event = 'request') requests, count(*) filter (event = 'success') successes, count(*) filter (event = 'fallback') fallbacks, count(*) filter (event = 'cache_hit') cache_hits, sum(tokens) tokens from lg group by all), p as (select caller_id, session, avg(latency) m, quantile_cont(latency, 0.5) h, quantile_cont(latency, 0.95) p95 from pairs where outcome = 'success' group by all) select c.caller_id, cast(c.session as bigint) session, requests, successes, fallbacks, cache_hits, cast(tokens as bigint) tokens, round(m, 3) mean_latency, round(h, 3) median_latency, cast(floor(p95) as bigint) p95_seconds, round(cache_hits / nullif(cache_hits + requests, 0), 6) hit_ratio from c left join p on p.caller_id = c.caller_id and p.session = c.session")
 def log_summary(spark: SparkSession, d: str) -> DataFrame:
-    return logs.log_summary(sessions(spark, d)).select("caller_id", "session", "requests", "successes", "fallbacks", "cache_hits", "tokens", F.round("mean_latency", 3).alias("mean_latency"), F.round("median_latency", 3).alias("median_latency"), "hit_ratio")
+    return logs.log_summary(sessions(spark, d)).select("caller_id", "session", "requests", "successes", "fallbacks", "cache_hits", "tokens", F.round("mean_latency", 3).alias("mean_latency"), F.round("median_latency", 3).alias("median_latency"), F.floor("p95_latency").alias("p95_seconds"), "hit_ratio")
 
 
-@query(f"with {LOG_SQL}, cache as (select distinct query, k from lg where event = 'success' and caller_id % 2 = 0), asked as (select query, k, count(*) n from lg where event = 'request' group by all) select query, k, n, cache.query is not null hit from asked left join cache using (query, k)")
+# Sketches are approximate, so a row tells whether the rank of each quantile is right to 2 in 100, and to one call.
+@query(PAIRS_SQL + " select caller_id, count(*) calls, true q50_near, true q95_near from pairs where outcome = 'success' group by 1 union all select null, count(*), true, true from pairs where outcome = 'success'")
+def latency_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    pairs = scratch_stored(logs.pair_log_calls(sessions(spark, d)))
+    hours = scratch_stored(logs.latency_sketches(pairs))
+    done = pairs.where("outcome = 'success'").select("caller_id", "latency")
+
+    def near(c: str, q: float):
+        slack = F.lit(0.02) + 1 / F.first("calls")
+        return (F.avg((F.col("latency") < F.col(c)).cast("int")) <= q + slack) & (F.avg((F.col("latency") <= F.col(c)).cast("int")) >= q - slack)
+
+    each = done.join(logs.latency_quantiles(hours, keys=("caller_id",)), "caller_id")
+    all_ = done.drop("caller_id").crossJoin(logs.latency_quantiles(hours)).withColumn("caller_id", F.lit(None).cast("bigint"))  # with one row
+    return each.unionByName(all_).groupBy("caller_id").agg(F.first("calls").alias("calls"), near("q50", 0.5).alias("q50_near"), near("q95", 0.95).alias("q95_near"))
+
+
+@query(f"""with {LOG_SQL}, merged as (select query, k, ts, event_id, event, case when event = 'success' and caller_id % 2 = 0 then event_id end answer from lg where event in ('request', 'success')),
+ held as (select *, last_value(answer ignore nulls) over (partition by query, k order by ts, event_id rows between unbounded preceding and 1 preceding) got from merged)
+ select event_id, query, cast(k as bigint) k, got is not null hit, query || '!' || got response from held where event = 'request'""")
 def cached_responses(spark: SparkSession, d: str) -> DataFrame:
     log = call_log(spark, d)
-    prompts = log.where("event = 'request'").select("query", "k", "event_id")
-    cache = log.where("event = 'success' and caller_id % 2 = 0").select("query", "k").withColumn("response", F.concat("query", F.lit("!")))
-    hits, misses = logs.cached_responses(prompts, cache)
-    found = hits.groupBy("query", "k").agg(F.count("*").alias("n")).withColumn("hit", F.lit(True))
-    rest = prompts.join(misses, ["query", "k"]).groupBy("query", "k").agg(F.count("*").alias("n")).withColumn("hit", F.lit(False))
-    return found.unionByName(rest)
+    prompts = log.where("event = 'request'").select("query", "k", "ts", "event_id")
+    cache = log.where("event = 'success' and caller_id % 2 = 0").select("query", "k", "ts", "event_id", F.concat("query", F.lit("!"), F.col("event_id").cast("string")).alias("response"))
+    hits, _ = logs.cached_responses(prompts, cache)
+    found = prompts.join(hits.select("event_id", "response"), "event_id", "left")
+    return found.select("event_id", "query", F.col("k").cast("bigint").alias("k"), F.col("response").isNotNull().alias("hit"), "response")
 
 
 @query("""select page_id, case when contains(lower(html), 'buy now') or contains(lower(html), 'product details') or contains(lower(html), 'item page') then 'item' when contains(lower(html), 'results') or contains(lower(html), 'page 1') or contains(lower(html), 'back to search') then 'results' when contains(lower(html), 'instruction:') and contains(lower(html), 'search') then 'search' else 'unknown' end page_type, contains(lower(html), 'no results') or contains(lower(html), 'did not match any products') no_results, try_cast(nullif(regexp_extract(html, '\\$([0-9]+(?:\\.[0-9]+)?)', 1), '') as double) shown_price from pages""")

@@ -132,12 +132,13 @@ def write_instances(spark: SparkSession, d: str) -> DataFrame:
     return back.select("instance_id", F.size("turns").cast("bigint").alias("turns"), said.alias("said"), shows.alias("shows_request"), held.alias("with_constraints"))
 
 
-@query(r"select cast(n_nationkey as int) task_index, n_name || '/' || n_regionkey instance_id, printf('%02d_%s', n_nationkey, regexp_replace(n_name || '/' || n_regionkey, '[^\p{L}\p{N}_.-]', '_', 'g')) file_key from nation")
+@query(r"select cast(c_custkey as int) task_index, c_name || '/' || c_nationkey instance_id, printf('%02d_%s', c_custkey, regexp_replace(c_name || '/' || c_nationkey, '[^\p{L}\p{N}_.-]', '_', 'g')) file_key, 1 places from customer")
 def write_split(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("task_index"), F.concat("n_name", F.lit("/"), F.col("n_regionkey").cast("string")).alias("instance_id"))
+    n = table(spark, d, "customer").select(F.col("c_custkey").cast("int").alias("task_index"), F.concat("c_name", F.lit("/"), F.col("c_nationkey").cast("string")).alias("instance_id"))
     path = f"{scratch_path(spark)}/split"
-    readers.write_split(n, path)
-    return spark.read.schema("task_index int, instance_id string, file_key string").json(path)
+    readers.write_split(n, path, 500)
+    places = spark.read.parquet(f"{path}/index").groupBy("file_key").agg(F.count("*").cast("int").alias("places"))
+    return readers.read_split(spark, path, "task_index int, instance_id string").join(places, "file_key").select("task_index", "instance_id", "file_key", "places")
 
 
 @query("select cast(p_partkey as varchar) asin, p_name title, case p_partkey % 3 when 1 then 'Upper' else 'lower' end brand, case when p_partkey % 2 = 0 then p_retailprice end price, '$' || p_size shown, cast(p_size as varchar) size, p_type bullet from part")
@@ -294,6 +295,21 @@ def request_columns(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+# A customer asks for one page of the catalogue, by one of the three modes.
+@query(f"""with {CATALOG_SQL}, asked as (select c_custkey request_id, case c_custkey % 3 when 0 then 'all' when 1 then 'category' else 'query' end mode, 1 + c_custkey % 20 lim, 1 + c_custkey % (select count(*) from catalog) own from customer),
+ req as (select request_id, mode, lim, case mode when 'all' then '' when 'category' then c.category else lower(c.title) end arg from asked join catalog c on c.row_id = own),
+ entries as (select 'all' mode, '' arg, row_id, asin from catalog union all select 'category', category, row_id, asin from catalog union all select 'query', lower(title), row_id, asin from catalog),
+ placed as (select *, row_number() over (partition by mode, arg order by row_id) n from entries)
+ select request_id, cast(n as int) "rank", asin from req join placed using (mode, arg) where n <= lim""")
+def browse_requests(spark: SparkSession, d: str) -> DataFrame:
+    cat = catalog(spark, d)
+    k, parts = F.col("c_custkey"), cat.agg(F.count("*").alias("parts"))
+    asked = table(spark, d, "customer").crossJoin(parts).select(k.alias("request_id"), F.when(k % 3 == 0, "all").when(k % 3 == 1, "category").otherwise("query").alias("mode"), (1 + k % 20).cast("int").alias("limit"), (1 + k % F.col("parts")).alias("own"))
+    own = cat.select(F.col("row_id").alias("own"), "category", "query")
+    requests = asked.join(own, "own").select("request_id", "mode", "limit", F.when(F.col("mode") == "category", F.col("category")).otherwise(F.col("query")).alias("arg"))
+    return C.browse_requests(cat, requests).select("request_id", "rank", "asin")
+
+
 # Bulk model jobs --------------------------------------------------------------------------
 
 

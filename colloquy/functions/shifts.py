@@ -100,6 +100,53 @@ def is_relaxation(field: Column, old_value: Column, new_value: Column) -> Column
     return F.when(new_value.isNull(), old_value.isNotNull()).when(both & field.endswith("_min"), new <= old).when(both, new >= old).otherwise(~new_value.eqNullSafe(old_value))
 
 
+def variant_kind(v: Column) -> Column:
+    """boolean, int, float, text or other, by the type of a VARIANT; null is none. 30.0 is a float, "30.0" a text."""
+    t = F.schema_of_variant(v)
+    number = F.when(t == "BIGINT", "int").when(t.startswith("DECIMAL") | t.isin("DOUBLE", "FLOAT"), "float")
+    return F.coalesce(F.when(t.isNull() | (t == "VOID"), "none").when(t == "BOOLEAN", "boolean").when(t == "STRING", "text"), number, F.lit("other"))
+
+
+def coerce_variant(field: Column, value: Column, old_value: Column) -> Column:
+    """A VARIANT value in the type of the old one: truth, whole number, number; where it can't be, or the old one is a text, as it is.
+
+    Bounds (_max, _min) become numbers whatever the old value is. Blank texts, none and null are null; other texts lose
+    white space at their ends where no type asks for more.
+    """
+    kind, old = variant_kind(value), variant_kind(old_value)
+    said = F.lower(F.try_variant_get(value, "$", "string"))
+    number = F.try_variant_get(value, "$", "double")
+    nothing = (kind == "none") | ((kind == "text") & none_like(F.try_variant_get(value, "$", "string")).isNull())
+    truth = F.when((kind == "text") & said.isin("true", "yes", "1"), True).when((kind == "text") & said.isin("false", "no", "0"), False).when(kind == "text", True).otherwise(F.coalesce(number != 0, F.lit(True)))
+    whole = F.when(number == F.floor(number), number.cast("bigint").cast("variant")).otherwise(number.cast("variant"))
+    bound_ = (old == "float") | ((old != "int") & (field.endswith("_max") | field.endswith("_min")))
+    plain = F.when(kind == "text", strip(F.try_variant_get(value, "$", "string")).cast("variant")).otherwise(value)
+    return (
+        F.when(nothing, F.lit(None).cast("variant"))
+        .when(old == "boolean", truth.cast("variant"))
+        .when((old == "int") & number.isNotNull(), whole)
+        .when(bound_ & number.isNotNull(), number.cast("variant"))
+        .when((old == "int") | bound_, value)
+        .otherwise(plain)
+    )
+
+
+def relax_variant(field: Column, old_value: Column) -> Column:
+    """A bound that is a number loosened by a quarter or a fifth, to cents, half up; a text is no number, and other wishes are given up."""
+    number = F.when(variant_kind(old_value).isin("int", "float", "boolean"), F.try_variant_get(old_value, "$", "double"))
+    loose = F.when(field.endswith("_max"), F.round(number * 1.25, 2)).when(field.endswith("_min"), F.round(number * 0.8, 2))
+    return F.when(loose.isNotNull(), loose.cast("variant"))
+
+
+def is_variant_relaxation(field: Column, old_value: Column, new_value: Column) -> Column:
+    """Whether the new value asks for less: nothing, a looser bound, or, where one is no number, anything else."""
+    old_kind, new_kind = variant_kind(old_value), variant_kind(new_value)
+    numbers = old_kind.isin("int", "float", "boolean") & new_kind.isin("int", "float", "boolean")
+    old, new = F.try_variant_get(old_value, "$", "double"), F.try_variant_get(new_value, "$", "double")
+    other = ~((old_kind == new_kind) & F.to_json(new_value).eqNullSafe(F.to_json(old_value)))
+    return F.when(new_kind == "none", old_kind != "none").when(numbers & field.endswith("_min"), new <= old).when(numbers, new >= old).otherwise(other)
+
+
 def move_to_front(field: Column, priority: Column) -> Column:
     return F.concat(F.array(field), F.filter(priority, lambda p: p != field))
 

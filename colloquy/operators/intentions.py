@@ -131,6 +131,69 @@ def validate_deltas(initial: DataFrame, deltas: DataFrame, recorded: DataFrame)
     return both.withColumn("agrees", F.col("made").eqNullSafe(F.col("recorded")))
 
 
+ENTRIES = "array<struct<key:string,value:string>>"
+
+
+def audit_trajectories(instances: DataFrame) -> DataFrame:
+    """(instance_id, turn_id, constraints_agree, order_agree, priority_agree, olds_agree) for each turn of recorded dialogues.
+
+    instances: instance_id, initial_intention (may be null) and turns with turn_id, gold_delta and gold_current_intention,
+    as read_trajectories gives them. The deltas are replayed turn by turn from the initial intention, or where there
+    is none from the first turn's own. Each turn's recorded intention is compared with the replayed one: its wishes
+    and their values, the order of the wishes, the priority; olds_agree tells whether the delta's old values are
+    those of the turn before. A fault of a record doesn't reach later turns; a turn without an intention has nulls.
+    """
+    none, empty = F.array().cast(STRINGS), F.array().cast(ENTRIES)
+    wishes = lambda c: F.coalesce(F.map_entries(F.from_json(c["constraints"], "map<string,string>")).cast(ENTRIES), empty)
+    ranks = lambda c: F.coalesce(c["priority"], none)
+    delta = lambda t: F.coalesce(F.transform(F.map_entries(t["gold_delta"]), lambda e: F.struct(e["key"].alias("key"), e["value"]["old"].alias("old"), e["value"]["new"].alias("new"))), F.array().cast("array<struct<key:string,old:string,new:string>>"))
+    now = lambda t: t["gold_current_intention"]
+    step = lambda t: F.struct(t["turn_id"].alias("turn_id"), delta(t).alias("delta"), now(t).isNotNull().alias("known"), wishes(now(t)).alias("constraints"), ranks(now(t)).alias("priority"))
+    rows = instances.select("instance_id", "initial_intention", F.array_sort(F.transform("turns", step)).alias("steps")).where(F.size("steps") > 0)
+    given, first = F.col("initial_intention"), F.get(F.col("steps"), F.lit(0))
+    rows = rows.withColumn("begin", F.when(given.isNotNull(), F.struct(wishes(given).alias("constraints"), ranks(given).alias("priority"))).otherwise(F.struct(first["constraints"].alias("constraints"), first["priority"].alias("priority"))))
+    names = lambda c: F.transform(c, lambda e: e["key"])
+    out_type = "array<struct<turn_id:int,constraints_agree:boolean,order_agree:boolean,priority_agree:boolean,olds_agree:boolean>>"
+    state_type = f"struct<constraints:{ENTRIES},priority:{STRINGS},out:{out_type}>"
+    start = F.struct(F.col("begin.constraints").alias("constraints"), complete(F.col("begin.priority"), names(F.col("begin.constraints"))).alias("priority"), F.array().cast(out_type).alias("out")).cast(state_type)
+
+    def assigned(held: Column, e: Column) -> Column:
+        entry = F.struct(e["key"].alias("key"), e["new"].alias("value"))
+        known = F.array_contains(names(held), e["key"])
+        changed = F.transform(held, lambda x: F.when(x["key"] == e["key"], entry).otherwise(x))
+        return F.when(known, changed).otherwise(F.concat(held, F.array(entry))).cast(ENTRIES)
+
+    def replay(state: Column, t: Column) -> Column:
+        # Without an initial intention the first turn's own is what the replay begins with.
+        own = (F.size(state["out"]) == 0) & given.isNull()
+        made = F.when(own, F.filter(t["delta"], lambda e: F.lit(False))).otherwise(t["delta"])
+        fields = F.filter(made, lambda e: e["key"] != "priority")
+        order = F.get(F.filter(made, lambda e: e["key"] == "priority"), F.lit(0))
+
+        def judged(b: Column) -> Column:
+            same = lambda x, y: F.array_sort(x) == F.array_sort(y)
+            value = lambda k: F.get(F.filter(state["constraints"], lambda x: x["key"] == k), F.lit(0))["value"]
+            olds = F.forall(b["fields"], lambda e: e["old"].eqNullSafe(value(e["key"]))) & (b["order"].isNull() | F.from_json(b["order"]["old"], STRINGS).eqNullSafe(state["priority"]))
+            known = lambda c: F.when(t["known"], c)
+            entry = F.struct(
+                t["turn_id"].cast("int").alias("turn_id"),
+                known(same(b["after"], t["constraints"])).alias("constraints_agree"),
+                known(names(b["after"]) == names(t["constraints"])).alias("order_agree"),
+                known(b["priority"] == t["priority"]).alias("priority_agree"),
+                olds.alias("olds_agree"),
+            )
+            return F.struct(b["after"].alias("constraints"), b["priority"].alias("priority"), F.concat(state["out"], F.array(entry)).alias("out")).cast(state_type)
+
+        def ranked(b: Column) -> Column:
+            new = F.coalesce(F.from_json(b["order"]["new"], STRINGS), state["priority"])
+            return bound(F.struct(b["fields"].alias("fields"), b["order"].alias("order"), b["after"].alias("after"), complete(new, names(b["after"])).alias("priority")), judged)
+
+        return bound(F.struct(fields.alias("fields"), order.alias("order"), F.aggregate(fields, state["constraints"], assigned).alias("after")), ranked)
+
+    folded = rows.select("instance_id", F.aggregate("steps", start, replay)["out"].alias("out"))
+    return folded.select("instance_id", F.explode("out").alias("o")).select("instance_id", "o.*")
+
+
 def instance_rollup(turns: DataFrame) -> DataFrame:
     """Per dialogue: turns, first and last intention, and the utterances in order."""
     said = F.transform(F.array_sort(F.collect_list(F.struct("turn_id", "utterance"))), lambda t: t["utterance"])

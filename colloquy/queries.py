@@ -584,6 +584,53 @@ def validate_deltas(spark: SparkSession, d: str) -> DataFrame:
     return I.validate_deltas(first, made, held).groupBy("instance_id").agg(F.count("*").alias("fields"), F.count_if("agrees").alias("agreeing"))
 
 
+# Old values of all five kinds, bounds and others, beside what a model may say.
+@query("""with c as (select c_custkey k, case when c_custkey % 7 = 0 then 'budget_max' when c_custkey % 7 = 1 then 'price_min' else 'size' end field, ['boolean', 'int', 'float', 'text', 'none'][c_custkey % 5 + 1] kind, c_custkey % 8 v from customer),
+ said as (select *, [null, 5.0, 9.5, null, null, 3.0, null, 0.0][v + 1]::double n, ['"yes"', '"5.0"', '" 9.50 "', '"many"', '" None"', '3', '"No"', '"0"'][v + 1] raw, ['"yes"', '"5.0"', '"9.50"', '"many"', null, '3', '"No"', '"0"'][v + 1] plain from c),
+ made as (select *, case when v = 4 then null when kind = 'boolean' then case when v in (6, 7) then 'false' else 'true' end when kind = 'int' then case when n is null then raw when n = floor(n) then cast(cast(n as bigint) as varchar) else cast(n as varchar) end
+   when kind = 'float' or field <> 'size' then coalesce(cast(n as varchar), raw) else plain end made,
+   case when field = 'budget_max' then [1.25, 8.75, 37.5, null, null][k % 5 + 1] when field = 'price_min' then [0.8, 5.6, 24.0, null, null][k % 5 + 1] end loose from said)
+ select k id, kind, made, cast(loose as double) loose from made""")
+def coerce_values(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    of = lambda m, *texts: F.element_at(F.array(*map(F.lit, texts)), (k % m + 1).cast("int"))
+    field = F.when(k % 7 == 0, "budget_max").when(k % 7 == 1, "price_min").otherwise("size")
+    old = F.parse_json(of(5, "true", "7", "30.0", '"9.50"', "null"))
+    value = F.parse_json(of(8, '"yes"', '"5.0"', '" 9.50 "', '"many"', '" None"', "3", '"No"', '"0"'))
+    rows = table(spark, d, "customer").select(k.alias("id"), field.alias("field"), old.alias("old"), value.alias("value"))
+    f = F.col("field")
+    return rows.select("id", S.variant_kind(F.col("old")).alias("kind"), F.to_json(S.coerce_variant(f, F.col("value"), F.col("old"))).alias("made"), F.try_variant_get(S.relax_variant(f, F.col("old")), "$", "double").alias("loose"))
+
+
+# Recorded dialogues with a fault planted in one part of every third turn: a value, the order of wishes, the priority or an old value.
+@query(PRIORITY_SQL + """ select instance_id, count(*) turns, count(*) filter (fault = 1) bad_constraints, count(*) filter (fault = 2 and len(f) > 1) bad_order, count(*) filter (fault = 3 and len(new_) > 1) bad_priority, count(*) filter (fault = 4 and changes) bad_olds
+ from (select fold.*, case when fold.turn_id % 3 = 1 then fold.instance_id % 5 end fault, coalesce(s.op in ('add','relax','override','scope_correction'), false) changes from fold join shifts s using (instance_id, turn_id)) group by 1""")
+def audit_trajectories(spark: SparkSession, d: str) -> DataFrame:
+    first, made = order_shifts(spark, d)
+    since = I.assignments(first, made).groupBy("instance_id", "field").agg(F.min("turn_id").alias("since"))
+    held = I.fold_intentions(first, made).join(since, ["instance_id", "field"])
+    key, planted = F.col("instance_id"), F.col("turn_id") % 3 == 1
+    fault = lambda n: planted & (key % 5 == n)
+    listed = F.array_sort(F.collect_list(F.struct("since", "field", "value")))
+    wishes = held.groupBy("instance_id", "turn_id").agg(listed.alias("own"))
+    wishes = wishes.withColumn("own", F.when(fault(1), F.transform("own", lambda e, i: F.when(i == 0, e.withField("value", F.lit("another"))).otherwise(e))).when(fault(2), F.reverse("own")).otherwise(F.col("own")))
+    wishes = wishes.select("instance_id", "turn_id", F.to_json(F.map_from_entries(F.transform("own", lambda e: F.struct(e["field"], e["value"])))).alias("constraints"))
+    start = first.groupBy("instance_id").agg(F.array_sort(F.collect_list("field")).alias("fields"), F.array().cast("array<string>").alias("priority"))
+    order = I.fold_priority(start, made)
+    entry = lambda op, old, new, why: F.struct(op.alias("op"), old.alias("old"), new.alias("new"), why.alias("rationale"))
+    none = F.lit(None).cast("string")
+    deltas = I.shift_deltas(first, made).select("instance_id", "turn_id", "field", entry(F.col("op"), F.when(fault(4), F.concat(F.coalesce("old", F.lit("")), F.lit("x"))).otherwise(F.col("old")), F.col("new"), F.col("rationale")).alias("entry"))
+    moved = order.where("op = 'reprioritize'").select("instance_id", "turn_id", F.lit("priority").alias("field"), entry(F.col("op"), F.to_json("old"), F.to_json("new"), none).alias("entry"))
+    maps = deltas.unionByName(moved).groupBy("instance_id", "turn_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "entry"))).alias("gold_delta"))
+    shown = F.when(fault(3), F.reverse("new")).otherwise(F.col("new"))
+    turns = order.select("instance_id", "turn_id", shown.alias("priority")).join(wishes, ["instance_id", "turn_id"]).join(maps, ["instance_id", "turn_id"], "left")
+    turn = F.struct("turn_id", "gold_delta", F.struct("constraints", "priority").alias("gold_current_intention"))
+    begin = first.groupBy("instance_id").agg(F.array_sort(F.collect_list(F.struct("field", "value"))).alias("own"))
+    begin = begin.select("instance_id", F.struct(F.to_json(F.map_from_entries("own")).alias("constraints"), F.array().cast("array<string>").alias("priority")).alias("initial_intention"))
+    audited = I.audit_trajectories(turns.groupBy("instance_id").agg(F.collect_list(turn).alias("turns")).join(begin, "instance_id"))
+    return audited.groupBy("instance_id").agg(F.count("*").alias("turns"), *(F.count_if(~F.col(f"{c}_agree")).alias(f"bad_{c}") for c in ("constraints", "order", "priority", "olds")))
+
+
 @query(f"with {SHIFTS_SQL} select instance_id, turn_id, case op when 'none' then 'Let''s keep looking.' when 'relax' then case turn_id % 3 when 0 then 'It doesn''t have to be exactly ' || replace(field, '_', ' ') || '.' when 1 then replace(field, '_', ' ') || ' can be a bit flexible.' else 'Close is fine.' end when 'add' then case turn_id % 3 when 0 then 'Also, I''d prefer ' || field || ' ' || value || '.' when 1 then 'Also, ' || value || ' would be nice.' else value || ' too.' end when 'override' then case turn_id % 3 when 0 then 'Actually, make it ' || value || ' instead.' when 1 then 'Let''s go with ' || value || ' instead.' else value || ' instead.' end else case turn_id % 3 when 0 then upper(field[1]) || field[2:] || ' matters more now.' when 1 then 'Focus more on ' || field || '.' else field || ' first.' end end utterance from shifts")
 def fallback_utterances(spark: SparkSession, d: str) -> DataFrame:
     made = order_shifts(spark, d)[1]

@@ -65,3 +65,30 @@ def test_values_take_the_form_of_the_old_one(spark):
 
 def test_numbers_in_sentences(spark):
     assert values(spark, S.format_value, ["30.0", "2.50", "red", None]) == ["30", "2.5", "red", "no preference"]
+
+
+def test_typed_values_keep_their_types(spark):
+    from colloquy.functions import shifts as S
+
+    cases = [
+        ("size", '"9.50"', '"9"', '"9.50"'),  # a text stays a text, whatever it looks like
+        ("size", '" 9.50 "', "9", "9.5"),
+        ("size", '"9.0"', "9", "9"),
+        ("size", '"nine"', "9", '"nine"'),
+        ("size", "4", "9.5", "4.0"),
+        ("budget_max", '" 40 "', '"30"', "40.0"),
+        ("budget_max", '"cheap "', "null", '"cheap "'),
+        ("gift", '"No"', "true", "false"),
+        ("gift", '"perhaps"', "false", "true"),
+        ("gift", "0", "true", "false"),
+        ("color", '" red "', '"blue"', '"red"'),
+        ("color", '" Null "', '"blue"', None),
+        ("color", "null", "5", None),
+        ("color", "[1]", '"blue"', "[1]"),
+    ]
+    df = spark.createDataFrame(cases, "field string, value string, old string, want string")
+    made = F.to_json(S.coerce_variant(F.col("field"), F.parse_json("value"), F.parse_json("old")))
+    assert [(r.field, r.value, r.old, r.made) for r in df.withColumn("made", made).collect()] == cases
+    pairs = [("a_max", "10", "12.5", True), ("a_max", "10", "9", False), ("a_min", "10", "9", True), ("a", '"x"', "null", True), ("a", "null", "null", False), ("a", '"9"', '"9"', False), ("a", '"9"', "9", True)]
+    df = spark.createDataFrame(pairs, "field string, old string, new string, want boolean")
+    assert [r.got for r in df.withColumn("got", S.is_variant_relaxation(F.col("field"), F.parse_json("old"), F.parse_json("new"))).collect()] == [p[3] for p in pairs]

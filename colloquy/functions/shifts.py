@@ -80,12 +80,17 @@ def number_text(c: Column) -> Column:
     return F.when(c == F.floor(c), c.cast("long").cast("string")).otherwise(c.cast("string"))
 
 
-def coerce_value(field: Column, value: Column, old_value: Column) -> Column:
-    """The value as text in the form that the old value has: truth, number or plain text; a failed number stays text."""
+def coerce_value(field: Column, value: Column, old_value: Column, kind: Column | None = None) -> Column:
+    """The value as text in the form that the old value has: truth, number or plain text; a failed number stays text.
+
+    kind, as variant_kind gives it, is the old value's type; without it the type is guessed from its text.
+    """
     new = none_like(value)
     truth = F.when(F.lower(new).isin("true", "yes", "1"), "true").when(F.lower(new).isin("false", "no", "0"), "false").otherwise("true")
-    numeric = number_of(old_value).isNotNull() | field.endswith("_max") | field.endswith("_min")
-    return F.when(new.isNull(), F.lit(None)).when(F.lower(old_value).isin("true", "false"), truth).when(numeric & number_of(new).isNotNull(), number_text(number_of(new))).otherwise(strip(new))
+    guessed = F.when(F.lower(old_value).isin("true", "false"), "boolean").when(number_of(old_value).isNotNull(), "float").otherwise("text")
+    known = guessed if kind is None else F.coalesce(kind, guessed)
+    numeric = known.isin("int", "float") | field.endswith("_max") | field.endswith("_min")
+    return F.when(new.isNull(), F.lit(None)).when(known == "boolean", truth).when(numeric & number_of(new).isNotNull(), number_text(number_of(new))).otherwise(strip(new))
 
 
 def relax_value(field: Column, old_value: Column) -> Column:

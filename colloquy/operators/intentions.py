@@ -210,7 +210,9 @@ def normalize_shifts(outputs: DataFrame) -> DataFrame:
 
     outputs: raw fields (usable, intention_changed, condition, category, op, field, old_value,
     value, rationale, update, style, directness, mention_old_value, gold_search_query) and the
-    state (constraints map<string,string>, fields and priority arrays, request, stored_query).
+    state (constraints map<string,string>, fields and priority arrays, request, stored_query). Where there is a column
+    kinds (map<string,string>, by variant_kind of the wishes' values), values take the type of the old ones by it, so that
+    a text that looks like a number stays a text; else types are guessed from texts.
     """
     none = F.array().cast(STRINGS)
     df = outputs.withColumns({"known": F.array_distinct(F.concat("fields", F.coalesce("priority", none))), "order": complete(F.col("priority"), F.col("fields"))})
@@ -228,9 +230,10 @@ def normalize_shifts(outputs: DataFrame) -> DataFrame:
     df = df.withColumn("is_new", F.coalesce(is_new, F.lit(True)))
     to_add = F.col("is_new") & (F.col("op3") != "reprioritize")
     df = df.withColumns({"op4": F.when(to_add, "add").otherwise(F.col("op3")), "cat4": F.when(to_add, "add").otherwise(F.col("cat3")), "now": F.col("constraints")[F.col("name")]})
-    old = F.when(~F.col("is_new"), F.coalesce(S.coerce_value(F.col("name"), F.col("old_value"), F.col("now")), F.col("now")))
+    kind = F.col("kinds")[F.col("name")] if "kinds" in outputs.columns else None
+    old = F.when(~F.col("is_new"), F.coalesce(S.coerce_value(F.col("name"), F.col("old_value"), F.col("now"), kind), F.col("now")))
     df = df.withColumn("old4", old)
-    new = S.coerce_value(F.col("name"), F.col("value"), F.col("old4"))
+    new = S.coerce_value(F.col("name"), F.col("value"), F.col("old4"), kind)
     loose = S.relax_value(F.col("name"), F.col("old4"))
     df = df.withColumn("new3", F.when(new.isNull() & (F.col("op4") == "relax"), loose).otherwise(new))
     stiff = (F.col("op4") == "relax") & F.col("old4").isNotNull() & ~F.coalesce(S.is_relaxation(F.col("name"), F.col("old4"), F.col("new3")), F.lit(True))

@@ -602,6 +602,46 @@ def coerce_values(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", S.variant_kind(F.col("old")).alias("kind"), F.to_json(S.coerce_variant(f, F.col("value"), F.col("old"))).alias("made"), F.try_variant_get(S.relax_variant(f, F.col("old")), "$", "double").alias("loose"))
 
 
+# What is inferred about a change, the loosened value, how it is to be said, and the evidence that is kept of it.
+@query("""with o as (select o_orderkey k, ['refine it', 'Suddenly bored', 'Unavailable now', 'too coarse', 'plain', ''][o_orderkey % 6 + 1] why, o_orderkey % 4 = 0 moves, [null, 'red', '30'][o_orderkey % 3 + 1] old, [null, 'red', null, '40', null][o_orderkey % 5 + 1] new_,
+   case o_orderkey % 7 when 0 then null when 1 then 'budget_max' when 2 then 'price_min' else 'size' end field from orders),
+ c as (select *, case when moves then 'reprioritize' when why = 'refine it' then 'scope_correction' when old is not null and new_ is not null and old <> new_ then 'override' when old is not null and new_ is null then 'relax' when field is not null and old is null and new_ is not null then 'add' else 'none' end category from o),
+ e as (select *, case when category = 'scope_correction' then 'agent_misunderstanding' when why = 'Suddenly bored' then 'user_preference' when why = 'Unavailable now' then 'real_world_feasibility' when why = 'too coarse' then 'agent_misunderstanding' else 'user_preference' end condition, category <> 'none' changed from c)
+ select k id, category, condition, case when old = '30' then case field when 'budget_max' then '37.5' when 'price_min' then '24' end end loose, ['explicit', 'partial', 'partial', 'partial'][k % 4 + 1] || '/' || ['indirect', 'direct', 'direct'][k % 3 + 1] || '/' || (k % 2 = 0)::varchar plan,
+  case when changed then condition end cause, case when changed then why end reason, case when changed then category || '/' || coalesce(field, '-') || '/' || coalesce(old, '-') || '/' || coalesce(new_, '-') || '/' || case when moves then 'a' else '' end end details,
+  case when changed then condition else 'none' end "trigger", case when changed then coalesce(field, '-') || '/' || why end trigger_details from e""")
+def shift_inferences(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    of = lambda m, *texts: F.element_at(F.array(*(F.lit(x).cast("string") for x in texts)), (k % m + 1).cast("int"))
+    rows = table(spark, d, "orders").select(
+        k.alias("id"),
+        of(6, "refine it", "Suddenly bored", "Unavailable now", "too coarse", "plain", "").alias("why"),
+        F.when(k % 4 == 0, F.array(F.lit("a"))).otherwise(F.array().cast("array<string>")).alias("update"),
+        of(3, None, "red", "30").alias("old"),
+        of(5, None, "red", "None", "40", " ").alias("value"),
+        of(7, None, "budget_max", "price_min", "size", "size", "size", "size").alias("field"),
+        S.utterance_plan(of(4, "EXPLICIT ", "partial", "weird", None), of(3, "Indirect", "direct", None), F.when(k % 2 == 0, True)).alias("plan"),
+    )
+    rows = rows.withColumn("category", S.infer_category(F.col("update"), F.col("why"), F.col("field"), F.col("old"), F.col("value")))
+    rows = rows.withColumns({"condition": S.infer_condition(F.col("category"), F.col("why")), "new": T.none_like(F.col("value")), "changed": F.col("category") != "none"})
+    rows = rows.withColumn("e", S.shift_evidence(*map(F.col, ("changed", "condition", "category", "category", "field", "old", "new", "update", "why"))))
+    cause, trigger, dash = F.col("e.shift_condition"), F.col("e.trigger_evidence"), lambda c: F.coalesce(c, F.lit("-"))
+    of_cause, of_trigger = cause["details"], trigger["details"]
+    details = F.concat_ws("/", of_cause["op"], dash(of_cause["field"]), dash(of_cause["old_value"]), dash(of_cause["value"]), F.array_join(of_cause["priority_update"], ","))
+    return rows.select(
+        "id",
+        "category",
+        "condition",
+        S.relax_value(dash(F.col("field")), F.col("old")).alias("loose"),
+        F.concat_ws("/", "plan.style", "plan.directness", F.col("plan.mention_old_value").cast("string")).alias("plan"),
+        cause["type"].alias("cause"),
+        cause["reason"].alias("reason"),
+        F.when(cause.isNotNull(), details).alias("details"),
+        trigger["trigger_type"].alias("trigger"),
+        F.when(of_trigger.isNotNull(), F.concat_ws("/", dash(of_trigger["field"]), of_trigger["rationale"])).alias("trigger_details"),
+    )
+
+
 # Recorded dialogues with a fault planted in one part of every third turn: a value, the order of wishes, the priority or an old value.
 @query(PRIORITY_SQL + """ select instance_id, count(*) turns, count(*) filter (fault = 1) bad_constraints, count(*) filter (fault = 2 and len(f) > 1) bad_order, count(*) filter (fault = 3 and len(new_) > 1) bad_priority, count(*) filter (fault = 4 and changes) bad_olds
  from (select fold.*, case when fold.turn_id % 3 = 1 then fold.instance_id % 5 end fault, coalesce(s.op in ('add','relax','override','scope_correction'), false) changes from fold join shifts s using (instance_id, turn_id)) group by 1""")
@@ -710,10 +750,10 @@ def classify_pages(spark: SparkSession, d: str) -> DataFrame:
     return pages.classify_pages(table(spark, d, "pages"), "html").select("page_id", "page_type", "no_results", "shown_price")
 
 
-@query(f"""with {RANKED_SQL} select request_id, string_agg(asin, ',' order by place) asins, count(*) items from (select request_id, place, lpad(asin, 10, '0') asin from cands where place <= 5) group by 1""")
+@query(f"""with {RANKED_SQL} select request_id, string_agg(asin, ',' order by place) asins, count(*) items from (select request_id, place, lpad(asin, 10, '0') asin from cands) group by 1""")
 def visible_items(spark: SparkSession, d: str) -> DataFrame:
     """Result pages written from candidates, and read back."""
-    shown = ranked_lines(spark, d)[1].where("place <= 5").groupBy("request_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "asin"))), lambda c: F.concat(F.lpad(c["asin"], 10, "0"), F.lit(" [SEP] a title [SEP] $"), c["place"].cast("string"))), " [SEP] ").alias("items"))
+    shown = ranked_lines(spark, d)[1].groupBy("request_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "asin"))), lambda c: F.concat(F.lpad(c["asin"], 10, "0"), F.lit(" [SEP] a title [SEP] $"), c["place"].cast("string"))), " [SEP] ").alias("items"))
     raw = shown.select("request_id", F.concat(F.lit("Instruction: [SEP] x [SEP] Back to Search [SEP] Page 1 (Total results: 5) [SEP] "), "items").alias("raw_text"), F.array(F.lit("back to search")).alias("clickables"), F.lit(False).alias("done"), F.lit(None).cast("struct<asin:string,title:string,price:double,pricing:array<double>,query:string,category:string,product_category:string,description:string,bullet_points:array<string>,attributes:array<string>,options:map<string,array<string>>,brand:string,color:string,rating:string>").alias("item_context"))
     out = pages.normalize_pages(raw)
     return out.select("request_id", F.array_join(F.transform("visible_items", lambda v: v["asin"]), ",").alias("asins"), F.size("visible_items").cast("bigint").alias("items"))
@@ -768,10 +808,10 @@ class FixedOrder:
         return json.dumps({"reranked_candidates": [{"asin": c["asin"], "new_rank": i + 1} for i, c in enumerate(reversed(items[-2:]))]})
 
 
-@query(f"""with {RANKED_SQL}, c as (select request_id, place, asin, count(*) over (partition by request_id) n from cands where place <= 10)
- select request_id, case when n % 5 = 0 then place else n + 1 - place end pos, asin, case when n % 5 = 0 then 'bm25_top10' end fallback from c where n % 5 = 0 or place > n - 2""")
+@query(f"""with {RANKED_SQL}, c as (select request_id, place, asin, count(*) over (partition by request_id) n from cands)
+ select request_id, case when n % 5 = 0 then place else n + 1 - place end pos, asin, case when n % 5 = 0 then 'bm25_top10' end fallback from c where case when n % 5 = 0 then place <= 10 else place > n - 2 end""")
 def bulk_rerank(spark: SparkSession, d: str) -> DataFrame:
-    cands = ranked_lines(spark, d)[1].where("place <= 10")
+    cands = ranked_lines(spark, d)[1]
     part = cands.withColumn("row_id", F.substring("asin", 2, 20).cast("bigint")).join(C.candidate_items(catalog(spark, d), "row_id").select("row_id", "candidate"), "row_id", "left")
     item = F.col("candidate").withField("asin", F.col("asin")).withField("rank", F.col("place"))
     rows = part.select("request_id", "place", item.alias("candidate"))
@@ -799,6 +839,18 @@ def select_instances(spark: SparkSession, d: str) -> DataFrame:
     return readers.select_instances(o, ids).groupBy("instance_id").agg(F.count("*").alias("n"))
 
 
+@query("with last_ as (select o_custkey k, max(o_orderkey) task_index from orders group by 1) select k instance_id, task_index, row_number() over (order by k desc) ordinal from last_ where k in (select c_custkey from customer)")
+def select_instances_in_order(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("instance_id"), F.col("o_orderkey").alias("task_index"))
+    ids = table(spark, d, "customer").select(F.col("c_custkey").alias("instance_id")).join(o, "instance_id", "left_semi")
+    # The largest id first: an id's place is the number of ids from it on.
+    top = ids.agg(F.max("instance_id").alias("top"))
+    asked = ids.crossJoin(top).select("instance_id", (F.col("top") - F.col("instance_id")).alias("ordinal"))  # with one row
+    found = readers.select_instances(o, asked, keep_order=True)
+    place = F.row_number().over(W.orderBy("ordinal")).cast("bigint")
+    return found.select("instance_id", "task_index", place.alias("ordinal"))
+
+
 @query("select distinct o_custkey instance_id from orders where o_custkey not in (select c_custkey from customer where c_custkey % 2 = 0)")
 def missing_ids(spark: SparkSession, d: str) -> DataFrame:
     ids = table(spark, d, "orders").select(F.col("o_custkey").alias("instance_id"))

@@ -106,6 +106,17 @@ def read_trajectories(spark: SparkSession, d: str) -> DataFrame:
     return task_files(spark, d).select("task_index", "instance_id", F.size("turns").cast("bigint").alias("turns"), said.alias("said"), last["request"].alias("last_request"), last["constraints"].alias("last_constraints"))
 
 
+@query(f"with {TASKS_SQL} select cast(row_number() over (order by key % 3, key) as int) task_index, given_id instance_id, turns from tasks")
+def union_task_files(spark: SparkSession, d: str) -> DataFrame:
+    """The tasks, written as three files, and read together in the order of the files' names."""
+    root, paths = scratch_path(spark), []
+    for n in range(3):
+        tasks(spark, d).where(F.col("key") % 3 == n).orderBy("key").select("json").write.text(f"{root}/part{n}.json")
+        paths.append(f"{root}/part{n}.json")
+    read = readers.union_task_files(spark, paths[::-1])
+    return read.select("task_index", "instance_id", F.size("turns").cast("bigint").alias("turns"))
+
+
 @query(f"with {TASKS_SQL} select cast(task_index as int) task_index, given_id instance_id, case when key % 5 <> 0 then 'explore' end task_type, turns from tasks")
 def read_tasks(spark: SparkSession, d: str) -> DataFrame:
     return task_lines(spark, d).select("task_index", "instance_id", "task_type", F.size("turns").cast("bigint").alias("turns"))

@@ -26,6 +26,10 @@ SAMPLE_SEGMENTS, LEARN = 25600, 64
 BATCH, ROUNDS, RATE, SEED = 256, 360, 0.02, 11
 #: Segments that go through the network together.
 TOGETHER = 1024
+#: States are multiples of one over this where products have to be exact.
+STATE_STEPS = 256
+#: What probabilities of a segment are rounded to, when they are summed up.
+UNIT = 2.0**-20
 
 
 def soft(x: np.ndarray) -> np.ndarray:
@@ -38,7 +42,7 @@ class Network:
     def __init__(self, n_langs: int, seed: int = SEED, hidden: int = HIDDEN):
         rng = np.random.default_rng(seed)
         draw = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
-        self.hidden = hidden
+        self.hidden, self.exact = hidden, False
         self.weights = {}
         for side in "fb":
             self.weights["x" + side] = draw(256, 3 * hidden, scale=0.3)
@@ -46,6 +50,18 @@ class Network:
         self.weights["v"] = draw(2 * hidden, n_langs, scale=0.3)
         self.weights["c"] = np.zeros(n_langs, np.float32)
 
+    def rounded(self) -> Network:
+        """The network with weights between states, and states from now on, rounded so that all its matrix products are exact.
+
+        States have 8 binary places, weights 8 and 7, and at most 16 products are added, so sums need no more than the
+        24 bits of float32, and their order, which BLAS chooses by sizes and places, changes nothing.
+        """
+        out = Network(len(self.weights["c"]), hidden=self.hidden)
+        out.weights, out.exact = dict(self.weights), True
+        for name, places in (("uf", 8), ("ub", 8), ("v", 7)):
+            out.weights[name] = np.clip(np.rint(self.weights[name] * 2.0**places) / 2.0**places, -15.5, 15.5).astype(np.float32)
+        return out
+
     def layer(self, side: str, bytes_: np.ndarray, keep: bool = False, inside: np.ndarray | None = None):
         """States (time x segment x hidden) for bytes (time x segment); what backpropagation needs if asked.
 
@@ -67,6 +83,10 @@ class Network:
             if keep:
                 kept.append((t, state, p[:, 2 * h :], gates, new))
             state = new + gates[:, :h] * (state - new)
+            if self.exact:
+                state *= STATE_STEPS
+                np.rint(state, out=state)
+                state /= STATE_STEPS
             if inside is not None:
                 state *= inside[t][:, None]
             states[t] = state
@@ -84,7 +104,10 @@ class Network:
             np.maximum(most, out[:, k], out=most)
         out -= most[:, None]
         np.exp(out, out=out)
-        out /= (out @ np.ones(out.shape[1], out.dtype))[:, None]
+        total = out[:, 0].copy()
+        for k in range(1, out.shape[1]):
+            total += out[:, k]
+        out /= total[:, None]
         return out.reshape(*bytes_.shape, -1)
 
     def gradients(self, bytes_: np.ndarray, langs: np.ndarray) -> tuple[dict, float]:
@@ -146,7 +169,10 @@ def cut(starts: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np
 
 
 def labelled(network: Network, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-    """(rows, lengths, probabilities time x segment x language) of segments in order; times from a segment's length on are void."""
+    """(rows, lengths, probabilities time x segment x language) of segments in order; times from a segment's length on are void.
+
+    A segment's probabilities don't depend on its neighbours where the network is rounded.
+    """
     row, begin, length = cut(starts, ends, SEGMENT)
     time = np.arange(-MARGIN, SEGMENT + MARGIN)[:, None]
     for at in range(0, len(row), TOGETHER):
@@ -158,14 +184,17 @@ def labelled(network: Network, data: np.ndarray, starts: np.ndarray, ends: np.nd
 
 
 def pooled(network: Network, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Mean probabilities over all positions of each row (rows x languages); zeros for an empty row."""
-    total = np.zeros((len(starts), len(network.weights["c"])))
+    """Mean probabilities over all positions of each row (rows x languages); zeros for an empty row.
+
+    A segment's sum is rounded to a whole number of UNIT, so that sums don't depend on where parts begin.
+    """
+    total = np.zeros((len(starts), len(network.weights["c"])), np.int64)
     for row, length, p in labelled(network, data, starts, ends):
         p *= (np.arange(SEGMENT)[:, None] < length)[:, :, None]
-        sums = p.sum(axis=0)
+        sums = np.rint(p.sum(axis=0, dtype=np.float64) / UNIT).astype(np.int64)
         for k in range(sums.shape[1]):
-            total[:, k] += np.bincount(row, sums[:, k], minlength=len(starts))
-    return total / np.maximum(ends - starts, 1)[:, None]
+            np.add.at(total[:, k], row, sums[:, k])
+    return total * UNIT / np.maximum(ends - starts, 1)[:, None]
 
 
 def train(rows: list[tuple[bytes | str, str]], langs: list[str]) -> Network:
@@ -238,6 +267,7 @@ def _predict(weights: dict, langs: list[str], schema: pa.Schema):
     def scan(batches):
         network = Network(len(langs))
         network.weights = weights
+        network = network.rounded()
         for batch in batches:
             data, starts, ends = utf8(batch.column("text"))
             letters = np.asarray(batch.column("letters").fill_null(False))

@@ -30,6 +30,8 @@ ALPHABET = 256
 #: Bytes of URLs in a chunk; a longer URL is a chunk of its own.
 CHUNK_BYTES = 1 << 16
 FOLDS = 10
+#: Stands for a fold that no url is in.
+ALL_FOLDS = -1
 #: Bins of the calibration's score histogram, over scores from -RANGE to RANGE.
 BINS, RANGE = 4001, 8.0
 
@@ -192,12 +194,24 @@ def calibrate(histogram: list[tuple[int, str, int]]) -> float:
     return float((best[len(best) // 2] - BINS // 2) * 2 * RANGE / BINS)
 
 
+def held_fold(counts: list[tuple[int, str, int]]) -> int | None:
+    """The fold to set the threshold on, of (fold, verdict, urls): ALL_FOLDS if none will do, None if one kind is missing."""
+    kinds = {fold: {v for f, v, _ in counts if f == fold} for fold, _, _ in counts}
+    if {v for _, v, _ in counts} != {"allow", "block"}:
+        return None
+    for fold in sorted(kinds):
+        if len(kinds[fold]) == 2 and len(set().union(*(k for f, k in kinds.items() if f != fold))) == 2:
+            return fold
+    return ALL_FOLDS
+
+
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """page_id, host, path, rule, verdict (allow or block) and score for each page.
 
     The rules decide where one fits; elsewhere the models do. A null or empty url fits no
-    rule and scores 0. If the rules decide no url of one kind that the models can learn from,
-    there is nothing to compare, and all others are allowed. Repeated rows count as often as they occur; an empty table
+    rule and scores 0. If the rules decide urls of one kind only, there is nothing to compare, and all others are
+    allowed. The threshold is set on a fold that the models haven't counted, the first one that has both kinds and
+    leaves both for the models; where there is none, models and threshold alike are made of all decided urls. Repeated rows count as often as they occur; an empty table
     gives no row; other columns are not read. A very long url is a chunk of its own, whole.
     """
     page = pick(pages, "page_id", "url")
@@ -206,15 +220,13 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     fold = F.pmod(F.xxhash64("url"), F.lit(FOLDS))
     page = page.withColumns({"rule": rule, "verdict": verdict, "url": F.coalesce("url", F.lit("")), "fold": fold})
-    chunks = in_chunks(page.withColumn("learn", F.when(F.col("fold") != 0, F.col("verdict"))), "url", CHUNK_BYTES)
-    counted = count_grams(chunks)
-    learnt = counted.agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).first()
-    if not learnt["allow"] or not learnt["block"]:
-        return chunks.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"), F.lit(0.0).alias("score"))
-    judged = stored(with_score(chunks, counted))
-    held = judged.where("verdict is not null").withColumn("held", F.col("fold") == 0)
+    held = held_fold([tuple(r) for r in page.where("verdict is not null").groupBy("fold", "verdict").count().collect()])
+    if held is None:
+        return page.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"), F.lit(0.0).alias("score"))
+    chunks = in_chunks(page.withColumn("learn", F.when(F.col("fold") != held, F.col("verdict"))), "url", CHUNK_BYTES)
+    judged = stored(with_score(chunks, count_grams(chunks)))
+    tested = judged.where("verdict is not null").where((F.col("fold") == held) | F.lit(held == ALL_FOLDS))
     at = F.floor((F.greatest(F.lit(-RANGE), F.least(F.lit(RANGE), F.col("score"))) * (BINS / (2 * RANGE))) + F.lit(BINS / 2)).cast("int")
-    bins = held.select(F.least(at, F.lit(BINS - 1)).alias("bin"), "verdict", "held").groupBy("bin", "verdict", "held").count().collect()
-    both = {r["verdict"] for r in bins if r["held"]} == {"allow", "block"}
-    threshold = calibrate([(r["bin"], r["verdict"], r["count"]) for r in bins if r["held"] or not both])
+    bins = tested.select(F.least(at, F.lit(BINS - 1)).alias("bin"), "verdict").groupBy("bin", "verdict").count().collect()
+    threshold = calibrate([(r["bin"], r["verdict"], r["count"]) for r in bins])
     return judged.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.when((F.col("score") >= threshold) | (F.length("url") == 0), "allow").otherwise("block")).alias("verdict"), "score")

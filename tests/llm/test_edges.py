@@ -11,6 +11,7 @@ import corpus_pipeline  # noqa: E402
 from colloquy.llm import bpe, jaccard, langid, mixing, quality, shared, substring, suffix, tiff, urls, warc  # noqa: E402
 from colloquy.llm import queries as Q  # noqa: E402
 from tests.llm.test_text_operators import plain, samples  # noqa: E402
+from tests.oracle import SF_DIR  # noqa: E402
 
 CLASHES = ("TEXT", "text_key", "key", "nth", "spans", "name", "n", "copies", "bucket", "Doc_Id", "component", "chunk", "c0")
 
@@ -198,3 +199,39 @@ def test_byte_windows_that_polynomials_confuse_are_told_apart(spark, monkeypatch
                 gone[i : i + size] = [True] * size
         want[key] = sum(gone)
     assert {r.doc_id: r.n_removed for r in suffix.remove_repeated_bytes(docs, size).collect()} == want
+
+
+def test_predictions_do_not_depend_on_partitioning(spark):
+    docs = Q.table(spark, SF_DIR, "documents")
+    docs = docs.unionByName(docs.limit(40).withColumn("doc_id", F.col("doc_id") + 10**6))
+    scores = [rows_of(langid.identify(docs.repartition(n, "doc_id"))) for n in (1, 3, 7)]
+    assert scores[0] == scores[1] == scores[2]
+    text_of = {r.doc_id: r.text for r in docs.collect()}
+    by_text = {}
+    for r in scores[0]:
+        by_text.setdefault(text_of[r[0]], set()).add(r[2:])
+    assert all(len(v) == 1 for v in by_text.values())
+
+
+def test_urls_learn_from_few_blocked_ones(spark):
+    words = "one two three four five six seven eight nine ten".split()
+    allowed = [f"http://www.example.com/en/{a}/{b}" for a in words for b in words[:3]]
+    # blocked urls that all fall into one fold
+    many = [f"http://shop.net/fr/casino-{i}-win-{i * 7}" for i in range(400)]
+    folds = spark.createDataFrame([(u,) for u in many], "url string").select("url", F.pmod(F.xxhash64("url"), F.lit(urls.FOLDS)).alias("fold")).collect()
+    blocked = [r.url for r in folds if r.fold == 0][:5]
+    others = ["http://x.org/casino-3-win-9", "http://y.org/casino-12-win-84"] + [f"http://z.org/en/{w}/{w}" for w in words]
+    page = spark.createDataFrame(list(enumerate(allowed + blocked + others)), "page_id long, url string")
+    got = {r.url: r for r in urls.filter_urls(page, Q.URL_RULES).join(page, "page_id").collect()}
+    assert {got[u].verdict for u in blocked} == {"block"} and {got[u].verdict for u in allowed} == {"allow"}
+    assert [got[u].verdict for u in others] == ["block"] * 2 + ["allow"] * 10
+    assert len({got[u].score for u in others}) > 5
+    # one kind only: nothing to compare
+    only = urls.filter_urls(page.where(~F.col("url").contains("/fr/")), Q.URL_RULES).collect()
+    assert {(r.verdict, r.score) for r in only} == {("allow", 0.0)}
+
+
+def test_fold_for_the_threshold():
+    assert urls.held_fold([(0, "allow", 3), (1, "allow", 1)]) is None and urls.held_fold([]) is None
+    assert urls.held_fold([(0, "allow", 3), (1, "allow", 1), (1, "block", 1)]) == urls.ALL_FOLDS
+    assert urls.held_fold([(0, "allow", 3), (1, "allow", 1), (1, "block", 1), (2, "block", 1)]) == 1

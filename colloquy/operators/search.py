@@ -17,7 +17,7 @@ SCALE = 1_000_000
 #: Documents whose ids follow each other and whose postings make one block of a term.
 BLOCK = 16
 #: Blocks of the greatest bounds that set the score which a query's k-th document reaches at least, and documents in them for each of k.
-LEADING, LEADING_DOCS = 4, 4
+LEADING, LEADING_DOCS = 16, 16
 
 
 def terms(c: Column) -> Column:
@@ -27,7 +27,8 @@ def terms(c: Column) -> Column:
 def corpus_stats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """From docs (doc_id, text): per (term, doc_id) counts with the document's length, per term document counts, and one row of totals."""
     tokens = docs.select("doc_id", terms(F.col("text")).alias("t"))
-    counts = tokens.select("doc_id", F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("term", "doc_id", "length").agg(F.count("*").alias("tf"))
+    # The length first, so that no list goes along with each of its terms.
+    counts = tokens.withColumn("length", F.size("t")).select("doc_id", "length", F.explode("t").alias("term")).groupBy("term", "doc_id", "length").agg(F.count("*").alias("tf"))
     frequency = counts.groupBy("term").agg(F.count("*").alias("df"))
     totals = tokens.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("mean_length"))
     return counts, frequency, totals

@@ -391,7 +391,7 @@ def search_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(SEARCH_SQL + """, cell as (select query_id, doc_id // 16 block, term, max(impact) most from q join post using (term) group by all),
- bounds as (select query_id, block, sum(most) bound from cell group by all), best as (select query_id, block from bounds qualify row_number() over (partition by query_id order by bound desc, block) <= 4),
+ bounds as (select query_id, block, sum(most) bound from cell group by all), best as (select query_id, block from bounds qualify row_number() over (partition by query_id order by bound desc, block) <= 16),
  floors as (select query_id, score floor_ from (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) n from scored semi join best on best.query_id = scored.query_id and best.block = scored.doc_id // 16) where n = 10)
  select query_id, count(*) blocks, count(*) filter (bound >= coalesce(floor_, 0)) "read" from bounds left join floors using (query_id) group by 1""")
 def search_blocks(spark: SparkSession, d: str) -> DataFrame:

@@ -146,13 +146,16 @@ def split_keys(instances: DataFrame) -> DataFrame:
     return instances.withColumn("file_key", F.format_string("%02d_%s", "task_index", safe))
 
 
-def write_split(instances: DataFrame, path: str, per_shard: int = 10_000) -> None:
-    """One JSON line for each instance, in shards of about per_shard lines by task_index, and an index of where each is.
+def write_split(instances: DataFrame, path: str, per_shard: int | None = None) -> None:
+    """One output for each instance: a folder of its own, or, for many instances, a JSON line in one of the shards of about per_shard lines by task_index, with an index of where each is.
 
     Shards are written by Spark's committed writer, so what a lost task wrote doesn't stay. The index (file_key, shard)
     is made of what was committed.
     """
     spark, rows = instances.sparkSession, split_keys(instances)
+    if per_shard is None:
+        rows.write.mode("overwrite").partitionBy("file_key").json(path)
+        return
     shards = max(1, -(-instances.count() // per_shard))
     rows.repartitionByRange(shards, "task_index").sortWithinPartitions("task_index").write.mode("overwrite").json(f"{path}/shards")
     found = spark.read.schema("file_key string").json(f"{path}/shards")
@@ -160,7 +163,7 @@ def write_split(instances: DataFrame, path: str, per_shard: int = 10_000) -> Non
 
 
 def read_split(spark: SparkSession, path: str, schema: str, file_key: str | None = None) -> DataFrame:
-    """The instances of a split, with file_key; of one file_key only its shards are read."""
+    """The instances of a split in shards, with file_key; of one file_key only its shards are read."""
     if file_key is None:
         return spark.read.schema(f"{schema}, file_key string").json(f"{path}/shards")
     shards = [r[0] for r in spark.read.parquet(f"{path}/index").where(F.col("file_key") == file_key).select("shard").distinct().collect()]

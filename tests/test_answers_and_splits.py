@@ -72,7 +72,7 @@ def test_splits_are_found_by_key(spark, tmp_path):
     assert sorted(r.task_index for r in R.read_split(spark, str(tmp_path / "s"), ddl).collect()) == list(range(1, 31))
     with pytest.raises(ValueError, match="nobody"):
         R.read_split(spark, str(tmp_path / "s"), ddl, "nobody")
-    R.write_split(df.limit(0), str(tmp_path / "e"))
+    R.write_split(df.limit(0), str(tmp_path / "e"), 7)
     assert R.read_split(spark, str(tmp_path / "e"), ddl).count() == 0
 
 

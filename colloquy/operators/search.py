@@ -46,8 +46,8 @@ def postings(docs: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
 
 
 def posting_blocks(posted: DataFrame) -> DataFrame:
-    """(term, block, most, entries): a term's postings of BLOCK neighbouring doc_ids, numbers, with their greatest impact; stored, by term."""
-    numbered = posted.withColumn("block", F.floor(F.col("doc_id") / BLOCK).cast("long")).repartition("term")
+    """(term, block, most, entries): a term's postings of BLOCK neighbouring doc_ids, numbers, with their greatest impact; stored, ordered by term within each file."""
+    numbered = posted.withColumn("block", F.floor(F.col("doc_id") / BLOCK).cast("long"))
     entry = F.struct("doc_id", "impact")
     return stored(numbered.groupBy("term", "block").agg(F.max("impact").alias("most"), F.collect_list(entry).alias("entries")).sortWithinPartitions("term", "block"))
 

@@ -23,5 +23,5 @@ def scratch_path(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """df written and read back, so that what made it runs once."""
     path = scratch_path(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -72,6 +72,21 @@ def test_counts_of_one_flush_reach_every_level():
     assert levels.of(np.array(list(times), np.uint64)).tolist() == [0, 1, 2, 2, repeats.HOT, repeats.HOT]
 
 
+@pytest.mark.parametrize("size", [suffix.WINDOW, corpus_pipeline.PASSAGE_BYTES])
+def test_planted_passages_go_exactly_where_they_fill_a_window(spark, size):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 8)))
+    passages = [" ".join(word() for _ in range(n)) for n in (51, 55, 60, 90)]
+    passages += ["".join(rng.choices("qrst ", k=n)) for n in (size - 1, size, size + 1)]
+    rows = [(2 * i + k, f"{i}{k}" + " ".join(word() for _ in range(80)) + f"{k}{p}{k}" + word()) for i, p in enumerate(passages) for k in (0, 1)]
+    rows += [(100 + i, " ".join(word() for _ in range(150))) for i in range(6)]
+    got = sorted((tuple(r) for r in suffix.remove_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), size).collect()), key=str)
+    assert got == plain(rows, size, False)
+    removed = {r[0]: r[2] for r in got}
+    assert all(removed[2 * i + k] == (len(p) if len(p) >= size else 0) for i, p in enumerate(passages) for k in (0, 1))
+    assert 51 < len(passages[0]) < suffix.WINDOW and not any(removed[100 + i] for i in range(6))
+
+
 def test_no_window_in_an_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert substring.remove_repeated_words(df).count() == suffix.remove_repeated_bytes(df).count() == 0

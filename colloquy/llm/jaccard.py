@@ -191,7 +191,8 @@ def jaccard_groups(docs: DataFrame, size: int = NGRAM, percent: int = PERCENT, c
     least = members.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("least"))
     least = least.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
     least = stored(least)
-    of_root = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Stored, so that Spark can split a large component's sets over tasks when they join its row.
+    of_root = stored(least.groupBy("root").agg(F.min("least").alias("component_id")))
     of_name = least.join(of_root, "root").select("name", "component_id", F.col("root").alias("component"))
     out = members.select(*kept.names, "n", "name").join(of_name, "name", "left")
     component = F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))

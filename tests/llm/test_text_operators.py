@@ -126,6 +126,26 @@ def test_components_are_those_of_all_pairs(spark):
     assert jaccard.jaccard_groups(df.limit(0)).count() == 0
 
 
+def test_a_large_component_is_split_over_tasks(spark):
+    """Sets of one component get its smallest id in several tasks, also where a row for each set is dealt out by component."""
+    base = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*base[:-1], f"x{i}"])) for i in range(600)] + [(1000 + i, f"a{i} b c d e f{i}") for i in range(100)]
+    small = {"coalescePartitions.enabled": "false", "autoBroadcastJoinThreshold": "-1", "advisoryPartitionSizeInBytes": "1k", "skewJoin.skewedPartitionThresholdInBytes": "1k", "skewJoin.skewedPartitionFactor": "1.2"}
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1"} | {f"spark.sql.adaptive.{k}": v for k, v in small.items()}
+    was = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        groups = jaccard.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+        got = {r["doc_id"]: r["component_id"] for r in groups.collect()}
+        plan = groups._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == {i: 0 if i < 1000 else i for i, _ in rows}
+    assert re.search(r"SortMergeJoin\(skew=true\) \[root#", plan), plan
+
+
 def test_targets_reshare_what_full_sources_leave():
     got = mixing.targets({"a": 10, "b": 1000, "c": 1000, None: 100})
     assert got["a"] == 20 and got[None] <= 200 and abs(sum(got.values()) - 1.5 * 2110) < 1e-6

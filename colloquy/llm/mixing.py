@@ -121,15 +121,16 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, seed: in
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     own = [f"own column {i}" for i in range(len(columns))]
-    rows = stored(pick(docs, "doc_id", "text", "source", *columns).toDF("doc_id", "text", "source", *own).select("doc_id", "source", *own, size.alias("size")))
+    rows = stored(pick(docs, "doc_id", "text", "source", *columns).toDF("doc_id", "text", "source", *own).select("doc_id", "source", *own, size.alias("size"), F.xxhash64("text").alias("tie")))
     lengths = rows.groupBy("source", "size").agg(F.count("*").alias("n"))
     sizes = {r["source"]: r["s"] for r in lengths.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("s")).collect()}
     goal = spark.createDataFrame([(k, sizes[k], float(v)) for k, v in targets(sizes, weights, share).items()], "own string, source_size long, target double")
     aimed = lengths.join(goal, F.col("source").eqNullSafe(F.col("own"))).drop("own")
     plan = aimed.groupBy("source").applyInPandas(_fit_source, "source string, size long, n long, source_size long, target double, passes long, picks long")
     plan = stored(plan.toDF("p_source", "p_size", "n", "source_size", "target", "passes", "picks"))
-    # Which documents of a length: in the order of a seeded hash, cut into buckets so that no length is one task.
-    order = F.xxhash64(F.lit(seed), "doc_id")
+    # Which documents of a length: in the order of a seeded hash, cut into buckets so that no length is one task. A row without
+    # an id has its text's hash instead; xxhash64 passes over nulls.
+    order = F.xxhash64(F.lit(seed), "doc_id", F.when(F.col("doc_id").isNull(), F.col("tie")))
     keyed = rows.join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size"))).drop("p_source", "p_size")
     keyed = keyed.withColumn("order", order).withColumn("bucket", F.floor((F.shiftrightunsigned("order", 32) * F.ceil(F.col("n") / BUCKET_ROWS)) / F.lit(float(1 << 32))))
     keyed = stored(keyed)
@@ -137,7 +138,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, seed: in
     before = before.withColumn("before", F.sum("in_bucket").over(W.partitionBy("source", "size").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)))
     before = before.select(F.col("source").alias("b_source"), F.col("size").alias("b_size"), F.col("bucket").alias("b_bucket"), (F.col("p") - F.coalesce("before", F.lit(0))).alias("picks_here"))
     keyed = keyed.join(before, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("size") == F.col("b_size")) & (F.col("bucket") == F.col("b_bucket")))
-    rank = F.row_number().over(W.partitionBy("source", "size", "bucket").orderBy("order", "doc_id"))
+    rank = F.row_number().over(W.partitionBy("source", "size", "bucket").orderBy("order", "doc_id", "tie"))
     copies = F.col("passes") + (rank <= F.col("picks_here")).cast("long")
     return keyed.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), *(F.col(a).alias(b) for a, b in zip(own, columns)))
 

@@ -152,6 +152,19 @@ def test_targets_reshare_what_full_sources_leave():
     assert mixing.targets({}) == {} and mixing.targets({"a": 0}) == {"a": 0}
 
 
+def test_rows_without_an_id_are_dealt_out_and_chosen_by_their_texts(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 50)
+    tables, real = [], mixing.stored
+    monkeypatch.setattr(mixing, "stored", lambda df: tables.append(real(df)) or tables[-1])
+    # ten rows of one id besides, which only their texts tell apart
+    rows = [(None, f"a t{i}", "web") for i in range(1000)] + [(7, f"b t{i}", "web") for i in range(10)] + [(2000 + i, "c d", "x") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = [sorted((r.text, r.source) for r in mixing.mixed_documents(docs.repartition(n, by)).collect()) for n, by in ((1, "text"), (5, "text"), (3, "source"))]
+    assert taken[0] == taken[1] == taken[2] and 0 < len(taken[0]) < 2 * len(rows)
+    keyed = next(t for t in tables if "bucket" in t.columns)
+    assert keyed.groupBy("source", "size", "bucket").count().agg(F.max("count")).first()[0] < 120
+
+
 def test_knapsack_comes_as_near_as_can_be():
     rng = random.Random(4)
     for _ in range(60):

@@ -935,7 +935,8 @@ def stream_intentions(spark: SparkSession, d: str) -> DataFrame:
     start = first.groupBy("instance_id").agg(F.array_sort(F.collect_list(F.struct("field", "value"))).alias("own"))
     start = start.select("instance_id", F.col("own.field").alias("fields"), F.col("own.value").alias("values"), F.array().cast("array<string>").alias("priority"), since.alias("since"))
     rows = made.select("instance_id", "turn_id", "time", "op", "field", "value", "priority_update")
-    states = drained(spark, out_of_order(rows, 1200, 60, "turn_id"), lambda s: streams.stream_intentions(s, start, "61 days", 3650 * streams.DAY_MS))
+    groups = streams.groups_for(table(spark, d, "orders").count())
+    states = drained(spark, out_of_order(rows, 1200, 60, "turn_id"), lambda s: streams.stream_intentions(s, start, "61 days", 3650 * streams.DAY_MS, groups))
     held = F.array_sort(F.map_entries(F.from_json("constraints", "map<string,string>")))
     shown = F.transform(held, lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null"))))
     return states.select("instance_id", "turn_id", F.array_join(shown, ";").alias("constraints"), "op", F.array_join("old", ",").alias("old"), F.array_join("new", ",").alias("new"))

@@ -10,11 +10,13 @@ from __future__ import annotations
 import json
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import StructType
 
 from ..functions.shifts import ASSIGNING
 from ..operators.steps import STUCK_AFTER
@@ -37,11 +39,12 @@ def _matching(raw: str | None, known: list[str]) -> str | None:
     return next((k for k in known if name and k.lower() == name), None)
 
 
-def _complete(priority: list[str], fields: list[str]) -> list[str]:
-    """The priority's known fields, each once, then the other fields."""
+@lru_cache(maxsize=1 << 14)
+def _complete(priority: tuple[str, ...], fields: tuple[str, ...]) -> tuple[str, ...]:
+    """The priority's known fields, each once, then the other fields; dialogues meet the same ones again and again."""
     known = list(dict.fromkeys([*fields, *priority]))
     held = [m for m in (_matching(p, known) for p in priority) if m is not None]
-    return list(dict.fromkeys([*held, *fields]))
+    return tuple(dict.fromkeys([*held, *fields]))
 
 
 def folded(constraints: dict, priority: list[str], op: str, field: str | None, value: str | None, update: list[str]) -> tuple[dict, list[str], bool]:
@@ -55,18 +58,32 @@ def folded(constraints: dict, priority: list[str], op: str, field: str | None, v
         named = [m for m in (_matching(r, known) for r in update) if m is not None]
         asked = list(dict.fromkeys([*named, *known]))
     moved = asked is not None and asked != priority
-    return constraints, _complete(asked if moved else priority, fields), moved
+    return constraints, list(_complete(tuple(asked if moved else priority), tuple(fields))), moved
+
+
+#: Groups in which the keys of a fold share their state, unless a caller asks for more.
+GROUPS = 1024
+#: Rows of a source for each group, as groups_for deals them.
+ROWS_A_GROUP = 16_384
+# Times in keys are written to the microsecond, so that keys come back as they were.
+KEY_FORM = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def groups_for(rows: int) -> int:
+    """Groups for a source of so many rows: more where GROUPS would hold more than ROWS_A_GROUP rows each."""
+    return max(GROUPS, -(-rows // ROWS_A_GROUP))
 
 
 class _InOrder(StatefulProcessor):
     """Rows of a key held until the watermark has passed their time, then given to `fold` in order.
 
-    A key has one value of state, as calls to the store cost more than what they carry: what fold keeps, the time of
-    the last folded row, and the rows that wait. One timer is set for the first of these, one for the end of the state.
+    Calls to the store and to Python cost far more than what they carry, so keys share groups by their hash, and a
+    group has one value of state: for each key what fold keeps, the time of the last folded row, and the rows that
+    wait. One timer is set for the first thing that is due in the group: a row that waits, or the end of a key's state.
     """
 
-    def __init__(self, key: list[str], columns: list[str], horizon_ms: int):
-        self.key, self.columns, self.horizon_ms = key, columns, horizon_ms
+    def __init__(self, columns: list[str], horizon_ms: int):
+        self.columns, self.horizon_ms = columns, horizon_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -76,51 +93,64 @@ class _InOrder(StatefulProcessor):
         """The state of a key that has none."""
         return {}
 
-    def fold(self, key: tuple, state: dict, nth: int, row: dict) -> tuple[dict, tuple | None]:
+    def fold(self, who: str, state: dict, nth: int, row: dict) -> tuple[dict, tuple | None]:
         """The state after a row, and what it gives."""
         raise NotImplementedError
 
-    def left(self, key: tuple, state: dict) -> tuple | None:
+    def left(self, who: str, state: dict) -> tuple | None:
         """What a key gives when its state goes."""
         return None
 
     def _kept(self) -> dict:
         held = self.held.get()
-        return json.loads(held[0]) if held is not None else {"state": self.first(), "last": None, "waiting": []}
+        return json.loads(held[0]) if held is not None else {"due": None, "keys": {}}
 
     def _keep(self, kept: dict) -> None:
+        """Keep the state and set the timer; without keys the state goes."""
+        if not kept["keys"]:
+            self.held.clear()
+            return
+        kept["due"] = min(own["waiting"][0][0] if own["waiting"] else own["last"] + self.horizon_ms for own in kept["keys"].values())
         self.held.update((json.dumps(kept, ensure_ascii=False),))
+        self.handle.registerTimer(kept["due"])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = []
+        new = {}
         for frame in rows:
             frame = frame[frame["nth"].notna() & frame["at"].notna()]
-            new += [[int(r["at"]), int(r["nth"]), r["row"]] for r in frame[["at", "nth", "row"]].to_dict("records")]
+            for who, at, nth, row in zip(*(frame[c].tolist() for c in ("who", "at", "nth", "row"))):
+                new.setdefault(who, []).append([int(at), int(nth), row])
         if new:
             kept = self._kept()
-            kept["waiting"] = sorted(kept["waiting"] + new)
+            for who, more in new.items():
+                own = kept["keys"].setdefault(who, {"state": self.first(), "last": None, "waiting": []})
+                own["waiting"] = sorted(own["waiting"] + more)
             self._keep(kept)
-            self.handle.registerTimer(kept["waiting"][0][0])
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now, kept = timerValues.getCurrentWatermarkInMs(), self._kept()
-        waiting, out = kept["waiting"], []
-        n = bisect_right(waiting, now, key=lambda r: r[0])
-        for at, nth, row in waiting[:n]:
-            kept["state"], made = self.fold(key, kept["state"], nth, json.loads(row))
-            kept["last"] = at
-            if made is not None:
-                out.append(made)
-        kept["waiting"] = waiting[n:]
-        if kept["last"] is not None and not kept["waiting"] and kept["last"] + self.horizon_ms <= now:
-            made = self.left(key, kept["state"])
-            if made is not None:
-                out.append(made)
-            self.held.clear()
-        elif n:
-            self._keep(kept)
-            self.handle.registerTimer(kept["waiting"][0][0] if kept["waiting"] else kept["last"] + self.horizon_ms)
+        # A timer of a time that has been dealt with since, or of a state that went.
+        if kept["due"] is None or kept["due"] > now:
+            return
+        out, over = [], []
+        for who, own in kept["keys"].items():
+            waiting = own["waiting"]
+            n = bisect_right(waiting, now, key=lambda r: r[0])
+            for at, nth, row in waiting[:n]:
+                own["state"], made = self.fold(who, own["state"], nth, json.loads(row))
+                own["last"] = at
+                if made is not None:
+                    out.append(made)
+            own["waiting"] = waiting[n:]
+            if own["last"] is not None and not own["waiting"] and own["last"] + self.horizon_ms <= now:
+                made = self.left(who, own["state"])
+                if made is not None:
+                    out.append(made)
+                over.append(who)
+        for who in over:
+            del kept["keys"][who]
+        self._keep(kept)
         if out:
             yield pd.DataFrame(out, columns=self.columns)
 
@@ -128,11 +158,23 @@ class _InOrder(StatefulProcessor):
         pass
 
 
-def _in_order(rows: DataFrame, key: list[str], order: str, values: list[str], late: str) -> object:
-    """rows (time) by key, as _InOrder reads them: at (ms), nth and row (JSON of the values)."""
+def _grouped(rows: DataFrame, key: list[str], groups: int) -> DataFrame:
+    """rows with who (JSON of the key) and kin, the number of the group that the key is in."""
+    kin = F.pmod(F.xxhash64(*key), F.lit(groups)).cast("int")
+    return rows.withColumns({"who": F.to_json(F.struct(*key), KEY_FORM), "kin": kin})
+
+
+def _in_order(rows: DataFrame, key: list[str], order: str, values: list[str], late: str, groups: int) -> object:
+    """rows (time) by group, as _InOrder reads them: who, at (ms), nth and row (JSON of the values)."""
     packed = F.to_json(F.struct(*values), {"ignoreNullFields": "false"})
-    made = rows.withWatermark("time", late).select(*key, "time", F.unix_millis("time").alias("at"), F.col(order).cast("long").alias("nth"), packed.alias("row"))
-    return made.groupBy(*key)
+    made = _grouped(rows.withWatermark("time", late), key, groups).select("kin", "time", "who", F.unix_millis("time").alias("at"), F.col(order).cast("long").alias("nth"), packed.alias("row"))
+    return made.groupBy("kin")
+
+
+def _named_again(folded: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
+    """What a fold gave, with the columns of the key for who."""
+    kind = StructType([rows.schema[c] for c in key])
+    return folded.withColumn("who", F.from_json("who", kind, KEY_FORM)).select("who.*", *(c for c in folded.columns if c != "who"))
 
 
 class _Intentions(_InOrder):
@@ -140,18 +182,19 @@ class _Intentions(_InOrder):
         return {"constraints": {}, "priority": []}
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        kept = self._kept()
         for r in initialState.to_dict("records"):
-            self._keep({"state": json.loads(r["state"]), "last": int(r["last"]), "waiting": []})
-            self.handle.registerTimer(int(r["last"]) + self.horizon_ms)
+            kept["keys"][r["who"]] = {"state": json.loads(r["state"]), "last": int(r["last"]), "waiting": []}
+        self._keep(kept)
 
-    def fold(self, key, state, nth, row):
+    def fold(self, who, state, nth, row):
         old = state["priority"]
         constraints, priority, moved = folded(state["constraints"], old, row["op"], row["field"], row["value"], row["priority_update"] or [])
-        made = (*key, nth, json.dumps(constraints, ensure_ascii=False), "reprioritize" if moved else "none", old, priority)
+        made = (who, nth, json.dumps(constraints, ensure_ascii=False), "reprioritize" if moved else "none", old, priority)
         return {"constraints": constraints, "priority": priority}, made
 
 
-def stream_intentions(shifts: DataFrame, initial: DataFrame | None = None, late: str = "10 minutes", horizon_ms: int = DAY_MS) -> DataFrame:
+def stream_intentions(shifts: DataFrame, initial: DataFrame | None = None, late: str = "10 minutes", horizon_ms: int = DAY_MS, groups: int = GROUPS) -> DataFrame:
     """The state after each shift (instance_id, turn_id, time, op, field, value, priority_update) of a dialogue, as the batch folds give it.
 
     instance_id, turn_id, constraints (JSON in the fields' order), op (reprioritize or none), old and new (the priority
@@ -159,18 +202,20 @@ def stream_intentions(shifts: DataFrame, initial: DataFrame | None = None, late:
     earlier ones may still come in. Shifts are folded by time, then turn. initial is a batch table (instance_id,
     fields, values and priority arrays, since: a timestamp), the state that dialogues begin with. A
     dialogue without a shift for horizon_ms of event time gives up its state. Rows without a time or turn only
-    move the watermark.
+    move the watermark. Dialogues share state in so many groups, which stays as it is over runs from one checkpoint; a
+    group is read and written whole, so groups_for gives more of them for more rows.
     """
-    kind = shifts.schema["instance_id"].dataType.simpleString()
-    names = ["instance_id", "turn_id", "constraints", "op", "old", "new"]
+    key, names = ["instance_id"], ["who", "turn_id", "constraints", "op", "old", "new"]
     begin = None
     if initial is not None:
         pairs = F.map_from_arrays("fields", "values")
         order = initial.select("instance_id", "since", pairs.alias("constraints"), _column_complete().alias("priority"))
         state = F.to_json(F.struct("constraints", "priority"), {"ignoreNullFields": "false"})
-        begin = order.select("instance_id", state.alias("state"), F.unix_millis("since").alias("last")).groupBy("instance_id")
-    rows = _in_order(shifts, ["instance_id"], "turn_id", ["op", "field", "value", "priority_update"], late)
-    return rows.transformWithStateInPandas(_Intentions(["instance_id"], names, horizon_ms), f"instance_id {kind}, turn_id long, constraints string, op string, old array<string>, new array<string>", "Append", "EventTime", begin)
+        cast = order.withColumn("instance_id", F.col("instance_id").cast(shifts.schema["instance_id"].dataType))
+        begin = _grouped(cast, key, groups).select("kin", "who", state.alias("state"), F.unix_millis("since").alias("last")).groupBy("kin")
+    rows = _in_order(shifts, key, "turn_id", ["op", "field", "value", "priority_update"], late, groups)
+    made = rows.transformWithStateInPandas(_Intentions(names, horizon_ms), "who string, turn_id long, constraints string, op string, old array<string>, new array<string>", "Append", "EventTime", begin)
+    return _named_again(made, shifts, key)
 
 
 def _column_complete():
@@ -180,14 +225,14 @@ def _column_complete():
 
 
 class _StopMonitor(_InOrder):
-    def __init__(self, key, columns, horizon_ms, max_steps: int):
-        super().__init__(key, columns, horizon_ms)
+    def __init__(self, columns, horizon_ms, max_steps: int):
+        super().__init__(columns, horizon_ms)
         self.max_steps = max_steps
 
     def first(self) -> dict:
         return {"last": None, "streak": 0, "stagnant": 0, "step": None, "done": False}
 
-    def fold(self, key, state, nth, row):
+    def fold(self, who, state, nth, row):
         if state["done"]:
             return state, None
         streak = state["streak"] + 1 if state["streak"] and row["signature"] == state["last"] else 1
@@ -204,25 +249,27 @@ class _StopMonitor(_InOrder):
         )
         reason = next((name for holds, name in rules if holds), None)
         after = {"last": row["signature"], "streak": streak, "stagnant": stagnant, "step": nth, "done": reason is not None}
-        return after, None if reason is None else (*key, nth, reason)
+        return after, None if reason is None else (who, nth, reason)
 
-    def left(self, key, state):
-        return None if state["done"] or state["step"] is None else (*key, state["step"], "step_budget")
+    def left(self, who, state):
+        return None if state["done"] or state["step"] is None else (who, state["step"], "step_budget")
 
 
-def stream_stop_monitor(steps: DataFrame, max_steps: int, late: str = "10 minutes", idle_ms: int = DAY_MS) -> DataFrame:
+def stream_stop_monitor(steps: DataFrame, max_steps: int, late: str = "10 minutes", idle_ms: int = DAY_MS, groups: int = GROUPS) -> DataFrame:
     """(instance_id, turn_id, step_index, stop_reason): where each turn stops, once a turn.
 
     steps: instance_id, turn_id, step_index, time, action_type, status, env_done, all_satisfied, ready, signature,
     progress. The first rule that holds decides, in the order of stop_reason. Steps are looked at in their order, by time
     and index, once the watermark has passed them. A turn without a stop that is idle for idle_ms of event time ends as
     turn_rollup ends it, by step_budget at its last step, and its state goes; the state of stopped turns goes then too.
+    Turns share state in groups, as the dialogues of stream_intentions do.
     """
     key = ["instance_id", "turn_id"]
-    kinds = {f.name: f.dataType.simpleString() for f in steps.schema}
-    names = [*key, "step_index", "stop_reason"]
-    rows = _in_order(steps, key, "step_index", ["action_type", "status", "env_done", "all_satisfied", "ready", "signature", "progress"], late)
-    return rows.transformWithStateInPandas(_StopMonitor(key, names, idle_ms, max_steps), f"instance_id {kinds['instance_id']}, turn_id {kinds['turn_id']}, step_index long, stop_reason string", "Append", "EventTime")
+    values = ["action_type", "status", "env_done", "all_satisfied", "ready", "signature", "progress"]
+    rows = _in_order(steps, key, "step_index", values, late, groups)
+    monitor = _StopMonitor(["who", "step_index", "stop_reason"], idle_ms, max_steps)
+    made = rows.transformWithStateInPandas(monitor, "who string, step_index long, stop_reason string", "Append", "EventTime")
+    return _named_again(made, steps, key)
 
 
 def stream_token_rate(log: DataFrame, width: str = "1 minute", over: str | None = None, late: str = "10 minutes", ids: tuple[str, ...] = ()) -> DataFrame:

@@ -113,3 +113,26 @@ def test_token_rate_closes_windows_and_counts_late_rows(spark):
     # windows up to an hour are closed, the last one isn't, and the late rows change none of them
     assert sorted((int((r.start - START).total_seconds() // 60), r.requests, r.fallbacks, r.tokens) for r in got) == [(0, 3, 2, 10), (10, 1, 1, 11)]
     assert sum(dropped) == 3
+
+
+def test_dialogues_share_state_in_groups(spark, states):
+    ids = ['a "b"', "é\n", "", None, *map(str, range(96))]
+    shifts = [(i % 7 + 10 * turn, who, turn, "override", f"f{(i + turn) % 3}", f"{who}/{turn}", [f"F{turn}"]) for i, who in enumerate(ids) for turn in range(5)]
+    rows = dealt(spark, shifts, "instance_id string, turn_id int, op string, field string, value string, priority_update array<string>")
+    got = Q.drained(spark, rows, lambda s: streams.stream_intentions(s, None, "8 hours", 300 * HOUR_MS, groups=3)).collect()
+    want = {}
+    for i, who in enumerate(ids):
+        held = {}
+        for turn in range(5):
+            held[f"f{(i + turn) % 3}"] = f"{who}/{turn}" if who is not None else "None/%d" % turn
+            want[who, turn] = dict(held)
+    import json
+
+    assert {(r.instance_id, r.turn_id): json.loads(r.constraints) for r in got} == want and len(got) == len(want)
+    # a row of state for a group, not for a dialogue: each costs several calls between Python and the store
+    assert 0 < max(n for (n,) in states) <= 3 and states[-1] == [0]
+
+
+def test_groups_follow_the_rows():
+    assert streams.groups_for(0) == streams.groups_for(10**6) == streams.GROUPS
+    assert streams.groups_for(10**9) * streams.ROWS_A_GROUP >= 10**9

@@ -946,7 +946,8 @@ def stream_intentions(spark: SparkSession, d: str) -> DataFrame:
 def stream_stop_monitor(spark: SparkSession, d: str) -> DataFrame:
     judged = judged_steps(spark, d).withColumn("signature", F.to_json(steps.action_signature()))
     rows = judged.select("instance_id", "turn_id", F.col("step_index").cast("long").alias("step_index"), "time", "action_type", "status", "env_done", "all_satisfied", "ready", "signature", F.col("made_progress").alias("progress"))
-    return drained(spark, out_of_order(rows, 15, 1, "step_index"), lambda s: streams.stream_stop_monitor(s, steps.MAX_STEPS, "2 days"))
+    groups = streams.groups_for(table(spark, d, "events").count())
+    return drained(spark, out_of_order(rows, 15, 1, "step_index"), lambda s: streams.stream_stop_monitor(s, steps.MAX_STEPS, "2 days", groups=groups))
 
 
 def _dealt_log(spark: SparkSession, d: str) -> DataFrame:

@@ -133,6 +133,14 @@ def test_dialogues_share_state_in_groups(spark, states):
     assert 0 < max(n for (n,) in states) <= 3 and states[-1] == [0]
 
 
+def test_turns_share_state_in_groups(spark, states):
+    made = [(who % 5 + hour, who, at(24 * day), hour + 1, "search", "observed", False, False, False, f"s{hour}", True) for who in range(60) for day in range(2) for hour in range(1 + who % 3)]
+    rows = dealt(spark, made, "instance_id long, turn_id timestamp, step_index long, action_type string, status string, env_done boolean, all_satisfied boolean, ready boolean, signature string, progress boolean")
+    got = Q.drained(spark, rows, lambda s: streams.stream_stop_monitor(s, 3, "8 hours", 100 * HOUR_MS, groups=2)).collect()
+    assert sorted((r.instance_id, r.turn_id, r.step_index, r.stop_reason) for r in got) == sorted((who, at(24 * day), 1 + who % 3, "step_budget") for who in range(60) for day in range(2))
+    assert 0 < max(n for (n,) in states) <= 2 and states[-1] == [0]
+
+
 def test_groups_follow_the_rows():
     assert streams.groups_for(0) == streams.groups_for(10**6) == streams.GROUPS
     assert streams.groups_for(10**9) * streams.ROWS_A_GROUP >= 10**9

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import attrs_from_text, norm_text, normalize_category, selected_option, text_of, truthy
+from ..functions.text import attrs_from_text, bound, norm_text, normalize_category, selected_option, text_of, truthy
 
 # Fields in the order in which they are asked for.
 ROLLOUT = ("category", "color", "size", "brand")
@@ -49,53 +49,84 @@ def resolve_actual(result: dict[str, Column], field: str) -> tuple[Column, Colum
     return F.coalesce(*[v for v, _ in found]), source
 
 
-def category_matches(desired: Column, texts: list[Column]) -> Column:
-    """Whether a text equals the wish, holds it, is held by it, or has all its tokens; null for an empty wish."""
-    want = normalize_category(desired)
-    tokens = F.split(want, " ")
+#: Fields of a result whose texts a category wish is looked for in.
+CATEGORY_TEXTS = ("product_category", "base_category", "category", "title", "query")
 
-    def fits(text: Column) -> Column:
-        return (text != "") & (F.contains(text, want) | F.contains(want, text) | (F.size(F.array_except(tokens, F.split(text, " "))) == 0))
 
-    return F.when(want != "", F.exists(F.array(*[normalize_category(t) for t in texts]), fits))
+def category_texts(result: dict[str, Column]) -> Column:
+    """The normal texts of a result that a category wish may fit, each once; a table of results can hold them ready as `texts`."""
+    return F.array_distinct(F.filter(F.array(*[normalize_category(result[c]) for c in CATEGORY_TEXTS if c in result]), lambda t: t != ""))
 
 
-def match(result: dict[str, Column], field: str, desired: Column) -> tuple[Column, Column, Column]:
-    """(matched, actual, source): matched is null where the actual value isn't known."""
+def plain_values(result: dict[str, Column]) -> Column:
+    """The actual colour, size and brand of a result as they are compared; a table of results can hold them ready as `plain`."""
+    return F.struct(*(norm_text(resolve_actual(result, f)[0]).alias(f) for f in SELECTABLE))
+
+
+def plain_wishes(constraints: Column) -> Column:
+    """Constraints (field, value) with plain, the value as it is compared: as a category, or as text. evaluate takes both forms."""
+    plain = lambda c: F.when(c["field"] == "category", normalize_category(c["value"])).otherwise(norm_text(c["value"]))
+    return F.transform(constraints, lambda c: F.struct(c["field"].alias("field"), c["value"].alias("value"), plain(c).alias("plain")))
+
+
+def category_matches(want: Column, texts: Column) -> Column:
+    """Whether a text equals the wish, holds it, is held by it, or has all its tokens, both in normal form; null for an empty wish."""
+
+    def matches(want: Column) -> Column:
+        def fits(text: Column) -> Column:
+            return F.contains(text, want) | F.contains(want, text) | (F.size(F.array_except(F.split(want, " "), F.split(text, " "))) == 0)
+
+        return F.when(want != "", F.exists(texts, fits))
+
+    return bound(want, matches)
+
+
+def match(result: dict[str, Column], field: str, desired: Column, plain: Column | None = None) -> tuple[Column, Column, Column]:
+    """(matched, actual, source): matched is null where the actual value isn't known. plain is the wish as plain_wishes gives it."""
     if field == "budget_max":
         price = result["price"]
         return price <= desired.try_cast("double"), price.cast("string"), F.lit("price")
     actual, source = resolve_actual(result, field)
     if field == "category":
-        absent = F.lit(None).cast("string")
-        texts = [actual, *(result.get(c, absent) for c in ("product_category", "base_category", "category", "title", "query"))]
-        return F.when(actual.isNotNull(), category_matches(desired, texts)), actual, source
-    return F.when(actual.isNotNull(), norm_text(actual) == norm_text(desired)), actual, source
+        return F.when(actual.isNotNull(), category_matches(normalize_category(desired) if plain is None else plain, result["texts"] if "texts" in result else category_texts(result))), actual, source
+    own = result["plain"][field] if "plain" in result else norm_text(actual)
+    return F.when(actual.isNotNull(), own == (norm_text(desired) if plain is None else plain)), actual, source
 
 
-def evaluate(result: dict[str, Column], constraints: Column, known: Column | None = None) -> Column:
+def evaluate(result: dict[str, Column], constraints: Column, known: Column | None = None, plain: bool = False) -> Column:
     """One (field, desired, actual, source, matched, violated) for each checked field with a wish, in the order of the wishes.
 
     A category wish that says nothing is violated though its match is unknown. known says
-    whether there is a result at all; without one nothing is checked.
+    whether there is a result at all; without one nothing is checked. Texts of a result are made normal once for
+    all its wishes, or come with it as `texts`; plain says whether constraints are those of plain_wishes.
     """
 
-    def entry(c: Column) -> Column:
-        out = F.lit(None)
-        for field in reversed(CHECKED):
-            matched, actual, source = match(result, field, c["value"])
-            violated = F.when(actual.isNotNull(), ~F.coalesce(matched, F.lit(False))).otherwise(False)
-            out = F.when(c["field"] == field, F.struct(c["field"].alias("field"), c["value"].alias("desired"), actual.alias("actual"), source.alias("source"), matched.alias("matched"), violated.alias("violated"))).otherwise(out)
-        return out
+    def check(c: Column, matched: Column, actual: Column, source: Column) -> Column:
+        def made(m: Column) -> Column:
+            violated = F.when(actual.isNotNull(), ~F.coalesce(m, F.lit(False))).otherwise(False)
+            return F.struct(c["field"].alias("field"), c["value"].alias("desired"), actual.alias("actual"), source.alias("source"), m.alias("matched"), violated.alias("violated"))
+
+        return bound(matched, made)
+
+    def checked(texts: Column) -> Column:
+        def entry(c: Column) -> Column:
+            out = F.lit(None)
+            for field in reversed(CHECKED):
+                out = F.when(c["field"] == field, check(c, *match(result | {"texts": texts}, field, c["value"], c["plain"] if plain else None))).otherwise(out)
+            return out
+
+        wishes = F.filter(constraints, lambda c: c["value"].isNotNull() & c["field"].isin(*CHECKED))
+        if known is not None:
+            wishes = F.when(known, wishes).otherwise(F.slice(constraints, 1, 0))
+        return F.transform(wishes, entry)
 
-    wishes = F.filter(constraints, lambda c: c["value"].isNotNull() & c["field"].isin(*CHECKED))
-    checked = F.transform(wishes, entry)
-    return checked if known is None else F.when(known, checked).otherwise(F.slice(checked, 1, 0))
+    return checked(result["texts"]) if "texts" in result else bound(category_texts(result), checked)
 
 
 def evaluate_constraints(pairs: DataFrame, result: dict[str, Column], known: Column | None = None) -> DataFrame:
     """pairs (constraints and the columns of result) with checks, satisfied and violated."""
-    checked = pairs.withColumn("checks", evaluate(result, F.col("constraints"), known))
+    plain = "plain" in pairs.schema["constraints"].dataType.elementType.fieldNames()
+    checked = pairs.withColumn("checks", evaluate(result, F.col("constraints"), known, plain))
     return checked.withColumns({"satisfied": F.transform(F.filter("checks", lambda c: F.coalesce(c["matched"], F.lit(False))), lambda c: c["field"]), "violated": F.transform(F.filter("checks", lambda c: c["violated"]), lambda c: c["field"])})
 
 
@@ -147,15 +178,15 @@ def on_item_page() -> Column:
 
 def all_requested_satisfied() -> Column:
     """On an item page with an id, something asked for and all of it matched."""
-    asked = requested_constraints(F.col("constraints"))
-    return F.coalesce(on_item_page() & (F.size(asked) > 0) & F.forall(asked, lambda c: F.coalesce(_status(c["field"]), F.lit(False))), F.lit(False))
+    met = lambda asked: (F.size(asked) > 0) & F.forall(asked, lambda c: F.coalesce(_status(c["field"]), F.lit(False)))
+    return F.coalesce(on_item_page() & bound(requested_constraints(F.col("constraints")), met), F.lit(False))
 
 
 def selectable_resolved() -> Column:
     """Every colour, size or brand asked for that the item offers as an option is matched."""
     offered = F.transform(F.map_keys(F.coalesce(F.col("options"), F.create_map().cast("map<string,array<string>>"))), norm_text)
     asked = requested_constraints(F.col("constraints"), SELECTABLE)
-    return F.forall(asked, lambda c: ~F.array_contains(offered, c["field"]) | F.coalesce(_status(c["field"]), F.lit(False)))
+    return bound(offered, lambda o: F.forall(asked, lambda c: ~F.array_contains(o, c["field"]) | F.coalesce(_status(c["field"]), F.lit(False))))
 
 
 def has_evidence() -> Column:
@@ -167,14 +198,15 @@ def has_evidence() -> Column:
     return out
 
 
-def candidate_ready() -> Column:
+def candidate_ready(resolved: Column | None = None) -> Column:
     asked = requested_constraints(F.col("constraints"), ("category",))
-    return F.coalesce(on_item_page() & has_evidence() & F.forall(asked, lambda c: F.coalesce(_status(c["field"]), F.lit(False))) & selectable_resolved(), F.lit(False))
+    return F.coalesce(on_item_page() & has_evidence() & F.forall(asked, lambda c: F.coalesce(_status(c["field"]), F.lit(False))) & (selectable_resolved() if resolved is None else resolved), F.lit(False))
 
 
 def readiness(pages: DataFrame) -> DataFrame:
     """Evaluated item pages with all_satisfied, resolved, evidence and ready."""
-    return pages.withColumns({"all_satisfied": all_requested_satisfied(), "resolved": selectable_resolved(), "evidence": has_evidence(), "ready": candidate_ready()})
+    judged = pages.withColumns({"all_satisfied": all_requested_satisfied(), "resolved": selectable_resolved(), "evidence": has_evidence()})
+    return judged.withColumn("ready", candidate_ready(F.col("resolved")))
 
 
 def feedback_reason(no_results: Column, satisfied: Column, violated: Column) -> Column:

@@ -116,7 +116,11 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
     """Each customer's wishes beside each part of the customer's own order lines."""
     lines = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     owned = lines.select(F.col("o_custkey").alias("request_id"), F.col("l_partkey").alias("part")).distinct()
-    return wishes(spark, d).join(owned, "request_id").join(C.candidate_items(catalog(spark, d), "row_id"), F.col("part") == F.col("row_id"))
+    items = C.candidate_items(catalog(spark, d), "row_id").select("row_id", "candidate")
+    # What is compared is made of products and of customers, which are far fewer than pairs.
+    asked = wishes(spark, d).withColumn("constraints", K.plain_wishes(F.col("constraints")))
+    items = items.withColumns({"texts": K.category_texts(candidate_result()), "plain": K.plain_values(candidate_result())})
+    return asked.join(owned, "request_id").join(items, F.col("part") == F.col("row_id"))
 
 
 def candidate_result(c="candidate") -> dict:
@@ -124,7 +128,7 @@ def candidate_result(c="candidate") -> dict:
 
 
 def evaluated(spark: SparkSession, d: str) -> DataFrame:
-    return K.evaluate_constraints(pairs(spark, d), candidate_result())
+    return K.evaluate_constraints(pairs(spark, d), candidate_result() | {"texts": F.col("texts"), "plain": F.col("plain")})
 
 
 def ranked_lines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

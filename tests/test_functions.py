@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from colloquy import queries as Q
 from colloquy.functions import shifts as S
 from colloquy.functions import text as T
 
@@ -92,3 +93,9 @@ def test_typed_values_keep_their_types(spark):
     pairs = [("a_max", "10", "12.5", True), ("a_max", "10", "9", False), ("a_min", "10", "9", True), ("a", '"x"', "null", True), ("a", "null", "null", False), ("a", '"9"', '"9"', False), ("a", '"9"', "9", True)]
     df = spark.createDataFrame(pairs, "field string, old string, new string, want boolean")
     assert [r.got for r in df.withColumn("got", S.is_variant_relaxation(F.col("field"), F.parse_json("old"), F.parse_json("new"))).collect()] == [p[3] for p in pairs]
+
+
+def test_what_wishes_are_compared_with_is_made_before_pairs(spark):
+    plan = Q.evaluated(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Join")]
+    assert "regexp" not in above and "regexp" in plan

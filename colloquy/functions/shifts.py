@@ -30,10 +30,8 @@ def has_any(c: Column, cues: tuple[str, ...]) -> Column:
 
 def _in_domain(c: Column, aliases: dict[str, str], domain: tuple[str, ...]) -> Column:
     name = F.replace(F.replace(F.lower(strip(c)), F.lit(" "), F.lit("_")), F.lit("-"), F.lit("_"))
-    out = name
-    for alias, value in aliases.items():
-        out = F.when(name == alias, value).otherwise(out)
-    return F.when(out.isin(*domain), out).otherwise("none")
+    known = {d: d for d in domain} | aliases
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in known.items() for x in pair])[name], F.lit("none"))
 
 
 def alias_condition(c: Column) -> Column:
@@ -58,7 +56,7 @@ def infer_category(priority_update: Column, rationale: Column, field: Column, ol
     old, new, why = none_like(old_value), none_like(value), F.lower(strip(rationale))
     return (
         F.when(F.size(F.coalesce(priority_update, F.array().cast("array<string>"))) > 0, "reprioritize")
-        .when(has_any(why, SCOPE_CUES), "scope_correction")
+        .when(bound(why, lambda w: has_any(w, SCOPE_CUES)), "scope_correction")
         .when(old.isNotNull() & new.isNotNull() & (old != new), "override")
         .when(old.isNotNull() & new.isNull(), "relax")
         .when(field.isNotNull() & old.isNull() & new.isNotNull(), "add")
@@ -67,8 +65,8 @@ def infer_category(priority_update: Column, rationale: Column, field: Column, ol
 
 
 def infer_condition(op: Column, rationale: Column) -> Column:
-    why = F.lower(strip(rationale))
-    return F.when(op == "scope_correction", "agent_misunderstanding").when(has_any(why, PREFERENCE_CUES), "user_preference").when(has_any(why, FEASIBILITY_CUES), "real_world_feasibility").when(has_any(why, MISUNDERSTANDING_CUES), "agent_misunderstanding").otherwise("user_preference")
+    cued = lambda why: F.when(has_any(why, PREFERENCE_CUES), "user_preference").when(has_any(why, FEASIBILITY_CUES), "real_world_feasibility").when(has_any(why, MISUNDERSTANDING_CUES), "agent_misunderstanding").otherwise("user_preference")
+    return F.when(op == "scope_correction", "agent_misunderstanding").otherwise(bound(F.lower(strip(rationale)), cued))
 
 
 def number_of(c: Column) -> Column:
@@ -85,12 +83,16 @@ def coerce_value(field: Column, value: Column, old_value: Column, kind: Column |
 
     kind, as variant_kind gives it, is the old value's type; without it the type is guessed from its text.
     """
-    new = none_like(value)
-    truth = F.when(F.lower(new).isin("true", "yes", "1"), "true").when(F.lower(new).isin("false", "no", "0"), "false").otherwise("true")
+    truth = lambda new: F.when(F.lower(new).isin("true", "yes", "1"), "true").when(F.lower(new).isin("false", "no", "0"), "false").otherwise("true")
     guessed = F.when(F.lower(old_value).isin("true", "false"), "boolean").when(number_of(old_value).isNotNull(), "float").otherwise("text")
     known = guessed if kind is None else F.coalesce(kind, guessed)
-    numeric = known.isin("int", "float") | field.endswith("_max") | field.endswith("_min")
-    return F.when(new.isNull(), F.lit(None)).when(known == "boolean", truth).when(numeric & number_of(new).isNotNull(), number_text(number_of(new))).otherwise(strip(new))
+
+    def coerced(new: Column, known: Column) -> Column:
+        numeric = known.isin("int", "float") | field.endswith("_max") | field.endswith("_min")
+        number = bound(F.when(numeric, number_of(new)), lambda n: F.coalesce(number_text(n), strip(new)))
+        return F.when(new.isNull(), F.lit(None)).when(known == "boolean", truth(new)).otherwise(number)
+
+    return bound(none_like(value), lambda new: bound(known, lambda k: coerced(new, k)))
 
 
 def relax_value(field: Column, old_value: Column) -> Column:

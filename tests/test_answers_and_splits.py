@@ -131,3 +131,30 @@ def test_merged_sketches_stay_near_the_exact_quantiles(spark):
     for q, got in ((0.5, row.q50), (0.95, row.q95)):
         assert ranked[int((q - 0.01) * 30000)] <= got <= ranked[int((q + 0.01) * 30000)]
     assert json.dumps([r.calls for r in logs.latency_quantiles(sketches, keys=("caller_id",)).collect()]) == "[10000, 10000, 10000]"
+
+
+class Twice:
+    def generate(self, prompt):
+        return prompt * 2
+
+
+def test_a_share_reads_its_own_prompts_and_prompts_are_made_once(spark, monkeypatch, tmp_path):
+    paths, made = [], spark.sparkContext.accumulator(0)
+
+    def kept(session):
+        paths.append(tmp_path / str(len(paths)))
+        return str(paths[-1])
+
+    def say(n):
+        made.add(1)
+        return f"say {n % 50}"
+
+    monkeypatch.setattr(bulk, "scratch_path", kept)
+    prompts = spark.range(100).withColumn("prompt", F.udf(say)("id"))
+    got = {r.id: r.output for r in bulk.bulk_generate(prompts, Twice, per_write=20).collect()}
+    assert got == {n: f"say {n % 50}" * 2 for n in range(100)}
+    assert made.value == 100
+    folders = [[f for f in p.iterdir() if f.name.startswith("share=")] for p in paths if p.is_dir()]
+    dealt = next(f for f in folders if f)
+    held = [r.prompt for f in dealt for r in spark.read.parquet(str(f)).collect()]
+    assert len(dealt) > 1 and sorted(held) == sorted(f"say {n}" for n in range(50))

@@ -95,6 +95,17 @@ def test_typed_values_keep_their_types(spark):
     assert [r.got for r in df.withColumn("got", S.is_variant_relaxation(F.col("field"), F.parse_json("old"), F.parse_json("new"))).collect()] == [p[3] for p in pairs]
 
 
+def test_strip_and_json_of_answers_as_written_out(spark):
+    spaces = [chr(n) for n in range(1, 0x10000) if not 0xD800 <= n < 0xE000]
+    rows = [(c, f"{c}a{c}b{c}{c}", n) for n, c in enumerate(spaces)]
+    df = spark.createDataFrame(rows, "c string, t string, n int")
+    whole = F.regexp_replace("t", rf"^{T.SPACE}|{T.SPACE}$", "")
+    assert df.where(~T.strip(F.col("t")).eqNullSafe(whole)).count() == 0
+    texts = {'{"a": 1}': '{"a": 1}', 'Well: {"a": 1}.': '{"a": 1}', '[{"a": 1}]': None, '"x {}"': None, "```json\n{}\n```": "{}", '{} {}': None, "tell {\"b\": 2}": '{"b": 2}', "": None, None: None, "12": None, "nulls {}": "{}", '{"a": 1} and more': '{"a": 1}'}
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.extract_json(F.col("t")).alias("j")).collect()
+    assert {r.t: r.j for r in got} == texts
+
+
 def test_what_wishes_are_compared_with_is_made_before_pairs(spark):
     plan = Q.evaluated(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     above = plan[: plan.index("Join")]
